@@ -20,8 +20,47 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
-QUERIES = {
-    "op4_minhash_dedup": op4_minhash_dedup,
-}
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), sequence=4096, end_id=1)
+
 
-ORACLE_SQL: dict[str, str] = {}
+def op8_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), length=100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op4_minhash_dedup, op5_warc_round_trip, op6_html_main_text, op7_sum_of_squares_packing, op8_nb_svm_quality, op10_suffix_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_round_trip": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id IS NOT NULL AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)
+    """,
+}
