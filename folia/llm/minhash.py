@@ -156,7 +156,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int,
     tasks = materialize(sized.select("a", "b", salt.alias("part")), "pairs")
     needs = tasks.select(F.col("b").alias("doc_id"), "a", "part", F.lit(True).alias("partner")).union(
         tasks.select(F.col("a").alias("doc_id"), "a", "part", F.lit(False).alias("partner")).distinct())
-    sent = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needs, "doc_id").repartition(
+    sent = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needs.hint("merge"), "doc_id").repartition(
         F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "partner", "doc_id")
 
     def run(batches):

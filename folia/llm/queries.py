@@ -20,6 +20,12 @@ def op2_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op3_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken_per_document
+
+    return taken_per_document(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -50,6 +56,14 @@ def op8_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import through_shards
+
+    rows = through_shards(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import without_repeats
 
@@ -57,9 +71,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_cross_polytope_dedup, op4_minhash_dedup, op5_warc_round_trip, op6_html_main_text, op7_sum_of_squares_packing, op8_nb_svm_quality, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_cross_polytope_dedup, op3_target_mixing, op4_minhash_dedup, op5_warc_round_trip, op6_html_main_text, op7_sum_of_squares_packing, op8_nb_svm_quality, op9_tiered_sharding, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_tiered_sharding": """
+        SELECT doc_id, lang, source, n_chars, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+    """,
     "op5_warc_round_trip": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
