@@ -9,9 +9,10 @@
    with the smallest one only (a star), so pairs grow with the bucket, not with
    its square.  Pairs are confirmed on full sets, and confirmed links joined to
    components.
-4. A star can miss a link between two of its points.  So buckets that still
-   hold several components are compared in blocks by full signature, and every
-   pair across components that could reach the threshold is confirmed as well.
+4. A star can miss a link between two of its points.  So buckets that still hold
+   several components are compared in blocks by full signature; what could be
+   linked across components forms families, inside which every such pair is
+   confirmed on full sets, again in blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .runtime import materialize, release_shuffles
 BINS = 128
 ROWS_PER_BAND = 5
 BLOCK = 1500
+FAMILY = 400
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, signature binary"
 
 
@@ -178,36 +180,105 @@ def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int,
     return sent.select("a", "part", "partner", "doc_id", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def leftover_pairs(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, tested: DataFrame, percent: int, least: float) -> DataFrame:
-    """Pairs of a bucket in different components that the stars did not test.
+class Roots:
+    """A small union-find in which each item starts under a root it is given."""
 
-    Buckets go to tasks as pairs of blocks of at most about BLOCK classes.
+    def __init__(self, root):
+        names, self.of = np.unique(np.asarray(root), return_inverse=True)
+        self.up = list(range(len(names)))
+
+    def find(self, item: int) -> int:
+        k = int(self.of[item])
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.find(i), self.find(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Deal the rows of each ``key`` to pairs (x, y) of blocks of about ``size``; ``k`` is the key's row count."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("k") / size).cast("long")).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("other", "blocks", "k")
+
+
+def close_pairs(table: pa.Table, sig: np.ndarray, n: np.ndarray, percent: int, least: float):
+    """(i, array of j > i) of a block pair's rows in different components whose signatures leave the threshold possible."""
+    root, mine = (table.column(c).to_numpy() for c in ("root", "mine"))
+    same_block = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+    for i in range(table.num_rows):
+        j = np.arange(i + 1, table.num_rows)
+        j = j[(root[j] != root[i]) & (same_block | (mine[j] != mine[i]))]
+        j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+        if len(j):
+            j = j[similar_enough(sig[j], sig[i], least)]
+            if len(j):
+                yield i, j
+
+
+def families(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, least: float) -> DataFrame:
+    """(id, family): groups in which every pair that the stars could have missed lies.
+
+    In each bucket that still holds several components the pairs across them
+    are compared by signature, in blocks of at most about BLOCK, and joined to
+    local clusters; only a star of each cluster leaves the task.
     """
     state = band_rows.join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = state.groupBy("band").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and k > 2")
-    rows = state.join(mixed.select("band", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")), "band").join(
-        classes.select("doc_id", "signature"), "doc_id")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "root", "n", "signature")
+    rows = in_blocks(state.join(mixed.select("band", "k"), "band"), BLOCK).join(classes.select("doc_id", "signature"), "doc_id")
 
     def compare(table: pa.Table) -> pa.Table:
         m = table.num_rows
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(m, BINS)
-        ids, root, n, mine = (table.column(c).to_numpy() for c in ("doc_id", "root", "n", "mine"))
-        same_block = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-        out_a, out_b = [], []
-        for i in range(m):
-            j = np.arange(i + 1, m)
-            j = j[(root[j] != root[i]) & (same_block | (mine[j] != mine[i]))]
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            if len(j):
-                j = j[similar_enough(sig[j], sig[i], least)]
-                out_a.append(np.minimum(ids[i], ids[j])), out_b.append(np.maximum(ids[i], ids[j]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(empty + out_a), "b": np.concatenate(empty + out_b)})
-
-    found = rows.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
-    return found.join(tested, ["a", "b"], "left_anti")
+        ids, n = (table.column(c).to_numpy() for c in ("doc_id", "n"))
+        local = Roots(ids)
+        for i, js in close_pairs(table, sig, n, percent, least):
+            for j in js.tolist():
+                local.join(i, j)
+        head = np.array([local.find(i) for i in range(m)])
+        low = np.unique(ids)[head]
+        far = low != ids
+        return pa.table({"u": ids[far], "v": low[far]})
+
+    columns = ("band", "x", "y", "mine", "doc_id", "root", "n", "signature")
+    stars = rows.select(*columns).groupBy("band", "x", "y").applyInArrow(compare, "u long, v long")
+    return connected_components(stars).withColumnRenamed("root", "family")
+
+
+def late_links(family: DataFrame, roots: DataFrame, documents: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """Confirmed links (a, b) across components inside families, on full sets.
+
+    A family goes to tasks as pairs of blocks of at most about FAMILY texts; a
+    pair whose components a task has joined already is not tested again.
+    """
+    sized = family.join(family.groupBy("family").agg(F.count("*").alias("k")), "family")
+    members = in_blocks(sized.withColumnRenamed("id", "doc_id"), FAMILY).join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    members = materialize(members.withColumn("root", F.coalesce("root", "doc_id")), "members")
+    sent = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
+
+    def verify(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        sets = [s for _, buf, offsets in text_blocks(table.column("text")) for s in shingle_sets(buf, offsets, words)]
+        full = np.array([len(s) > 0 for s in sets])
+        sig = np.stack([one_permutation(s) if len(s) else np.zeros(BINS, np.uint16) for s in sets])
+        n = np.array([len(s) for s in sets])
+        local, found = Roots(table.column("root").to_numpy()), []
+        for i, js in close_pairs(table, sig, n, percent, least):
+            for j in js.tolist():
+                if full[i] and full[j] and local.find(i) != local.find(j):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        local.join(i, j)
+                        found.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    columns = ("family", "x", "y", "mine", "doc_id", "root", "text")
+    return sent.select(*columns).groupBy("family", "x", "y").applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
@@ -240,9 +311,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85) ->
     links = materialize(confirmed(tested, documents, words, percent), "links")
     release_shuffles(spark)
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = materialize(leftover_pairs(band_rows, classes, roots, tested, percent, least), "leftovers")
-    if more.take(1):
-        late = materialize(confirmed(more, documents, words, percent), "links")
+    family = materialize(families(band_rows, classes, roots, percent, least), "families")
+    if family.take(1):
+        late = materialize(late_links(family, roots, documents, words, percent, least), "links")
         if late.take(1):
             roots = connected_components(links.union(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
     release_shuffles(spark)
