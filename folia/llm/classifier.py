@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import U64, mix64, prefix_hash, span_hash, text_blocks, word_spans
 
@@ -126,35 +127,44 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, cost:
     return (w * ratios).astype(np.float32), bias
 
 
-def score(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """(doc_id, score) of every row; score is a logistic of the margin, 0 to 1."""
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
+def score(rows: DataFrame, weights: np.ndarray, bias: float, name: str = "score") -> DataFrame:
+    """``rows``, which have a text, with a logistic of the margin, 0 to 1, as the column ``name``."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
-            for row, buf, offsets in text_blocks(batch.column("text"), 1 << 20):
-                n = len(offsets) - 1
-                parts = [np.bincount(text, shared.value[feature], m) for text, feature, m in indicator_parts(buf, offsets)]
-                margin = np.concatenate(parts) + bias
-                out = 1 / (1 + np.exp(-np.clip(2 * margin, -50, 50)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), pa.array(out)], ["doc_id", "score"])
+            out = [np.zeros(0)]
+            for _, buf, offsets in text_blocks(batch.column("text"), 1 << 20):
+                out += [np.bincount(text, shared.value[feature], m) for text, feature, m in indicator_parts(buf, offsets)]
+            chance = 1 / (1 + np.exp(-np.clip(2 * (np.concatenate(out) + bias), -50, 50)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], [*batch.schema.names, name])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def fitted(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[np.ndarray, float]:
+    """train() on (doc_id, quality) labels whose doc_id is not held out."""
+    return train(documents, labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")), per_class)
+
+
 def quality_scores(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of documents (doc_id, text).
 
     ``labels`` has (doc_id, quality).  Rows whose crc32(doc_id as text) mod 3 is
     1 are held out of learning.  A null or empty text scores by the bias alone;
     repeated rows score alike; a null doc_id is scored and not held out.
-    Without labels every score is 0.5.
+    Without labels every score is 0.5.  An empty table gives an empty table.
     """
-    learn = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good"))
-    weights, bias = train(documents, learn, per_class)
-    scored = score(documents, weights, bias)
+    weights, bias = fitted(documents, labels, per_class)
+    scored = score(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), weights, bias)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def good_documents(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
+    """The rows of ``documents``, all columns, that quality_scores() predicts to be good."""
+    weights, bias = fitted(documents, labels, per_class)
+    return score(documents, weights, bias, "_folia_score").where("_folia_score >= 0.5").drop("_folia_score")

@@ -322,3 +322,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85) ->
         roots.select(F.col("id").alias("v"), "root"), "v", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "v", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each_group(documents: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of ``documents``, all columns, that near_duplicates() keeps, one for each doc_id.
+
+    Rows with a null doc_id all stay.
+    """
+    kept = near_duplicates(documents, words, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = documents.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*documents.columns).union(documents.where("doc_id IS NULL"))

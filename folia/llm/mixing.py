@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK = 128
+BLOCK = 64
 SPREAD = 1024
 SHARD_SLOTS = 1 << 16
 CHUNK = 1 << 14

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_llr_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op2_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed_dedup import linked_vectors
 
@@ -71,7 +77,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_cross_polytope_dedup, op3_target_mixing, op4_minhash_dedup, op5_warc_round_trip, op6_html_main_text, op7_sum_of_squares_packing, op8_nb_svm_quality, op9_tiered_sharding, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_llr_quality_rules, op2_cross_polytope_dedup, op3_target_mixing, op4_minhash_dedup, op5_warc_round_trip, op6_html_main_text, op7_sum_of_squares_packing, op8_nb_svm_quality, op9_tiered_sharding, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_tiered_sharding": """

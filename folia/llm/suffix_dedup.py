@@ -382,39 +382,78 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
     return spans.groupBy("doc", "twin").agg(F.collect_list("packed").alias("packed"))
 
 
+def keyed_texts(documents: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, the order (doc, twin) of texts, text, and the carried columns."""
+    number = F.col("doc_id").cast("long")
+    return documents.select(
+        number.alias("doc_id"), F.coalesce(number, F.lit(2**63 - 1)).alias("doc"),
+        F.hash("text").alias("twin"), F.coalesce("text", F.lit("")).alias("text"), *carry)
+
+
+def kept_bytes(text: bytes, packed) -> tuple[bytes, int]:
+    """What the spans leave of a text, and the number of maximal spans."""
+    if not packed:
+        return text, 0
+    cuts = merged(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in packed])).tolist()
+    at, parts = 0, []
+    for a, b in cuts:
+        parts.append(text[at:a])
+        at = b
+    return b"".join([*parts, text[at:]]), len(cuts)
+
+
 def without_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
     """Texts without the bytes that a string of ``length`` bytes which also starts earlier covers.
 
     Input (doc_id, text), other columns are ignored.  Earlier means in a
     document with a smaller doc_id, or in the same one at a smaller start.
     Strings are judged on the input and never cross documents; overlaps count.
-    Returns (doc_id, twin, n_bytes, n_removed, n_spans, kept binary) for each
-    row.  A null text is empty and loses nothing, nor does one shorter than
-    ``length``.  Of rows that repeat a doc_id those with other texts are in
-    order of ``twin``, the text's hash; equal rows count as one and get the
-    same result.  A null doc_id comes last.  An empty table gives an empty table.
+    Returns (doc_id, n_bytes, n_removed, n_spans, kept binary) for each row.  A
+    null text is empty and loses nothing, nor does one shorter than ``length``.
+    Of rows that repeat a doc_id those with other texts are in order of the
+    text's hash; equal rows count as one and get the same result.  A null doc_id
+    comes last.  An empty table gives an empty table.
     """
-    keyed = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
-        F.hash("text").alias("twin"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed_texts(documents, [])
     spans = repeated_spans(keyed.select("doc", "twin", "text"), length)
 
     def run(batches):
         for batch in batches:
             n, gone, runs, kept = [], [], [], []
             for text, packed in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("packed").to_pylist()):
-                cuts = merged(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in packed])).tolist() if packed else []
-                at, parts = 0, []
-                for a, b in cuts:
-                    parts.append(text[at:a])
-                    at = b
-                parts.append(text[at:])
-                whole = b"".join(parts)
-                n.append(len(text)), gone.append(len(text) - len(whole)), runs.append(len(cuts)), kept.append(whole)
+                left, cuts = kept_bytes(text, packed)
+                n.append(len(text)), gone.append(len(text) - len(left)), runs.append(cuts), kept.append(left)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("twin"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-                ["doc_id", "twin", "n_bytes", "n_removed", "n_spans", "kept"])
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return keyed.join(spans, ["doc", "twin"], "left").select("doc_id", "text", "packed").mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def documents_without_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
+    """``documents`` with their texts as without_repeats() leaves them, and the same columns.
 
-    return keyed.join(spans, ["doc", "twin"], "left").select("doc_id", "twin", "text", "packed").mapInArrow(
-        run, "doc_id long, twin int, n_bytes long, n_removed long, n_spans long, kept binary")
+    Bytes of a character that a removed span cuts go too.  n_chars, where there
+    is such a column, is the new length.  A document stays even if nothing of
+    its text does.
+    """
+    carry = [c for c in documents.columns if c not in ("doc_id", "text")]
+    keyed = keyed_texts(documents, [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    spans = repeated_spans(keyed.select("doc", "twin", "text"), length)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            left = [kept_bytes(t, p)[0].decode("utf-8", "ignore") for t, p in zip(texts, batch.column("packed").to_pylist())]
+            place = batch.schema.get_field_index("text")
+            yield batch.set_column(place, "text", pa.array(left, pa.string())).drop_columns(["packed"])
+
+    names = ["doc_id", "text", *[f"_{k}" for k in range(len(carry))]]
+    rows = keyed.join(spans, ["doc", "twin"], "left").select(*names, "packed")
+    out = rows.mapInArrow(run, rows.drop("packed").schema)
+    kinds = {f.name: f.dataType for f in documents.schema}
+    back = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("text")} | {c: F.col(f"_{k}") for k, c in enumerate(carry)}
+    if "n_chars" in carry:
+        back["n_chars"] = F.length("text").cast(kinds["n_chars"])
+    return out.select(*[back[c].alias(c) for c in documents.columns])
