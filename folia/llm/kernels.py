@@ -6,13 +6,28 @@ They depend on bytes only, so every executor computes the same values.
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_STATE: dict = {}
+
+
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker.
+
+    Functions are pickled by value, so a task gets fresh module globals; what
+    tasks of one worker are to share must hang elsewhere.
+    """
+    if "_folia_worker" not in sys.modules:
+        module = types.ModuleType("_folia_worker")
+        module.state = {}
+        sys.modules["_folia_worker"] = module
+    return sys.modules["_folia_worker"].state
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -25,19 +40,21 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def byte_weights() -> np.ndarray:
-    if "weights" not in _STATE:
-        _STATE["weights"] = mix64(np.arange(1, 257, dtype=U64) * U64(_BASE)) | U64(1)
-    return _STATE["weights"]
+    state = worker_state()
+    if "weights" not in state:
+        state["weights"] = mix64(np.arange(1, 257, dtype=U64) * U64(_BASE)) | U64(1)
+    return state["weights"]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base, and of its inverse, modulo 2**64."""
-    if len(_STATE.get("powers", ((),))[0]) < n:
+    state = worker_state()
+    if "powers" not in state or len(state["powers"][0]) < n:
         size = max(n, 1 << 16)
         up, down = np.full(size, _BASE, U64), np.full(size, _INVERSE, U64)
         up[0] = down[0] = 1
-        _STATE["powers"] = np.cumprod(up), np.cumprod(down)
-    up, down = _STATE["powers"]
+        state["powers"] = np.cumprod(up), np.cumprod(down)
+    up, down = state["powers"]
     return up[:n], down[:n]
 
 
