@@ -83,7 +83,7 @@ def slot_blocks(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame
     shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("slots").over(W.partitionBy()) / shard_slots).cast("long"))
     chunks = targets.withColumn("shards", shards).where("slots > 0").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long"))))
-    chunks = chunks.repartition("rank", "chunk")
+    chunks = chunks.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "chunk")
     slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)))
     slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
     return slots.select(
@@ -118,9 +118,9 @@ def mixed(documents: DataFrame, carry: list[str] | None = None, block: int = BLO
     begin, end = F.greatest(F.col("start"), F.col("at") * block), F.least(F.col("start") + F.col("size"), (F.col("at") + 1) * block)
     cells = cells.select("rank", "start", "at", (begin - F.col("start")).alias("first"), (end - begin).alias("words"))
     times = slot_blocks(targets).groupBy("rank", "at").agg(F.count("*").alias("times"))
-    taken = cells.join(times, ["rank", "at"]).groupBy("rank", "start").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("segments"))
+    taken = cells.join(times.hint("merge"), ["rank", "at"]).groupBy("rank", "start").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("segments"))
     taken = taken.withColumn("worded", F.lit(True))
-    out = laid.withColumn("worded", F.col("size") > 0).join(taken, ["rank", "start", "worded"], "left")
+    out = laid.withColumn("worded", F.col("size") > 0).join(taken.hint("merge"), ["rank", "start", "worded"], "left")
     return out.select("doc_id", "size", "source_size", "target", "segments", *(carry or []))
 
 
