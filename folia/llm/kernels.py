@@ -71,7 +71,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64))
 
 
-def text_blocks(column, most: int = 1 << 21):
+def text_blocks(column, most: int = 1 << 19):
     """Yield (first row, bytes, offsets) over a string column in pieces of about ``most`` bytes.
 
     A null is an empty text.  A text is never cut: one that is longer makes a

@@ -30,6 +30,8 @@ from .kernels import U64, mix64, prefix_hash, signed, sliding, span_hash, text_b
 from .runtime import materialize, release_shuffles
 
 SEED = 24
+#: Regions that a task holds before it reduces them, and that one suffix array takes.
+HELD, AT_ONCE = 400_000, 8_000
 #: What one region is, within a bucket's binary row.
 REGION = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("twin", "<i4"), ("start", "<u4"), ("size", "<u2"), ("at", "<u2")])
 
@@ -139,7 +141,7 @@ def local_regions(documents: DataFrame, length: int, buckets: int) -> DataFrame:
                     r["anchor"], r["body"], r["doc"], r["twin"] = anchor, body, docs[row + text], twins[row + text]
                     r["start"], r["size"], r["at"] = start, size, at
                     held.append(r)
-                if sum(map(len, held)) > 1_000_000:
+                if sum(map(len, held)) > HELD:
                     yield from flush()
         if held:
             yield from flush()
@@ -354,8 +356,8 @@ def interval_spans(cut: DataFrame, length: int) -> DataFrame:
         order = np.argsort(rows["anchor"], kind="stable")
         keys = rows["anchor"][order]
         found, a = [], 0
-        while a < len(order):  # whole anchors, about 4 MB of bodies at a time
-            b = min(len(order), a + 32_000)
+        while a < len(order):  # whole anchors, about 1 MB of bodies at a time
+            b = min(len(order), a + AT_ONCE)
             while b < len(order) and keys[b] == keys[b - 1]:
                 b += 1
             part = order[a:b]
