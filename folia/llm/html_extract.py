@@ -36,6 +36,10 @@ CUT_NAMES = re.compile(
     r"side-?bar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Names that say what a block lacks or shows, names of layout, and names of an article's own parts.
+ABOUT = re.compile(r"(?:no|has|with|without|is|hide|show)[-_]", re.I)
+LAYOUT = frozenset("article body container content entry hentry layout main page post story wrapper".split())
+OWN_PART = re.compile(r"(?:article|content|entry|page|post|story)[-_]?(?:header|footer|banner)", re.I)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BASE = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
 
@@ -55,6 +59,16 @@ class Node:
         return node is other
 
 
+def unwanted(names: str) -> bool:
+    """Whether class names or an id tell of a menu, an advert and the like."""
+    cut = False
+    for name in names.split():
+        if name.lower() in LAYOUT:
+            return False
+        cut = cut or bool(CUT_NAMES.search(name)) and not ABOUT.match(name) and not OWN_PART.search(name)
+    return cut
+
+
 def is_cut(tag: str, attributes: str, parent: Node) -> bool:
     if tag in CUT_TAGS:
         return True
@@ -66,7 +80,7 @@ def is_cut(tag: str, attributes: str, parent: Node) -> bool:
     if attributes.strip():
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and CUT_NAMES.search(value):
+            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and unwanted(value):
                 return True
             if name == "role" and value.lower() in CUT_ROLES or name == "hidden" and value.lower() != "until-found":
                 return True
