@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 BUCKETS = 8192
 SCALE = 1000
-THRESHOLD = -0.12
+THRESHOLD = -0.1
 TRUSTED = 20_000
 
 
