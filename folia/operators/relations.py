@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..session import shared_folder
 
 
 def before_after(before: DataFrame, after: DataFrame, key: str = "rel") -> DataFrame:
@@ -61,9 +60,8 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFra
     shared checkpoint folder, so plans stay short.
     """
     spark = edges.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/folia-checkpoints"
-    home, k = f"{base.rstrip('/')}/reach-{uuid.uuid4().hex}", 0
-    roots.select("node").distinct().write.parquet(f"{home}/step={k}")
+    home = shared_folder(spark, "reach")
+    roots.select("node").distinct().write.parquet(f"{home}/step=0")
     for k in range(1, rounds):
         seen = spark.read.parquet(home)
         new = seen.where(F.col("step") == k - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()

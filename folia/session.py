@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +15,17 @@ def build(name: str = "folia", master: str | None = None, **settings: str) -> Sp
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share.
+
+    A local session without that setting gets a temporary folder of this machine.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="folia-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/folia-streams"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..session import shared_folder
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append", handle=None) -> DataFrame:
