@@ -1,7 +1,7 @@
 """Packing tokenised documents into fixed-length sequences by sum of squares.
 
-Tokenising is cached by word: this vocabulary's pre-tokens never cross white
-space, so a text's ids are its words' ids in a row.  Pieces are then dealt to
+Tokenising is cached: this vocabulary's pre-tokens never cross white space, so a
+text's ids are its pre-tokens' ids in a row.  Pieces are then dealt to
 groups of about GROUP pieces by a hash of what they are, and every group is
 packed on its own, so no task's work grows with the table.
 """
@@ -9,6 +9,8 @@ packed on its own, so no task's work grows with the table.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -16,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import text_blocks
+from .kernels import text_blocks, worker_state
 from .runtime import materialize
 
 GROUP = 4096
-CACHE_WORDS = 250_000
-CACHE_WORD_BYTES = 48
+CACHE_UNITS = 250_000
+CACHE_UNIT_CHARS = 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_WORKER: dict = {}
 
 
 def default_vocabulary() -> str:
@@ -32,29 +33,86 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def word_ids(path: str, words) -> dict[bytes, bytes]:
-    """The worker's cache of little-endian 32-bit ids by word, filled for these words."""
-    if _WORKER.get("path") != path:
+#: Characters whose normal form, case and kind need no tables; a text of these is split here.
+PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: The vocabulary's pre-tokens over those characters in lower case.
+PRE_TOKEN = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if printable, else the next after 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Encoder:
+    """Packed ids (little-endian, 32 bits) of texts, cached by pre-token or by word.
+
+    Texts of PLAIN characters without a special token's mark are split into
+    pre-tokens, and the vocabulary's model is asked for new ones alone.  In
+    other texts new words go through the whole tokenizer.  A full cache becomes
+    the old one; what is used again moves on from there.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORKER.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
-    cache = _WORKER["cache"]
-    fresh = [w for w in words if w not in cache]
-    for k in range(0, len(fresh), 4096):
-        part = fresh[k : k + 4096]
-        for w, e in zip(part, _WORKER["tokenizer"].encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    return cache
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.long: list[str] = []
+        self.cache, self.old = Units(self), Units(self)
+        self.plain = all(f'"{kind}"' in self.tokenizer.to_str()[:4000] for kind in ("NFC", "Lowercase", "ByteLevel")) and "'ll|'d|[" in self.tokenizer.to_str()[:4000]
 
-
-def trim_cache() -> None:
-    cache = _WORKER["cache"]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    else:
-        for w in [w for w in cache if len(w) > CACHE_WORD_BYTES]:
-            del cache[w]
+    def ask(self, unit: str) -> bytes:
+        """A pre-token is a str of its own; a word of another text begins with a blank."""
+        if unit[:1] == " ":
+            ids = self.tokenizer.encode(unit[1:], add_special_tokens=False).ids
+        else:
+            shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def units(self, text: str) -> list[str]:
+        if self.plain and "<|" not in text and PLAIN.fullmatch(text):
+            return PRE_TOKEN.findall(text.lower())
+        return [" " + w.decode() for w in text.encode().split()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if len(self.cache) > CACHE_UNITS:
+                self.cache, self.old = Units(self), self.cache
+            out.append(b"".join(map(self.cache.__getitem__, self.units(text))))
+        for u in self.long:
+            self.cache.pop(u, None)
+        self.long.clear()
+        return out
+
+
+class Units(dict):
+    """Packed ids by unit; a new unit comes from the old cache or is asked for."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, unit: str) -> bytes:
+        found = dict.get(self.encoder.old, unit)
+        if found is None:
+            found = self.encoder.ask(unit)
+        self[unit] = found
+        if len(unit) > CACHE_UNIT_CHARS:
+            self.encoder.long.append(unit)
+        return found
+
+
+def worker_encoder(path: str) -> Encoder:
+    state = worker_state()
+    if state.get("vocabulary") != path:
+        state.update(vocabulary=path, encoder=Encoder(path))
+    return state["encoder"]
 
 
 def token_pieces(documents: DataFrame, sequence: int, end_id: int, vocabulary: str | None) -> DataFrame:
@@ -62,21 +120,17 @@ def token_pieces(documents: DataFrame, sequence: int, end_id: int, vocabulary: s
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        path = vocabulary or default_vocabulary()
+        encoder = worker_encoder(vocabulary or default_vocabulary())
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for row, buf, offsets in text_blocks(batch.column("text"), 1 << 20):
                 data = buf.tobytes()
-                texts = [data[a:b].split() for a, b in zip(offsets[:-1], offsets[1:])]
-                cache = word_ids(path, set().union(*texts))
                 out = []
-                for i, words in enumerate(texts, row):
-                    packed = b"".join([cache[w] for w in words]) + last
-                    n = len(packed) // 4
-                    for k in range(0, n, sequence):
+                for i, packed in enumerate(encoder.encode([data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]), row):
+                    packed += last
+                    for k in range(0, len(packed) // 4, sequence):
                         part = packed[4 * k : 4 * (k + sequence)]
                         out.append((ids[i], k // sequence, k, len(part) // 4, zlib.crc32(part)))
-                trim_cache()
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
