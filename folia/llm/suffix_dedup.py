@@ -3,6 +3,9 @@
 Every window of ``length`` bytes has one anchor: the leftmost of its
 ``SEED``-byte grams with the smallest hash.  Equal windows have equal anchors
 at equal places, so windows need to be compared only within an anchor's group.
+Grams that a bounded sample shows to be common are taken only where a window has
+no other: so the ends of a passage that many texts hold are anchored in what
+stands beside it, not all at one gram.  This orders grams, and drops none.
 An anchor and all windows that it owns make a region of at most
 ``2 * length - SEED`` bytes.
 
@@ -20,6 +23,8 @@ An anchor and all windows that it owns make a region of at most
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -30,13 +35,47 @@ from .kernels import U64, mix64, prefix_hash, signed, sliding, span_hash, text_b
 from .runtime import materialize, release_shuffles
 
 SEED = 24
+#: Texts in the sample of common grams, the share that makes one common, bits of their table.
+SAMPLE, COMMON, TABLE_BITS = 2_000, 0.01, 24
 #: Regions that a task holds before it reduces them, and that one suffix array takes.
 HELD, AT_ONCE = 400_000, 8_000
 #: What one region is, within a bucket's binary row.
 REGION = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("twin", "<i4"), ("start", "<u4"), ("size", "<u2"), ("at", "<u2")])
 
 
-def regions(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def common_grams(documents: DataFrame, texts: int = SAMPLE, share: float = COMMON) -> np.ndarray | None:
+    """A table of 2**TABLE_BITS flags, by the first bits of their hashes, of grams in ``share`` of a sample of texts.
+
+    About ``texts`` rows with the smallest hashes of (doc, twin) are the sample,
+    which bounds what is counted and collected.  None where no gram is common.
+    """
+    rows = documents.count()
+    if not rows:
+        return None
+    picked = documents.where(F.pmod(F.xxhash64("doc", "twin"), F.lit(1 << 20)) < max(1, round((1 << 20) * min(1.0, texts / rows))))
+
+    def run(batches):
+        for batch in batches:
+            for _, buf, offsets in text_blocks(batch.column("text")):
+                found = [np.zeros(0, U64)]
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    if b - a >= SEED:
+                        prefix, at = prefix_hash(buf[a:b]), np.arange(b - a - SEED + 1)
+                        found.append(np.unique(span_hash(prefix, at, at + SEED) >> U64(64 - TABLE_BITS)))
+                slot, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+    counts = picked.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    least = max(8, math.ceil(share * min(texts, rows)))
+    slots = [r[0] for r in counts.where(F.col("n") >= least).select("slot").collect()]
+    if not slots:
+        return None
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[slots] = True
+    return table
+
+
+def regions(buf: np.ndarray, offsets: np.ndarray, length: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(text, start, size, anchor place in it, anchor hash, body hash) of all regions.
 
     start is an offset in the text.  Each window of ``length`` bytes of a text
@@ -49,7 +88,9 @@ def regions(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     prefix = prefix_hash(buf)
     at = np.arange(n - SEED + 1)
     gram = span_hash(prefix, at, at + SEED)
-    key = (gram & U64(0xFFFFFFFF00000000)) | at.astype(U64)
+    key = (gram & U64(0x7FFFFFFF00000000)) | at.astype(U64)
+    if common is not None:
+        key |= common[gram >> U64(64 - TABLE_BITS)].astype(U64) << U64(63)
     pick = (sliding(key, length - SEED + 1, np.minimum) & U64(0xFFFFFFFF)).astype(np.int64)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     windows = np.arange(len(pick))
@@ -112,9 +153,12 @@ def as_batch(out: dict) -> pa.RecordBatch:
 
 def local_regions(documents: DataFrame, length: int, buckets: int) -> DataFrame:
     """kind 0: covered spans of a document, in any bucket; kind 1: a bucket's first regions."""
+    table = common_grams(documents)
+    common = None if table is None else documents.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def run(batches):
         held: list[np.ndarray] = []
+        flags = None if common is None else np.unpackbits(common.value).astype(bool)
 
         def flush():
             rows = in_order(np.concatenate(held))
@@ -135,7 +179,7 @@ def local_regions(documents: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             docs, twins = (batch.column(c).to_numpy() for c in ("doc", "twin"))
             for row, buf, offsets in text_blocks(batch.column("text")):
-                text, start, size, at, anchor, body = regions(buf, offsets, length)
+                text, start, size, at, anchor, body = regions(buf, offsets, length, flags)
                 if len(text):
                     r = np.empty(len(text), REGION)
                     r["anchor"], r["body"], r["doc"], r["twin"] = anchor, body, docs[row + text], twins[row + text]
