@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,6 +82,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_llr_quality_rules, op2_cross_polytope_dedup, op3_target_mixing, op4_minhash_dedup, op5_warc_round_trip, op6_html_main_text, op7_sum_of_squares_packing, op8_nb_svm_quality, op9_tiered_sharding, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_cross_polytope_dedup": oracles.EMBEDDINGS,
+    "op3_target_mixing": oracles.MIXING,
+    "op4_minhash_dedup": oracles.DOCUMENTS,
+    "op10_suffix_dedup": oracles.REPEATS,
     "op9_tiered_sharding": """
         SELECT doc_id, lang, source, n_chars, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256 FROM documents
     """,
