@@ -24,12 +24,17 @@ SHARD_SLOTS = 1 << 16
 CHUNK = 1 << 14
 
 
+def scrambled(*parts: Column) -> Column:
+    """A pseudorandom number of 48 bits, from MD5, which any SQL engine has."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts]).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def sized_documents(documents: DataFrame, carry: list[str]) -> DataFrame:
     """(doc_id, s_null, s_key, size, spread) and the carried columns of each row."""
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("s_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("spread"), *carry)
+        (scrambled(F.col("doc_id").cast("long")) % SPREAD).alias("spread"), *carry)
 
 
 def source_targets(parts: DataFrame, block: int, limit: int = 3) -> DataFrame:
@@ -55,27 +60,27 @@ def source_targets(parts: DataFrame, block: int, limit: int = 3) -> DataFrame:
     return s.select("s_null", "s_key", "rank", "source_size", "target", "blocks", slots.alias("slots"))
 
 
-def permuted(j: Column, n: Column, rank: Column, turn: Column) -> Column:
-    """The place of j under a pseudorandom permutation of 0..n-1, one for each (rank, turn).
+def permuted(rows: DataFrame, j: Column, n: Column, rank: Column, turn: Column) -> DataFrame:
+    """``rows`` with ``at``, the place of j under a pseudorandom permutation of 0..n-1, one for each (rank, turn).
 
     A four-round Feistel network over a grid of about sqrt(n) by sqrt(n) cells
     permutes the grid; cells beyond n walk on until they fall inside.  Fewer than
     sqrt(n) cells lie beyond, so sixteen steps do for every n up to 2**60.
     """
-    rows = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    columns = F.ceil(n / rows).cast("long")
-    salted = lambda x, k: F.shiftrightunsigned(F.xxhash64(rank, turn, F.lit(k), x), 2)
+    across = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    down = F.ceil(n / across).cast("long")
 
     def network(y: Column) -> Column:
-        left, right = F.floor(y / columns).cast("long"), y % columns
-        left = (left + salted(right, 1) % rows) % rows
-        right = (right + salted(left, 2) % columns) % columns
-        left = (left + salted(right, 3) % rows) % rows
-        right = (right + salted(left, 4) % columns) % columns
-        return left * columns + right
+        left, right = F.floor(y / down).cast("long"), y % down
+        left = (left + scrambled(rank, turn, F.lit(1), right) % across) % across
+        right = (right + scrambled(rank, turn, F.lit(2), left) % down) % down
+        left = (left + scrambled(rank, turn, F.lit(3), right) % across) % across
+        right = (right + scrambled(rank, turn, F.lit(4), left) % down) % down
+        return left * down + right
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(16)), network(j), lambda y, _: F.when(y < n, y).otherwise(network(y)))
-    return walk
+    inside = F.col("_first") < n
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.col("_first"), lambda y, _: F.when(y < n, y).otherwise(network(y)))
+    return rows.withColumn("_first", network(j)).withColumn("at", F.when(inside, F.col("_first")).otherwise(walk)).drop("_first")
 
 
 def slot_blocks(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -86,9 +91,8 @@ def slot_blocks(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame
     chunks = chunks.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "chunk")
     slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)))
     slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
-    return slots.select(
-        "rank", "slot", F.pmod(F.xxhash64("rank", "slot"), F.col("shards")).alias("shard"), "turn",
-        permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("rank"), F.col("turn")).alias("at"))
+    placed = permuted(slots, F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("rank"), F.col("turn"))
+    return placed.select("rank", "slot", F.pmod(F.xxhash64("rank", "slot"), F.col("shards")).alias("shard"), "turn", "at")
 
 
 def mixed(documents: DataFrame, carry: list[str] | None = None, block: int = BLOCK) -> DataFrame:

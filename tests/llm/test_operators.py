@@ -225,8 +225,8 @@ def test_mixing_permutation_is_one(spark):
     from folia.llm.mixing import permuted
 
     for n in (1, 2, 3, 7, 100, 1000, 4097):
-        d = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(0).cast("long")).alias("p"))
-        assert sorted(r.p for r in d.collect()) == list(range(n))
+        d = permuted(spark.range(n), F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(0).cast("long"))
+        assert sorted(r["at"] for r in d.collect()) == list(range(n))
 
 
 def test_mixing_edges(spark, nothing):
@@ -341,6 +341,8 @@ def test_main_text():
     assert main_text(PAGE).split("\n\n") == ["Head & shoulders", "First, para graph with é and <tags>.", "Second one, a bit longer, with a line break. link", "item one", "item two"]
     plain = "<body><div id=menu><a href=1>One</a> <a href=2>Two</a></div><div><p>" + "Words, and words. " * 20 + "</p><p>End.</p></div></body>"
     assert main_text(plain).split("\n\n")[1:] == ["End."]
+    named = '<div class="layout has-sidebar"><div class="post-header"><h1>Own head</h1></div><div class="content"><p>' + "Words, and words. " * 9 + '</p></div><div class="widget">No</div></div>'
+    assert main_text(named).split("\n\n")[0] in ("Own head", ("Words, and words. " * 9).strip()) and "No" not in main_text(named)
     assert main_text("") == "" and main_text("<nav>x</nav>") == "" and main_text("just text") == "just text"
     assert main_text("<p>" * 3000 + "deep, text here" + "</div>" * 50)
 
