@@ -186,8 +186,9 @@ def linked_vectors(embeddings: DataFrame, least: float = 0.95) -> DataFrame:
     that are linked to it, component_id is the smallest vec_id that links reach.
     A vector that is null, empty, zero, or holds a null or non-finite component
     links with nothing; nor do vectors of different sizes.  Equal vectors are
-    one class, and count as linked rows.  Rows that repeat a vec_id are rows of
-    their own.  A null vec_id takes part in nothing.  An empty table gives an
+    one class, and count as linked rows.  Rows that repeat a vec_id with the same
+    vector count as rows of their own; with other vectors, classes that have it as
+    their smallest id share their links.  A null vec_id takes part in nothing.  An empty table gives an
     empty table.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -197,7 +198,6 @@ def linked_vectors(embeddings: DataFrame, least: float = 0.95) -> DataFrame:
     rows = rows.withColumn("sound", sound)
     grouped = rows.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     members = materialize(grouped, "vectors")
-    # two classes can share their smallest vec_id only if rows repeat one
     classes = materialize(with_codes(members.select("id", "copies", "embedding")), "codes")
     buckets = materialize(bucket_rows(classes), "buckets")
     shared = buckets.groupBy("key").agg(F.count("*").alias("k"), F.max("stored").alias("any")).where("k > 1 AND any").select("key", "k")
