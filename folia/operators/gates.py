@@ -26,7 +26,9 @@ def boilerplate_lines(pages: DataFrame, share: float = vocab.BOILER_SHARE) -> Da
     worded = pages.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     sizes = worded.groupBy("file").agg(F.count("*").alias("with_text")).where(F.col("with_text") >= vocab.BOILER_PAGES)
     on = worded.select("file", F.explode(F.array_distinct(F.transform(lines(F.col("text")), norm_line))).alias("line")).where("line <> ''")
-    common = on.groupBy("file", "line").agg(F.count("*").alias("n_on")).join(sizes, "file").where(F.col("n_on") >= F.col("with_text") * F.lit(share))
+    # a line on too few pages of the smallest file drops out before it is sent to its file
+    often = on.groupBy("file", "line").agg(F.count("*").alias("n_on")).where(F.col("n_on") >= share * vocab.BOILER_PAGES)
+    common = often.join(sizes, "file").where(F.col("n_on") >= F.col("with_text") * F.lit(share))
     guard = common.groupBy("file").agg(F.count("*").alias("k"), F.sum(F.length("line")).alias("chars")).where((F.col("k") <= vocab.BOILER_LINES) & (F.col("chars") <= vocab.BOILER_CHARS))
     return common.join(guard.select("file"), "file", "left_semi").select("file", "line", "n_on")
 
