@@ -113,14 +113,14 @@ def natural_order(parts: DataFrame, folder: str, name: str, affixes: DataFrame |
     else:
         rows = parts.join(affixes, folder).withColumn("lead", lead_rank(F.col(name), F.col("prefix"), F.col("suffix"))).drop("prefix", "suffix")
     w = W.partitionBy(folder).orderBy("lead", "_tokens", F.lower(name), name)
-    return rows.withColumn("_tokens", page_tokens(F.col(name))).withColumn("place", F.row_number().over(w)).drop("_tokens")
+    return rows.withColumn("_tokens", page_tokens(F.col(name))).withColumn("place", F.row_number().over(w).cast("long")).drop("_tokens")
 
 
 def order_by_doc_id(parts: DataFrame, folder: str, doc_id: str, name: str) -> DataFrame:
     """Adds place: by publisher's id if every part of the folder has one, else by name."""
     whole = parts.groupBy(folder).agg((F.count(doc_id) == F.count("*")).alias("_whole"))
     w = W.partitionBy(folder).orderBy(F.when(F.col("_whole"), F.col(doc_id)), page_tokens(F.col(name)), name)
-    return parts.join(whole, folder).withColumn("place", F.row_number().over(w)).withColumnRenamed("_whole", "by_doc_id")
+    return parts.join(whole, folder).withColumn("place", F.row_number().over(w).cast("long")).withColumnRenamed("_whole", "by_doc_id")
 
 
 def page_identity_groups(parts: DataFrame) -> DataFrame:
