@@ -40,7 +40,7 @@ SAMPLE, COMMON, TABLE_BITS = 2_000, 0.01, 24
 #: Regions that a task holds before it reduces them, and that one suffix array takes.
 HELD, AT_ONCE = 400_000, 8_000
 #: What one region is, within a bucket's binary row.
-REGION = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("twin", "<i4"), ("start", "<u4"), ("size", "<u2"), ("at", "<u2")])
+REGION = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("twin", "<i8"), ("start", "<u4"), ("size", "<u2"), ("at", "<u2")])
 
 
 def common_grams(documents: DataFrame, texts: int = SAMPLE, share: float = COMMON) -> np.ndarray | None:
@@ -115,6 +115,15 @@ def first_of_each(rows: np.ndarray) -> np.ndarray:
     return new
 
 
+def covered_by_first(rows: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """True where a region equals an earlier one; the first region itself, read from a row that repeats, doesn't."""
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    itself = np.ones(len(rows), bool)
+    for c in ("doc", "twin", "start"):
+        itself &= rows[c] == rows[c][first]
+    return ~itself
+
+
 def in_order(rows: np.ndarray) -> np.ndarray:
     return rows[np.lexsort((rows["start"], rows["twin"], rows["doc"], rows["body"], rows["anchor"]))]
 
@@ -143,11 +152,11 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-OUT = "doc long, twin int, kind int, bucket int, packed binary"
+OUT = "doc long, twin long, kind int, bucket int, packed binary"
 
 
 def as_batch(out: dict) -> pa.RecordBatch:
-    kinds = {"doc": pa.int64(), "twin": pa.int32(), "kind": pa.int32(), "bucket": pa.int32(), "packed": pa.binary()}
+    kinds = {"doc": pa.int64(), "twin": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "packed": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
 
@@ -164,7 +173,7 @@ def local_regions(documents: DataFrame, length: int, buckets: int) -> DataFrame:
             rows = in_order(np.concatenate(held))
             held.clear()
             new = first_of_each(rows)
-            spans = packed_spans(rows[~new])
+            spans = packed_spans(rows[covered_by_first(rows, new)])
             spans["bucket"] = [x % buckets for x in spans["doc"]]
             yield as_batch(spans)
             rows = rows[new]
@@ -203,7 +212,7 @@ def reduced_regions(local: DataFrame) -> DataFrame:
             return before
         rows = in_order(np.concatenate([np.frombuffer(x, REGION) for x in table.column("packed").to_pylist()]))
         new = first_of_each(rows)
-        out = packed_spans(rows[~new])
+        out = packed_spans(rows[covered_by_first(rows, new)])
         rows = rows[new]
         same = np.append(False, rows["anchor"][1:] == rows["anchor"][:-1])
         open_ = rows[same | np.append(same[1:], False)]
@@ -373,20 +382,28 @@ def covered_by_intervals(rows: np.ndarray, bodies: list[bytes], length: int) ->
 
 
 def cut_bodies(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(bucket, packed, body): each wanted document's regions of a bucket with their bytes."""
+    """(bucket, packed, body): each wanted document's regions of a bucket with their bytes.
+
+    Of neighbouring rows that repeat only one is cut; interval_spans() drops what is left of them.
+    """
     per_doc = wanted.groupBy("doc", "twin").agg(F.collect_list(F.struct("bucket", "packed")).alias("wanted"))
 
     def run(batches):
+        last = None
         for batch in batches:
             out = [[], [], []]
-            for text, wants in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
+            keys = zip(batch.column("doc").to_pylist(), batch.column("twin").to_pylist())
+            for key, text, wants in zip(keys, batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
+                if key == last:
+                    continue
+                last = key
                 for w in wants:
                     rows = np.frombuffer(w["packed"], REGION)
                     out[0].append(w["bucket"]), out[1].append(w["packed"])
                     out[2].append(b"".join([text[s : s + n] for s, n in zip(rows["start"].tolist(), rows["size"].tolist())]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "packed", "body"])
 
-    return documents.join(per_doc, ["doc", "twin"]).select("text", "wanted").mapInArrow(run, "bucket int, packed binary, body binary")
+    return documents.join(per_doc, ["doc", "twin"]).select("doc", "twin", "text", "wanted").mapInArrow(run, "bucket int, packed binary, body binary")
 
 
 def interval_spans(cut: DataFrame, length: int) -> DataFrame:
@@ -397,7 +414,10 @@ def interval_spans(cut: DataFrame, length: int) -> DataFrame:
         for part, data in zip(parts, table.column("body").to_pylist()):
             ends = np.cumsum(part["size"])
             bodies += [data[e - n : e] for e, n in zip(ends.tolist(), part["size"].tolist())]
-        order = np.argsort(rows["anchor"], kind="stable")
+        order = np.lexsort((rows["start"], rows["twin"], rows["doc"], rows["anchor"]))
+        fresh = np.ones(len(order), bool)  # a region of a row that repeats comes once
+        fresh[1:] = np.any([rows[c][order[1:]] != rows[c][order[:-1]] for c in ("anchor", "doc", "twin", "start")], axis=0)
+        order = order[fresh]
         keys = rows["anchor"][order]
         found, a = [], 0
         while a < len(order):  # whole anchors, about 1 MB of bodies at a time
@@ -416,6 +436,7 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
     """(doc, twin, packed): for each text with such bytes, the spans that repeat an earlier string.
 
     ``documents`` has (doc, twin, text); (doc, twin) is the order of texts.
+    Rows with the same (doc, twin) count as one.
     """
     spark = documents.sparkSession
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -433,7 +454,7 @@ def keyed_texts(documents: DataFrame, carry: list[str]) -> DataFrame:
     number = F.col("doc_id").cast("long")
     return documents.select(
         number.alias("doc_id"), F.coalesce(number, F.lit(2**63 - 1)).alias("doc"),
-        F.hash("text").alias("twin"), F.coalesce("text", F.lit("")).alias("text"), *carry)
+        F.xxhash64("text").alias("twin"), F.coalesce("text", F.lit("")).alias("text"), *carry)
 
 
 def kept_bytes(text: bytes, packed) -> tuple[bytes, int]:

@@ -582,6 +582,35 @@ def test_suffix_dedup_edges(spark, nothing):
     assert len(out) == 6 and [r.n_removed for r in out if r.doc_id is None and r.n_bytes] == [280]
 
 
+def test_suffix_dedup_repeated_rows(spark):
+    from folia.llm.suffix_dedup import documents_without_repeats, without_repeats
+
+    assert sorted(r.n_removed for r in without_repeats(odd(spark)).collect() if r.doc_id == 5) == [0, 266, 266]
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, other = text(600), text(600)
+    once = [(1, passage), (2, "x" + passage[100:400] + text(90) + other[:200]), (3, text(80) + passage[50:350] + "y"), (4, other)]
+    want = {i: bytes(c for c, m in zip(t, cut) if not m) for i, (t, cut) in removed_bytes(once, 100).items()}
+    rows = spark.createDataFrame([*once, *once, once[0]] + [(None, "z" + text(300))] * 3, "doc_id long, text string").repartition(5)
+    out = without_repeats(rows).collect()
+    assert len(out) == 12 and all(bytes(r.kept) == want[r.doc_id] for r in out if r.doc_id)
+    assert [r.n_removed for r in out if r.doc_id is None] == [0] * 3
+    assert sorted(r.text for r in documents_without_repeats(rows).collect()) == sorted(bytes(r.kept).decode() for r in out)
+
+
+def test_suffix_dedup_texts_of_one_id_whose_short_hashes_are_equal(spark):
+    from folia.llm.suffix_dedup import without_repeats
+
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    texts = spark.range(1 << 18).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit(passage), F.format_string("%08d", "id")).alias("text"))
+    pair = texts.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).where("size(texts) = 2").orderBy("h").limit(1).collect()[0].texts
+    assert pair[0] != pair[1]
+    out = without_repeats(spark.createDataFrame([(1, t) for t in pair], "doc_id long, text string")).collect()
+    shared = max(k for k in range(309) if pair[0][:k] == pair[1][:k])
+    assert sorted(r.n_removed for r in out) == [0, shared]
+
+
 # pipeline --------------------------------------------------------------------
 
 
