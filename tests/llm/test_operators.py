@@ -630,3 +630,19 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
             sizes.append(now.count())
     assert len(rows) > sizes[0] > sizes[1] == sizes[2]
     assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(repr, out.select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_pipeline_links_near_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    rows, want = [], set()
+    for n in range(44, 66):  # one other word in the middle: similarities from 0.78 to below 0.85
+        words = [f"w{n}x{j}" for j in range(n)]
+        texts = [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
+        a, b = map(shingles, texts)
+        near = 100 * len(a & b) >= 80 * len(a | b)
+        assert 100 * len(a & b) < 85 * len(a | b) and near == (n >= 49)
+        rows += [(2 * n, texts[0]), (2 * n + 1, texts[1])]
+        want |= {2 * n} if near else {2 * n, 2 * n + 1}
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in out} == want and len(out) == len(want)
