@@ -129,6 +129,7 @@ def members(file, size: int, start: int, end: int, step: int = 1 << 20):
         at = base + k
         if at >= end:
             return
+        ensure(at + 4096)
         try:
             if not zlib.decompressobj(31).decompress(window[k : k + 4096], 64).startswith(b"WARC/1."):
                 raise zlib.error

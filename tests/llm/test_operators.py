@@ -320,6 +320,22 @@ def test_warc_round_trip_over_small_splits(spark):
     assert gzip.open(files[0][0]).read().startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_member_at_the_end_of_what_is_loaded():
+    import io
+
+    import pyarrow as pa
+
+    from folia.llm.warc import members, parse_record, record_bytes
+
+    payload = "é some page ".encode() * 50
+    record = record_bytes(7, "u", payload, hashlib.sha256(payload).hexdigest(), "response", None)
+    for short in (3, 10, 40, 100):
+        data = b"\0" * (4096 - short) + record + record
+        found = list(members(pa.PythonFile(io.BytesIO(data), "r"), len(data), 0, len(data), step=4096))
+        assert [at for at, _ in found] == [4096 - short, 4096 - short + len(record)]
+        assert all(parse_record(x)["payload"] == payload for _, x in found)
+
+
 def test_warc_empty_table(spark):
     from folia.llm.warc import archive_round_trip
 
