@@ -1,10 +1,9 @@
 """Mixing sources to target weights in fixed-length blocks of words.
 
 Each source's words are laid end to end and cut into blocks of ``block`` words.
-A source's target asks for a number of block slots.  Every slot is thrown to an
-output shard, so the shards' source counts are multinomial draws whose totals
-meet the targets; drawing each shard by itself would miss a small source's
-target by the noise of the draws.  Slot j of a source takes the block that a
+A source's target asks for a number of block slots, rounded and not drawn.
+Every slot is thrown to a shard, but no output has the shard yet, so that draw
+decides nothing.  Slot j of a source takes the block that a
 pseudorandom permutation of its block numbers has at j; a new permutation
 begins when the source is used up.  Slots and blocks meet by index.
 
