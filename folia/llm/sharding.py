@@ -113,7 +113,8 @@ class ShardedTable:
             self.remove(merged)
 
     def schema(self, files: list[str]):
-        return self.spark.read.parquet(files[0]).schema
+        """The columns of all files; types that can't be merged raise."""
+        return self.spark.read.option("mergeSchema", "true").parquet(*files).schema
 
     def remove(self, runs: list[dict]) -> None:
         for run in runs:

@@ -527,6 +527,18 @@ def test_sharding_round_trip_and_versions(spark, docs, rows):
     assert json.loads(json.dumps(table.manifest())) == manifest
 
 
+def test_sharding_keeps_columns_of_later_runs(spark):
+    from folia.llm.runtime import new_path
+    from folia.llm.sharding import ARRIVAL, ShardedTable
+
+    table = ShardedTable(spark, new_path(spark, "shards"), fan_in=2)
+    table.append(spark.createDataFrame([(1, 0)], f"a long, {ARRIVAL} int"))
+    table.append(spark.createDataFrame([(2, "x", 0)], f"a long, b string, {ARRIVAL} int"))
+    for _ in range(2):
+        assert sorted((r.a, r.b) for r in table.read().select("a", "b").collect()) == [(1, None), (2, "x")]
+        table.compact()
+
+
 def test_sharding_edges(spark, nothing):
     from folia.llm.sharding import through_shards
 
