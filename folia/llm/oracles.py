@@ -63,12 +63,15 @@ WITH d AS (SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS sk, CAST
  j AS (SELECT rank, blocks AS n, slot, slot // blocks AS turn, slot % blocks AS y, CAST(ceil(sqrt(CAST(blocks AS DOUBLE))) AS BIGINT) AS rs FROM (SELECT rank, blocks, unnest(range(0, slots)) AS slot FROM s WHERE slots > 0)),
  k AS (SELECT *, CAST(ceil(n / rs) AS BIGINT) AS cs FROM j), y0 AS (SELECT * EXCLUDE (y), {_network("y")} AS y FROM k),
  {{walk}}
- times AS (SELECT rank, y AS blk, count(*) AS times FROM y{{last}} GROUP BY ALL),
+ shards AS (SELECT greatest(1, CAST(ceil(sum(slots) / 16384) AS BIGINT)) AS shards FROM s),
+ balls AS (SELECT rank, {_scrambled("0", "rank", "ball")} % shards AS shard FROM (SELECT rank, unnest(range(0, slots)) AS ball FROM s WHERE slots > 0), shards),
+ ranges AS (SELECT rank, shard, row_number() OVER (PARTITION BY rank ORDER BY shard) - 1 AS slot FROM balls),
+ times AS (SELECT rank, y AS blk, count(*) AS times, min(shard) AS shard FROM y{{last}} JOIN ranges USING (rank, slot) GROUP BY ALL),
  places AS (SELECT p.sn, p.sk, p.spread, s.rank, s.source_size, s.target, CAST(coalesce(sum(part) OVER (PARTITION BY p.sn, p.sk ORDER BY p.spread ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM parts p JOIN s USING (sn, sk)),
  laid AS (SELECT doc_id, size, rank, source_size, target, base + CAST(coalesce(sum(size) OVER (PARTITION BY d.sn, d.sk, d.spread ORDER BY doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN places USING (sn, sk, spread)),
  cells AS (SELECT rank, start, blk, least(start + size, (blk + 1) * 64) - greatest(start, blk * 64) AS words FROM (SELECT *, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS blk FROM laid WHERE size > 0)),
- taken AS (SELECT rank, start, CAST(sum(words * times) AS BIGINT) AS taken FROM cells JOIN times USING (rank, blk) GROUP BY ALL)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM laid LEFT JOIN taken ON laid.rank = taken.rank AND laid.start = taken.start AND laid.size > 0
+ taken AS (SELECT rank, start, CAST(sum(words * times) AS BIGINT) AS taken, min(shard) AS first_shard FROM cells JOIN times USING (rank, blk) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_shard FROM laid LEFT JOIN taken ON laid.rank = taken.rank AND laid.start = taken.start AND laid.size > 0
 """
 _WALK = " ".join(f"y{k} AS (SELECT * EXCLUDE (y), CASE WHEN y < n THEN y ELSE {_network('y')} END AS y FROM y{k - 1})," for k in range(1, 4))
 MIXING = MIXING.replace("{walk}", _WALK).replace("{last}", "3")

@@ -225,16 +225,58 @@ def test_mixing_permutation_is_one(spark):
     from folia.llm.mixing import permuted
 
     for n in (1, 2, 3, 7, 100, 1000, 4097):
-        d = permuted(spark.range(n), F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(0).cast("long"))
+        d = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(0)).alias("at"))
         assert sorted(r["at"] for r in d.collect()) == list(range(n))
 
 
-def test_mixing_edges(spark, nothing):
+def test_mixing_draws_shard_counts(spark):
+    """Counts add up to each source's slots, ranges tile them, and counts over seeds are as a multinomial's."""
+    from folia.llm.mixing import shard_counts, shard_ranges, slot_blocks
+
+    slots = {1: 40, 2: 900, 3: 0, 4: 2000}
+    targets = spark.createDataFrame([(k, n, max(1, n // 2)) for k, n in slots.items()], "rank long, slots long, blocks long")
+    seen, spread = [], 0.0
+    for seed in range(5):
+        counts = shard_counts(targets, 300, seed)
+        got = {(r["rank"], r["shard"]): r["count"] for r in counts.collect()}
+        assert {k: sum(n for (rank, _), n in got.items() if rank == k) for k in slots} == slots
+        seen.append(got)
+        expected = slots[4] / 10
+        spread += sum((got.get((4, h), 0) - expected) ** 2 / expected for h in range(10))
+    assert 18 < spread < 85 and len({tuple(sorted(x.items())) for x in seen}) == 5  # chi-square of 45 degrees of freedom
+    ranges = sorted((r["rank"], r["begin"], r["count"]) for r in shard_ranges(shard_counts(targets, 300)).collect())
+    at = collections.Counter()
+    for rank, begin, count in ranges:
+        assert begin == at[rank]
+        at[rank] += count
+    rows = slot_blocks(targets, shard_counts(targets, 300)).collect()
+    assert len(rows) == sum(slots.values()) and len({(r["rank"], r["slot"]) for r in rows}) == len(rows)
+    times = collections.Counter((r["rank"], r["at"]) for r in rows)
+    assert set(times.values()) == {2} and len({r["shard"] for r in rows}) == 10
+
+
+def test_mixing_many_sources(spark):
     from folia.llm.mixing import taken_per_document
 
+    rows = [(k, "word " * (1 + 37 * k % 400), "en", f"h{k:03d}" if k else None, 1) for k in range(300)]
+    sizes = collections.Counter({r[3]: len(r[1].split()) for r in rows})
+    want = water_levels(sizes)
+    for r in taken_per_document(spark.createDataFrame(rows, DOCS), 8).collect():
+        assert r.target == pytest.approx(want[f"h{r.doc_id:03d}" if r.doc_id else None])
+
+
+def test_mixing_edges(spark, nothing):
+    from folia.llm.mixing import mixed_documents, taken_per_document
+
     assert taken_per_document(nothing).count() == 0
     out = taken_per_document(odd(spark), 8).collect()
     assert len(out) == 6 and all(r.taken <= 3 * r["size"] for r in out)
+    names = ["size", "rank", "segments", "start", "at", "spread", "before", "base", "target", "blocks", "slots", "shard", "worded", "copy", "mix_text", "part", "_0", "first_shard", "s_null", "s.key"]
+    wide = spark.createDataFrame([(1, "a b c " * 30, "s"), (2, "d e f " * 30, None)], "doc_id int, text string, source string")
+    wide = wide.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    back = mixed_documents(wide, 8)
+    assert back.columns == wide.columns and back.schema["doc_id"].dataType.simpleString() == "int"
+    assert all(r[c] == k for r in back.collect() for k, c in enumerate(names))
     blank = taken_per_document(odd(spark).withColumn("text", F.lit(" "))).collect()
     assert [(r["size"], r.target, r.taken) for r in blank] == [(0, 0.0, 0)] * 6
 
