@@ -405,6 +405,87 @@ def test_main_text():
     assert main_text("<p>" * 3000 + "deep, text here" + "</div>" * 50)
 
 
+ARTICLE = "<p>" + "A long sentence, with commas, that reads as an article. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("page,times", [
+    (f"<main>{ARTICLE}<svg width=1 />{ARTICLE}</main>", 12), (f"<main>{ARTICLE}<iframe src=x/>{ARTICLE}<iframe src=y>{ARTICLE}</main>", 18),
+    (f'<head><script src="x"/></head><body><article>{ARTICLE}</article>', 6), (f"<head><title>name<body><article>{ARTICLE}</article>", 6),
+    (f'<div class="promotion-story">{ARTICLE}</div>', 6), (f'<div class="promotion">{ARTICLE}</div><article>{ARTICLE}</article>', 6), (f"<form>{ARTICLE}</form>", 6),
+    (f'<main>{ARTICLE}<div id="discussion"><p>Reader remark.</p></div></main>', 6),
+    (f'<main>{ARTICLE}<section id="discussion"><article><p>Reader remark.</p></article></section></main>', 6),
+    (f"<article>{ARTICLE}<article><p>Reader remark.</p></article></article>", 6),
+    (f'<main>{ARTICLE}<p title="a > b">{"A long sentence." * 9}</p><p id=it\'s>A long sentence.</p></main>', 16),
+])
+def test_main_text_keeps_the_article(page, times):
+    from folia.llm.html_extract import main_text
+
+    text = main_text(page)
+    assert text.count("A long sentence") == times and "remark" not in text and "name" not in text
+
+
+def test_main_text_of_papers_and_menus():
+    from folia.llm.html_extract import main_text
+
+    assert "It follows." in main_text(f'<main><section id="methods">{ARTICLE}</section><section id="discussion"><p>It follows.</p></section></main>')
+    assert main_text('<nav><a href="/">Home</a></nav><div class="menu"><a>One</a></div>') == ""
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a b="<x>"' * 100_000, "<div><p>x y z" * 100_000, "<svg>" * 100_000, "<" * 1_000_000, "<ul><li>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000])
+def test_main_text_of_hostile_pages_is_fast(page):
+    import time
+
+    from folia.llm.html_extract import main_text
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 8
+
+
+def test_tree_scoring_against_brute_force():
+    """Random trees, scored from the definition: every container adds up what each text below passes up to it."""
+    from folia.llm.html_extract import BASE, LEVELS, main_text
+
+    rng = random.Random(5)
+
+    def tree(depth):
+        kids = [tree(depth + 1) if depth < 5 and rng.random() < 0.5 else ("p", [" ".join(rng.choice(["one,", "two", "three"]) for _ in range(rng.randint(1, 40)))]) for _ in range(rng.randint(1, 4))]
+        return rng.choice(["div", "section", "blockquote", "ul"]), kids
+
+    def written(node):
+        return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(written, node[1])) + f"</{node[0]}>"
+
+    def below(node, path=()):
+        for k in node[1]:
+            if isinstance(k, str):
+                yield (*path, id(node)), k
+            else:
+                yield from below(k, (*path, id(node)))
+
+    def every(node):
+        yield node
+        for k in node[1]:
+            if not isinstance(k, str):
+                yield from every(k)
+
+    for _ in range(40):
+        top = ("body", [tree(0) for _ in range(3)])
+        texts, nodes = list(below(top)), {id(n): n for n in every(top)}
+        up = {id(k): id(n) for n in every(top) for k in n[1] if not isinstance(k, str)}
+        points = {}
+        for n in nodes:
+            gained = [1 + t.count(",") + min(len(t) / 100, 3) for path, t in texts if n in path[:-1]]
+            levels = [len(path) - 2 - path.index(n) for path, t in texts if n in path[:-1]]
+            parts = [g / ((1, 2, 6, 9)[lv] if lv < 4 else 3 * lv) for g, lv in zip(gained, levels) if lv < LEVELS]
+            if parts:
+                points[n] = BASE.get(nodes[n][0], 0.0) + sum(parts)
+        depth = {n: next(len(path[: path.index(n)]) for path, _ in texts if n in path) for n in points}
+        best = max(points, key=lambda n: (points[n], -depth[n]))
+        keep = {best} | {n for n in points if up.get(n) == up.get(best) and best in up and points[n] >= max(10.0, 0.2 * points[best]) and nodes[n][0] != "ul"}
+        reads = lambda path, t: best in up and len(path) > 1 and path[-2] == up[best] and (len(t) > 80 or t.rstrip()[-1:] in ".!?")
+        assert main_text(written(top)) == "\n\n".join(" ".join(t.split()) for path, t in texts if keep & set(path) or reads(path, t))
+
+
 def test_extract_pages(spark):
     from folia.llm.html_extract import extract_pages
 
