@@ -65,11 +65,11 @@ def op8_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import through_shards
+    from .sharding import sharded
 
-    rows = through_shards(table(spark, sf_dir, "documents"))
+    rows, told = sharded(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+        "doc_id", "lang", "source", "n_chars", *[F.lit(v).cast("long").alias(k) for k, v in told.items()], F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,11 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_dedup": oracles.DOCUMENTS,
     "op10_suffix_dedup": oracles.REPEATS,
     "op9_tiered_sharding": """
-        SELECT doc_id, lang, source, n_chars, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+        WITH d AS (SELECT *, CAST('0x' || substr(md5(concat_ws('-', doc_id)), 1, 12) AS BIGINT) % 84 AS share FROM documents)
+        SELECT doc_id, lang, source, n_chars, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256,
+               (SELECT count(DISTINCT CASE WHEN share < 7 THEN share ELSE 7 + share % 14 END) FROM d) AS n_arrivals,
+               (SELECT count(*) FROM documents) AS version_rows, 0::BIGINT AS n_full_tiers, 0::BIGINT AS n_oversized
+        FROM d
     """,
     "op5_warc_round_trip": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
