@@ -9,10 +9,11 @@
    with the smallest one only (a star), so pairs grow with the bucket, not with
    its square.  Pairs are confirmed on full sets, and confirmed links joined to
    components.
-4. A star can miss a link between two of its points.  So buckets that still hold
-   several components are compared in blocks by full signature; what could be
-   linked across components forms families, inside which every such pair is
-   confirmed on full sets, again in blocks.
+4. A star can miss a link between two of its points.  So in buckets that still
+   hold several components, the rows outside the largest are compared, in blocks,
+   with all rows by full signature; what could be linked across components forms
+   families, inside which every such pair is confirmed on full sets, again in
+   blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .runtime import materialize, release_shuffles
 
 BINS = 128
 ROWS_PER_BAND = 5
-BLOCK = 1500
+#: Rows of a bucket, and texts of a family, that a task compares with as many others.
+BLOCK = 512
 FAMILY = 400
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, signature binary"
 
@@ -207,13 +209,36 @@ def in_blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("other", "blocks", "k")
 
 
+def in_stranger_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Deal (key, doc_id, root, ...) so that every pair of different roots of a key meets in one group (key, x, y).
+
+    The rows outside a key's most frequent root are strangers.  They ask, in
+    blocks x, the blocks y of all rows; rows that are asked have ``asks`` false.
+    So a key's main part is copied once for each block of strangers, not for
+    each block of its own.  Keys with one root drop out.
+    """
+    per = rows.groupBy(key, "root").agg(F.count("*").alias("n"))
+    of = per.groupBy(key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("k"), F.max("n").alias("m")).where("k > m")
+    of = of.select(key, "main", F.ceil(F.col("k") / size).cast("long").alias("ys"), F.ceil((F.col("k") - F.col("m")) / size).cast("long").alias("xs"))
+    block = lambda salt, count: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.col(count))
+    every = lambda count, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), f)
+    place = lambda x, y, asks: F.struct(x.alias("x"), y.alias("y"), F.lit(asks).alias("asks"))
+    asked = every("xs", lambda x: place(x, block(1, "ys"), False))
+    asking = F.when(F.col("stranger"), every("ys", lambda y: place(block(2, "xs"), y, True))).otherwise(F.array().cast("array<struct<x:long,y:long,asks:boolean>>"))
+    placed = rows.join(of, key).withColumn("stranger", F.col("root") != F.col("main")).withColumn("at", F.explode(F.concat(asked, asking)))
+    return placed.select("*", "at.x", "at.y", "at.asks").drop("main", "xs", "ys", "at")
+
+
 def close_pairs(table: pa.Table, sig: np.ndarray, n: np.ndarray, percent: int, least: float):
-    """(i, array of j > i) of a block pair's rows in different components whose signatures leave the threshold possible."""
-    root, mine = (table.column(c).to_numpy() for c in ("root", "mine"))
-    same_block = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-    for i in range(table.num_rows):
-        j = np.arange(i + 1, table.num_rows)
-        j = j[(root[j] != root[i]) & (same_block | (mine[j] != mine[i]))]
+    """(i, array of j) of a group's askers and the rows of other roots whose signatures leave the threshold possible.
+
+    Two strangers ask each other; the one with the smaller doc_id counts.
+    """
+    root, ids = (table.column(c).to_numpy() for c in ("root", "doc_id"))
+    asks, stranger = (table.column(c).to_numpy() for c in ("asks", "stranger"))
+    asked = np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks).tolist():
+        j = asked[(root[asked] != root[i]) & (~stranger[asked] | (ids[asked] > ids[i]))]
         j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
         if len(j):
             j = j[similar_enough(sig[j], sig[i], least)]
@@ -225,27 +250,24 @@ def families(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, percent
     """(id, family): groups in which every pair that the stars could have missed lies.
 
     In each bucket that still holds several components the pairs across them
-    are compared by signature, in blocks of at most about BLOCK, and joined to
-    local clusters; only a star of each cluster leaves the task.
+    are compared by signature, in blocks, and joined to local clusters; only a
+    star of each cluster leaves the task.
     """
     state = band_rows.join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = state.groupBy("band").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and k > 2")
-    rows = in_blocks(state.join(mixed.select("band", "k"), "band"), BLOCK).join(classes.select("doc_id", "signature"), "doc_id")
+    rows = in_stranger_blocks(state, "band", BLOCK).join(classes.select("doc_id", "signature"), "doc_id")
 
     def compare(table: pa.Table) -> pa.Table:
-        m = table.num_rows
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(m, BINS)
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(table.num_rows, BINS)
         ids, n = (table.column(c).to_numpy() for c in ("doc_id", "n"))
         local = Roots(ids)
         for i, js in close_pairs(table, sig, n, percent, least):
             for j in js.tolist():
                 local.join(i, j)
-        head = np.array([local.find(i) for i in range(m)])
-        low = np.unique(ids)[head]
+        low = np.unique(ids)[[local.find(i) for i in range(table.num_rows)]]
         far = low != ids
         return pa.table({"u": ids[far], "v": low[far]})
 
-    columns = ("band", "x", "y", "mine", "doc_id", "root", "n", "signature")
+    columns = ("band", "x", "y", "asks", "stranger", "doc_id", "root", "n", "signature")
     stars = rows.select(*columns).groupBy("band", "x", "y").applyInArrow(compare, "u long, v long")
     return connected_components(stars).withColumnRenamed("root", "family")
 
@@ -253,12 +275,12 @@ def families(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, percent
 def late_links(family: DataFrame, roots: DataFrame, documents: DataFrame, words: int, percent: int, least: float) -> DataFrame:
     """Confirmed links (a, b) across components inside families, on full sets.
 
-    A family goes to tasks as pairs of blocks of at most about FAMILY texts; a
-    pair whose components a task has joined already is not tested again.
+    A family goes to tasks in blocks of at most about FAMILY texts that ask and
+    are asked; a pair whose components a task has joined already is not tested
+    again.
     """
-    sized = family.join(family.groupBy("family").agg(F.count("*").alias("k")), "family")
-    members = in_blocks(sized.withColumnRenamed("id", "doc_id"), FAMILY).join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    members = materialize(members.withColumn("root", F.coalesce("root", "doc_id")), "members")
+    rooted = family.withColumnRenamed("id", "doc_id").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    members = materialize(in_stranger_blocks(rooted.withColumn("root", F.coalesce("root", "doc_id")), "family", FAMILY), "members")
     sent = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
 
     def verify(table: pa.Table) -> pa.Table:
@@ -277,7 +299,7 @@ def late_links(family: DataFrame, roots: DataFrame, documents: DataFrame, words:
                         found.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    columns = ("family", "x", "y", "mine", "doc_id", "root", "text")
+    columns = ("family", "x", "y", "asks", "stranger", "doc_id", "root", "text")
     return sent.select(*columns).groupBy("family", "x", "y").applyInArrow(verify, "a long, b long")
 
 
@@ -304,8 +326,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85) ->
         usable.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")),
         "classes")
     band_rows = materialize(bands(classes), "bands")
-    hubs = band_rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("k"), F.max("n").alias("most"), F.min("n").alias("fewest")).where("k > 1")
-    shared = band_rows.join(hubs.select("band", "a", F.col("most"), F.col("fewest")), "band")
+    hubs = band_rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).where("k > 1")
+    shared = band_rows.join(hubs.select("band", "a"), "band")
     stars = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     tested = materialize(passing(stars, classes, least), "stars")
     links = materialize(confirmed(tested, documents, words, percent), "links")
@@ -327,8 +349,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85) ->
 def one_of_each_group(documents: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
     """The rows of ``documents``, all columns, that near_duplicates() keeps, one for each doc_id.
 
-    Rows with a null doc_id all stay.
+    Of rows that repeat a doc_id that stays whose text has the smallest hash,
+    whatever the run.  Rows with a null doc_id all stay.
     """
-    kept = near_duplicates(documents, words, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = documents.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*documents.columns).union(documents.where("doc_id IS NULL"))
+    kept = near_duplicates(documents, words, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    whole = documents.select(F.col("doc_id").cast("long").alias("kept_id"), F.col("text").alias("kept_text"), F.struct("*").alias("whole"))
+    named = whole.join(kept, "kept_id", "left_semi").groupBy("kept_id").agg(F.min_by("whole", F.struct(F.xxhash64("kept_text"), "kept_text")).alias("whole"))
+    return named.select("whole.*").union(documents.where("doc_id IS NULL"))
