@@ -18,7 +18,10 @@ An anchor and all windows that it owns make a region of at most
    common prefixes over each bucket yields its common-prefix intervals of at
    least ``length`` bytes; every interval's occurrences but the first are
    covered.
-3. Covered spans go back to their documents, which drop them.
+3. An anchor with more than HOT different regions would be one large array.
+   Its regions are cut into windows of ``length`` bytes instead, which spread by
+   what they hold and are reduced like regions in step 1.
+4. Covered spans go back to their documents, which drop them.
 """
 
 from __future__ import annotations
@@ -37,26 +40,27 @@ from .runtime import materialize, release_shuffles
 SEED = 24
 #: Texts in the sample of common grams, the share that makes one common, bits of their table.
 SAMPLE, COMMON, TABLE_BITS = 2_000, 0.01, 24
-#: Regions that a task holds before it reduces them, and that one suffix array takes.
-HELD, AT_ONCE = 400_000, 8_000
+#: Regions that a task holds before it reduces them, that one suffix array takes, and that an anchor may have to be in one.
+HELD, AT_ONCE, HOT = 400_000, 8_000, 8_000
+#: Bytes of text whose regions make a bucket, and of a long text that are hashed at once.
+BUCKET_BYTES, PIECE = 4 << 20, 1 << 19
 #: What one region is, within a bucket's binary row.
 REGION = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("twin", "<i8"), ("start", "<u4"), ("size", "<u2"), ("at", "<u2")])
 
 
-def common_grams(documents: DataFrame, texts: int = SAMPLE, share: float = COMMON) -> np.ndarray | None:
+def common_grams(documents: DataFrame, rows: int, texts: int = SAMPLE, share: float = COMMON) -> np.ndarray | None:
     """A table of 2**TABLE_BITS flags, by the first bits of their hashes, of grams in ``share`` of a sample of texts.
 
     About ``texts`` rows with the smallest hashes of (doc, twin) are the sample,
     which bounds what is counted and collected.  None where no gram is common.
     """
-    rows = documents.count()
     if not rows:
         return None
     picked = documents.where(F.pmod(F.xxhash64("doc", "twin"), F.lit(1 << 20)) < max(1, round((1 << 20) * min(1.0, texts / rows))))
 
     def run(batches):
         for batch in batches:
-            for _, buf, offsets in text_blocks(batch.column("text")):
+            for _, buf, offsets, _ in pieces_of(batch.column("text"), SEED):
                 found = [np.zeros(0, U64)]
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     if b - a >= SEED:
@@ -108,6 +112,21 @@ def regions(buf: np.ndarray, offsets: np.ndarray, length: int, common: np.ndarra
     return text, start - offsets[text], end - start, anchor - start, gram[anchor], body
 
 
+def pieces_of(column, length: int):
+    """(row, bytes, offsets, start) over a string column like text_blocks(), long texts in pieces that overlap by length - 1.
+
+    A window lies in one piece.  A region that a piece's end cuts is two
+    smaller ones, which only sends them to the suffix array.
+    """
+    for row, buf, offsets in text_blocks(column, PIECE):
+        if len(buf) <= 2 * PIECE:
+            yield row, buf, offsets, 0
+            continue
+        for a in range(0, len(buf) - length + 1, PIECE):
+            part = buf[a : a + PIECE + length - 1]
+            yield row, part, np.array([0, len(part)]), a
+
+
 def first_of_each(rows: np.ndarray) -> np.ndarray:
     """True where a region is the first, by document and start, of its anchor and body; rows are sorted so."""
     new = np.ones(len(rows), bool)
@@ -160,50 +179,82 @@ def as_batch(out: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
 
-def local_regions(documents: DataFrame, length: int, buckets: int) -> DataFrame:
+def first_and_covered(rows: np.ndarray, buckets: int):
+    """Batches of OUT: spans of ``rows`` that equal an earlier one, and a binary row of first regions for each bucket."""
+    rows = in_order(rows)
+    new = first_of_each(rows)
+    spans = packed_spans(rows[covered_by_first(rows, new)])
+    spans["bucket"] = [x % buckets for x in spans["doc"]]
+    yield as_batch(spans)
+    rows = rows[new]
+    bucket = (rows["anchor"] % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(cut[1:], len(rows))
+    m = len(cut)
+    yield as_batch({"doc": [None] * m, "twin": [None] * m, "kind": [1] * m, "bucket": bucket[cut].tolist(), "packed": [rows[a:b].tobytes() for a, b in zip(cut, ends)]})
+
+
+def local_regions(documents: DataFrame, length: int, buckets: int, rows: int) -> DataFrame:
     """kind 0: covered spans of a document, in any bucket; kind 1: a bucket's first regions."""
-    table = common_grams(documents)
+    table = common_grams(documents, rows)
     common = None if table is None else documents.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def run(batches):
         held: list[np.ndarray] = []
         flags = None if common is None else np.unpackbits(common.value).astype(bool)
-
-        def flush():
-            rows = in_order(np.concatenate(held))
-            held.clear()
-            new = first_of_each(rows)
-            spans = packed_spans(rows[covered_by_first(rows, new)])
-            spans["bucket"] = [x % buckets for x in spans["doc"]]
-            yield as_batch(spans)
-            rows = rows[new]
-            bucket = (rows["anchor"] % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(cut[1:], len(rows))
-            m = len(cut)
-            yield as_batch({"doc": [None] * m, "twin": [None] * m, "kind": [1] * m, "bucket": bucket[cut].tolist(), "packed": [rows[a:b].tobytes() for a, b in zip(cut, ends)]})
-
         for batch in batches:
             docs, twins = (batch.column(c).to_numpy() for c in ("doc", "twin"))
-            for row, buf, offsets in text_blocks(batch.column("text")):
+            for row, buf, offsets, from_ in pieces_of(batch.column("text"), length):
                 text, start, size, at, anchor, body = regions(buf, offsets, length, flags)
                 if len(text):
                     r = np.empty(len(text), REGION)
                     r["anchor"], r["body"], r["doc"], r["twin"] = anchor, body, docs[row + text], twins[row + text]
-                    r["start"], r["size"], r["at"] = start, size, at
+                    r["start"], r["size"], r["at"] = start + from_, size, at
                     held.append(r)
                 if sum(map(len, held)) > HELD:
-                    yield from flush()
+                    yield from first_and_covered(np.concatenate(held), buckets)
+                    held.clear()
         if held:
-            yield from flush()
+            yield from first_and_covered(np.concatenate(held), buckets)
 
     return documents.mapInArrow(run, OUT)
 
 
+def hot_windows(documents: DataFrame, hot: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Like local_regions(), of the windows of hot anchors' regions (doc, twin, packed): each is a region of its own.
+
+    A window's two halves are hashed apart, and make its anchor and its body.
+    """
+    per_doc = hot.groupBy("doc", "twin").agg(F.collect_list("packed").alias("wanted"))
+
+    def run(batches):
+        held, half = [], length // 2
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("doc", "twin", "wanted"))
+            for doc, twin, wanted, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist()):
+                rows = np.frombuffer(b"".join(wanted), REGION)
+                for a, n in merged(np.stack([rows["start"], rows["start"] + rows["size"].astype(np.int64)], 1).astype(np.int64)).tolist():
+                    for b in range(a, n - length + 1, PIECE):
+                        prefix = prefix_hash(np.frombuffer(text[b : min(n, b + PIECE + length - 1)], np.uint8))
+                        at = np.arange(len(prefix) - length)
+                        r = np.empty(len(at), REGION)
+                        r["anchor"], r["body"] = span_hash(prefix, at, at + half), span_hash(prefix, at + half, at + length)
+                        r["anchor"] = mix64(r["anchor"] + r["body"] * U64(3))
+                        r["doc"], r["twin"], r["start"], r["size"], r["at"] = doc, twin, b + at, length, 0
+                        held.append(r)
+                if sum(map(len, held)) > HELD:
+                    yield from first_and_covered(np.concatenate(held), buckets)
+                    held.clear()
+        if held:
+            yield from first_and_covered(np.concatenate(held), buckets)
+
+    return documents.join(per_doc, ["doc", "twin"]).select("doc", "twin", "text", "wanted").mapInArrow(run, OUT)
+
+
 def reduced_regions(local: DataFrame) -> DataFrame:
-    """kind 0: covered spans, those from before too; kind 2: regions whose anchors have several bodies."""
+    """kind 0: covered spans, those from before too; kind 2: regions whose anchors have several bodies; kind 3: more than HOT."""
 
     def reduce(table: pa.Table) -> pa.Table:
         is_span = pa.compute.equal(table.column("kind"), 0)
@@ -216,12 +267,16 @@ def reduced_regions(local: DataFrame) -> DataFrame:
         rows = rows[new]
         same = np.append(False, rows["anchor"][1:] == rows["anchor"][:-1])
         open_ = rows[same | np.append(same[1:], False)]
-        open_ = open_[np.lexsort((open_["start"], open_["twin"], open_["doc"]))]
-        if len(open_):
-            cut = np.flatnonzero(np.append(True, (open_["doc"][1:] != open_["doc"][:-1]) | (open_["twin"][1:] != open_["twin"][:-1])))
-            for a, b in zip(cut, np.append(cut[1:], len(open_))):
-                out["doc"].append(int(open_["doc"][a])), out["twin"].append(int(open_["twin"][a]))
-                out["kind"].append(2), out["bucket"].append(table.column("bucket")[0].as_py()), out["packed"].append(open_[a:b].tobytes())
+        _, which, bodies = np.unique(open_["anchor"], return_inverse=True, return_counts=True)
+        hot = bodies[which] > HOT if len(open_) else np.zeros(0, bool)
+        for kind, part in ((2, open_[~hot]), (3, open_[hot])):
+            part = part[np.lexsort((part["start"], part["twin"], part["doc"]))]
+            if not len(part):
+                continue
+            cut = np.flatnonzero(np.append(True, (part["doc"][1:] != part["doc"][:-1]) | (part["twin"][1:] != part["twin"][:-1])))
+            for a, b in zip(cut, np.append(cut[1:], len(part))):
+                out["doc"].append(int(part["doc"][a])), out["twin"].append(int(part["twin"][a]))
+                out["kind"].append(kind), out["bucket"].append(table.column("bucket")[0].as_py()), out["packed"].append(part[a:b].tobytes())
         return pa.Table.from_batches([*before.to_batches(), as_batch(out)])
 
     return local.groupBy("bucket").applyInArrow(reduce, OUT)
@@ -439,11 +494,16 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
     Rows with the same (doc, twin) count as one.
     """
     spark = documents.sparkSession
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    reduced = materialize(reduced_regions(local_regions(documents, length, buckets)), "anchors")
+    rows, size = documents.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = max(64, -(-(size or 0) // BUCKET_BYTES))
+    reduced = materialize(reduced_regions(local_regions(documents, length, buckets, rows)), "anchors")
     release_shuffles(spark)
     wanted = reduced.where("kind = 2").select("doc", "twin", "bucket", "packed")
-    late = materialize(interval_spans(cut_bodies(documents, wanted), length), "spans")
+    late = interval_spans(cut_bodies(documents, wanted), length)
+    hot = reduced.where("kind = 3").select("doc", "twin", "packed")
+    if hot.take(1):
+        late = late.union(reduced_regions(hot_windows(documents, hot, length, buckets)).where("kind = 0"))
+    late = materialize(late, "spans")
     release_shuffles(spark)
     spans = reduced.where("kind = 0").union(late)
     return spans.groupBy("doc", "twin").agg(F.collect_list("packed").alias("packed"))
