@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .components import connected_components
 from .kernels import U64, mix64
 from .minhash import in_blocks
-from .runtime import materialize
+from .runtime import discard, materialize
 
 HASHES, PROBES, DEPTH, SKETCH = 3, 4, 4, 64
 BLOCK = 2000
@@ -308,6 +308,7 @@ def linked_vectors(embeddings: DataFrame, least: float = 0.95) -> DataFrame:
     spread = meeting.repartition(*GROUP).sortWithinPartitions(*GROUP, "doc_id")
     near = near_by_sketch(spread, least).join(classes.withColumnRenamed("id", "doc_id"), "doc_id")
     found = materialize(verified(near.repartition(*GROUP).sortWithinPartitions(*GROUP, "doc_id"), least, kind), "links")
+    discard(classes)
     roots = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v")))
     links = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
     told = members.select("h1", "h2", "id", "copies").join(links, "id", "left").join(roots, "id", "left").select(

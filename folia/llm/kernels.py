@@ -120,6 +120,29 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's words begin.
+
+    One long text is hashed in parts of about ``most`` bytes, cut at white
+    space, so what is held besides the hashes doesn't grow with it.
+    """
+    if len(offsets) != 2 or len(buf) <= 2 * most:
+        starts, ends, at = word_spans(buf, offsets)
+        return span_hash(prefix_hash(buf), starts, ends), at
+    parts, a = [], 0
+    while a < len(buf):
+        b = min(len(buf), a + most)
+        while b < len(buf) and _WORD_BYTE[buf[b]]:
+            inside = _WORD_BYTE[buf[b : b + most]]
+            b = b + (len(inside) if inside.all() else int(inside.argmin()))
+        part = buf[a:b]
+        starts, ends, _ = word_spans(part, np.array([0, len(part)]))
+        parts.append(span_hash(prefix_hash(part), starts, ends))
+        a = b
+    out = np.concatenate(parts)
+    return out, np.array([0, len(out)])
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 

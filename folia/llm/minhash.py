@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import U64, ascii_lower, mix64, prefix_hash, signed, span_hash, text_blocks, word_spans
-from .runtime import materialize, release_shuffles
+from .kernels import U64, ascii_lower, mix64, signed, text_blocks, word_hashes
+from .runtime import discard, materialize, release_shuffles
 
 BINS = 128
 ROWS_PER_BAND = 5
@@ -45,8 +45,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[n
     one; a text without words has none.
     """
     low = ascii_lower(buf)
-    starts, ends, at = word_spans(low, offsets)
-    w = span_hash(prefix_hash(low), starts, ends)
+    w, at = word_hashes(low, offsets)
     weights = mix64(np.arange(1, words + 1, dtype=U64)) | U64(1)
     rolled = np.zeros(max(0, len(w) - words + 1), U64)
     for k in range(words):
@@ -268,7 +267,8 @@ def families(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, percent
         return pa.table({"u": ids[far], "v": low[far]})
 
     columns = ("band", "x", "y", "asks", "stranger", "doc_id", "root", "n", "signature")
-    stars = rows.select(*columns).groupBy("band", "x", "y").applyInArrow(compare, "u long, v long")
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to compare
+    stars = rows.select(*columns).repartition(spread, "band", "x", "y").groupBy("band", "x", "y").applyInArrow(compare, "u long, v long")
     return connected_components(stars).withColumnRenamed("root", "family")
 
 
@@ -338,6 +338,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85) ->
         late = materialize(late_links(family, roots, documents, words, percent, least), "links")
         if late.take(1):
             roots = connected_components(links.union(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(band_rows, tested, family)
     release_shuffles(spark)
     out = sig.select("doc_id", "n_shingles", "set_hi", "set_lo").join(
         classes.select("set_hi", "set_lo", F.col("doc_id").alias("v")), ["set_hi", "set_lo"], "left").join(

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -40,7 +39,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folia_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialize() tables that nothing will read again."""
+    for t in tables:
+        fs, p = hadoop_path(t.sparkSession, t._folia_path)
+        fs.delete(p, True)
+
+
+def free_name(name: str, *taken: str) -> str:
+    """``name``, with as many underscores as keep it apart from the names that are taken, in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -56,7 +72,3 @@ def release_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def is_empty(df: DataFrame) -> bool:
-    return not df.select(F.lit(1)).limit(1).take(1)
