@@ -11,11 +11,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import U64, mix64, prefix_hash, span_hash, text_blocks, word_spans
+from .kernels import U64, text_blocks, word_hashes
+from .runtime import discard, free_name, materialize
 
+#: Bytes of text whose trigrams are hashed at once, and indicators of a class that the driver takes at most.
+AT_ONCE, MOST_INDICATORS = 1 << 20, 16 << 20
 BYTE_BITS, WORD_BITS = 16, 16
 DIMENSION = (1 << BYTE_BITS) + (1 << WORD_BITS) + 8
 
@@ -24,15 +28,15 @@ def indicator_rows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     """(text, feature) of every indicator that is set, in order of text."""
     texts = len(offsets) - 1
     flags = np.zeros((texts, DIMENSION), bool)
-    owner = np.repeat(np.arange(texts), np.diff(offsets))
-    if len(buf) > 2:
-        b = buf.astype(np.uint32)
+    owner = np.repeat(np.arange(texts, dtype=np.uint8 if texts < 256 else np.int64), np.diff(offsets))
+    for a in range(0, len(buf) - 2, AT_ONCE):
+        b = buf[a : a + AT_ONCE + 2].astype(np.uint32)
         gram = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-        inside = owner[:-2] == owner[2:]
-        flags[owner[:-2][inside], ((gram * np.uint32(2654435761)) >> np.uint32(32 - BYTE_BITS))[inside]] = True
-    starts, ends, at = word_spans(buf, offsets)
-    if len(starts):
-        w = span_hash(prefix_hash(buf), starts, ends)
+        mine, last = owner[a : a + len(gram)], owner[a + 2 : a + 2 + len(gram)]
+        inside = mine == last
+        flags[mine[inside], ((gram * np.uint32(2654435761)) >> np.uint32(32 - BYTE_BITS))[inside]] = True
+    w, at = word_hashes(buf, offsets)
+    if len(w):
         of = np.repeat(np.arange(texts), np.diff(at))
         flags[of, (1 << BYTE_BITS) + (w >> U64(64 - WORD_BITS)).astype(np.int64)] = True
         again = np.zeros(len(w), np.int64)
@@ -92,9 +96,11 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, sign: np
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, cost: float = 0.01) -> tuple[np.ndarray, float]:
     """Weights by feature, and bias, learnt from (doc_id, text) and (doc_id, good 0/1).
 
-    At most ``per_class`` labelled rows of each class are used: those whose
-    doc_id has the smallest hash.  So what the driver holds is bounded.  With
-    one class only, or none, the weights are 0 and the bias tells the class.
+    At most ``per_class`` labelled documents of each class are used, those whose
+    doc_id has the smallest hash, and of those no more than the first with
+    MOST_INDICATORS indicators (64 MB) in all.  So what the driver holds is
+    bounded.  Of rows that repeat a doc_id one counts.  With one class only, or
+    none, the weights are 0 and the bias tells the class.
     """
     spark = documents.sparkSession
     usable = labels.where("doc_id IS NOT NULL AND good IN (0, 1)").groupBy("doc_id").agg(F.min("good").alias("good"))
@@ -117,7 +123,11 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, cost:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(packed)), pa.array(good[row : row + len(packed)], pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "good", "features"])
 
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    got = sorted((r[0], r[1], bytes(r[2])) for r in sample.mapInArrow(run, "doc_id long, good int, features binary").collect())
+    one = sample.groupBy("doc_id", "good").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = materialize(one.select("doc_id", "text", "good").mapInArrow(run, "doc_id long, good int, features binary"), "indicators")
+    upto = F.sum(F.length("features") / 4).over(W.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = sorted((r[0], r[1], bytes(r[2])) for r in found.withColumn("upto", upto).where(F.col("upto") <= MOST_INDICATORS).select("doc_id", "good", "features").collect())
+    discard(found)
     rows = [np.frombuffer(f, np.int32) for _, _, f in got]
     good = np.array([g for _, g, _ in got], np.int64)
     if not len(rows) or good.min() == good.max():
@@ -167,4 +177,5 @@ def quality_scores(documents: DataFrame, labels: DataFrame, per_class: int = 300
 def good_documents(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
     """The rows of ``documents``, all columns, that quality_scores() predicts to be good."""
     weights, bias = fitted(documents, labels, per_class)
-    return score(documents, weights, bias, "_folia_score").where("_folia_score >= 0.5").drop("_folia_score")
+    name = free_name("score", *documents.columns)
+    return score(documents, weights, bias, name).where(F.col(name) >= 0.5).drop(name)
