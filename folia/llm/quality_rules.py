@@ -19,7 +19,8 @@ SPACE = r"[\x20\x09-\x0D]"
 BUCKETS = 8192
 SCALE = 1000
 THRESHOLD = -0.1
-TRUSTED = 20_000
+#: Trusted ids (16 MB) up to which they are broadcast; more meet the documents by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def bind(value: Column, body) -> Column:
@@ -73,9 +74,10 @@ def places(words: Column) -> Column:
 
 
 def bucket_counts(documents: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, raw, target): n-grams of all rows, and of those whose doc_id is in ``trusted``, a bounded table."""
-    flagged = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words")).join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    """(bucket, raw, target): n-grams of all rows, and of those whose doc_id is in ``trusted``."""
+    good = trusted.select("doc_id", F.lit(1).alias("good"))
+    good = F.broadcast(good) if trusted.count() <= BROADCAST_IDS else good.hint("merge")
+    flagged = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words")).join(good, "doc_id", "left")
     grams = F.flatten(F.transform(places(F.col("words")), lambda i: F.array(*buckets_at(F.col("words"), i))))
     return flagged.select("good", F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
 
@@ -107,19 +109,18 @@ def scored(counted: DataFrame, ratios: list[int]) -> DataFrame:
     return counted.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") * SCALE)).otherwise(F.lit(0.0)))
 
 
-def quality_rules(documents: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, most: int = TRUSTED) -> DataFrame:
+def quality_rules(documents: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, score and verdict of every row of (doc_id, text); other columns are ignored.
 
-    ``trusted`` names the trusted texts by doc_id; the ``most`` with the
-    smallest hashes serve, which bounds what is broadcast, while the corpus
-    model counts every row.  Returns doc_id, n_words, word_chars, n_symbols,
+    ``trusted`` names the trusted texts by doc_id; both models count every row
+    that is theirs.  Returns doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, score and kept: false where the
     base rules fail, else score >= threshold.  A null text is an empty one.
     Repeated rows and null doc_ids are judged like any other row.  With nothing
     trusted every score is 0, and above a negative threshold.  An empty table
     gives an empty table.
     """
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     ratios = log_ratios(bucket_counts(documents, ids))
     out = scored(base_counts(documents), ratios)
     return out.select(
