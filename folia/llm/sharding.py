@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import scrambled
-from .runtime import hadoop_path, new_path
+from .runtime import free_name, hadoop_path, new_path
 
 #: Times that an append is tried again on what another writer has committed.
 ATTEMPTS = 20
@@ -177,10 +177,7 @@ def in_arrivals(table: ShardedTable, documents: DataFrame, arrivals: int = 21) -
     column, and each with rows is committed by itself.  Versions before the last
     expire as it goes.  Returns how many there were.
     """
-    names = {c.lower() for c in documents.columns}
-    number = "arrival"
-    while number in names:
-        number += "_"
+    number = free_name("arrival", *documents.columns)
     share = scrambled(F.col(f"`{documents.columns[0].replace('`', '``')}`")) % (4 * arrivals)
     third = arrivals // 3  # the first third is small, and the last arrivals are large
     drawn = F.when(share < third, share).otherwise(F.lit(third) + F.pmod(share, F.lit(max(1, arrivals - third))))
