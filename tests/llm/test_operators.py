@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -166,13 +167,31 @@ def test_embeddings_against_all_pairs(spark):
 
 
 def test_embeddings_edges(spark):
-    from folia.llm.embed_dedup import hadamard, linked_vectors
+    from folia.llm.embed_dedup import linked_vectors, turned
 
     assert linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     out = linked_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>").withColumn("links", F.lit(1))).collect()
     assert sorted((r.vec_id is None, r.n_links) for r in out) == [(False, 1), (False, 1), (True, 0)]
-    x = np.eye(8)
-    assert np.allclose(hadamard(hadamard(x)), x)
+    x = turned(np.eye(8, dtype=np.float32), 3) / 8**1.5
+    assert np.allclose(x @ x.T, np.eye(8), atol=1e-5)
+    wide = [(k, [float(x) for x in np.random.default_rng(k // 2).standard_normal(768) + 0.2 * np.random.default_rng(900 + k).standard_normal(768)]) for k in range(120)]
+    got = linked_vectors(spark.createDataFrame(wide, "vec_id long, embedding array<double>")).collect()
+    assert sum(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got) >= 118
+
+
+def test_embeddings_hot_bucket_in_blocks(spark, monkeypatch):
+    """A cloud of near vectors that fills more than a block, against all pairs."""
+    from folia.llm import embed_dedup
+
+    monkeypatch.setattr(embed_dedup, "BLOCK", 50)
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    v = np.array([centre + 0.16 * rng.standard_normal(64) for _ in range(300)], np.float32)
+    got = {r.vec_id: r for r in embed_dedup.linked_vectors(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()}
+    w = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    links = (w @ w.T >= 0.95).sum(1) - 1
+    assert sum(got[k].n_links for k in range(300)) >= 0.9999 * links.sum() and all(got[k].n_links <= links[k] for k in range(300))
+    assert all(r.component_id == 0 for r in got.values() if links[r.vec_id])
 
 
 # 3 ---------------------------------------------------------------------------
@@ -225,7 +244,7 @@ def test_mixing_permutation_is_one(spark):
     from folia.llm.mixing import permuted
 
     for n in (1, 2, 3, 7, 100, 1000, 4097):
-        d = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(0)).alias("at"))
+        d = permuted(spark.range(n), F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(0))
         assert sorted(r["at"] for r in d.collect()) == list(range(n))
 
 
@@ -323,6 +342,33 @@ def test_minhash_chain_of_near_copies(spark):
     assert {r.component_id for r in out} == {0}
 
 
+def test_stranger_blocks_hold_every_pair_of_roots_once(spark):
+    from folia.llm.minhash import in_stranger_blocks
+
+    rows = [("hot", k, 0 if k < 200 else k) for k in range(230)] + [("one", k, 7) for k in range(50)] + [("two", k, k % 2) for k in range(11)]
+    out = in_stranger_blocks(spark.createDataFrame(rows, "band string, doc_id long, root long"), "band", 20).collect()
+    groups = collections.defaultdict(lambda: ([], []))
+    for r in out:
+        groups[r.band, r.x, r.y][0 if r.asks else 1].append(r)
+    assert max(len(a) + len(b) for a, b in groups.values()) < 90 and sum(r.band == "hot" and r.root == 0 for r in out) == 400
+    met = collections.Counter()
+    for (band, _, _), (ask, asked) in groups.items():
+        for a in ask:
+            for b in asked:
+                if a.root != b.root and (not b.stranger or b.doc_id > a.doc_id):
+                    met[band, min(a.doc_id, b.doc_id), max(a.doc_id, b.doc_id)] += 1
+    assert met == collections.Counter({(x[0], x[1], y[1]): 1 for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]})
+
+
+def test_minhash_keeps_the_same_row_of_a_repeated_id(spark):
+    from folia.llm.minhash import one_of_each_group
+
+    rows = [(1, f"text number {k} " * 9, k) for k in range(8)] + [(None, "x", 9), (None, "x", 10)]
+    one = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, kept_id long").repartition(5)).collect()
+    two = one_of_each_group(spark.createDataFrame(rows[::-1], "doc_id long, text string, kept_id long").repartition(3)).collect()
+    assert len(one) == 3 and sorted(r.kept_id for r in one) == sorted(r.kept_id for r in two)
+
+
 def test_minhash_edges(spark, nothing):
     from folia.llm.minhash import near_duplicates, one_permutation
 
@@ -630,33 +676,62 @@ def test_classifier_edges(spark, nothing):
 
 def test_sharding_round_trip_and_versions(spark, docs, rows):
     from folia.llm.runtime import new_path
-    from folia.llm.sharding import ARRIVAL, ManifestConflict, ShardedTable, through_shards
+    from folia.llm.sharding import ManifestConflict, ShardedTable, sharded
 
-    back = through_shards(docs)
-    assert sorted(map(repr, back.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    back, told = sharded(docs)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, docs.collect()))
+    assert told == {"n_arrivals": told["n_arrivals"], "version_rows": len(rows), "n_full_tiers": 0, "n_oversized": 0} and told["n_arrivals"] > 10
     table = ShardedTable(spark, new_path(spark, "shards"), target_bytes=1 << 16, smallest=1 << 12, fan_in=3)
     with pytest.raises(ValueError):
         table.read()
     for k in range(7):
-        table.append(docs.where(F.col("doc_id") % 7 == k).coalesce(1).withColumn(ARRIVAL, F.lit(k)))
+        table.append(docs.where(F.col("doc_id") % 7 == k).coalesce(1))
     assert table.version() == 7 and len(table.manifest()["runs"]) == 7
-    first = table.manifest(2)
+    second, opened = table.manifest(2), table.read(2)
+    before = sorted(r.doc_id for r in opened.collect())
     manifest = table.compact()
     tiers = collections.Counter(table.tier(r["bytes"]) for r in manifest["runs"])
     assert all(n < 3 for n in tiers.values()) and manifest["version"] == table.version() > 7
-    assert first == table.manifest(2) and table.read().count() == len(rows)
+    # older versions, and readers that were open, read what they did
+    assert second == table.manifest(2) and sorted(r.doc_id for r in table.read(2).collect()) == before == sorted(r.doc_id for r in opened.collect())
+    assert table.read().count() == len(rows) == sum(r["rows"] for r in manifest["runs"])
     with pytest.raises(ManifestConflict):
         table.commit(3, [])
-    assert json.loads(json.dumps(table.manifest())) == manifest
+    table.expire()
+    assert table.versions() == [manifest["version"]] and table.read().count() == len(rows) and table.manifest() == manifest
+    kept = {f for r in manifest["runs"] for f in r["files"]}
+    assert {f for r in second["runs"] for f in r["files"] if f not in kept and os.path.exists(f.removeprefix("file:"))} == set()
+
+
+def test_sharding_of_two_writers_one_gets_the_version(spark, monkeypatch):
+    """A writer that saw the same last version loses, an append then goes on top, and a merge leaves the table alone."""
+    from folia.llm.runtime import new_path
+    from folia.llm.sharding import ManifestConflict, ShardedTable
+
+    root = new_path(spark, "shards")
+    one, two = ShardedTable(spark, root, fan_in=2), ShardedTable(spark, root, fan_in=2)
+    for k in range(2):
+        one.append(spark.createDataFrame([(k,)], "a long"))
+    stale = two.manifest()
+    fresh = ShardedTable.manifest
+    one.append(spark.createDataFrame([(7,)], "a long"))
+    seen = []
+    monkeypatch.setattr(two, "manifest", lambda version=None: stale if version is None and not seen.append(1) and len(seen) == 1 else fresh(two, version))
+    two.append(spark.createDataFrame([(8,)], "a long"))
+    assert sorted(r.a for r in one.read().collect()) == [0, 1, 7, 8] and one.version() == 4
+    seen.clear()
+    with pytest.raises(ManifestConflict):
+        two.compact()
+    assert sorted(r.a for r in one.read().collect()) == [0, 1, 7, 8]
 
 
 def test_sharding_keeps_columns_of_later_runs(spark):
     from folia.llm.runtime import new_path
-    from folia.llm.sharding import ARRIVAL, ShardedTable
+    from folia.llm.sharding import ShardedTable
 
     table = ShardedTable(spark, new_path(spark, "shards"), fan_in=2)
-    table.append(spark.createDataFrame([(1, 0)], f"a long, {ARRIVAL} int"))
-    table.append(spark.createDataFrame([(2, "x", 0)], f"a long, b string, {ARRIVAL} int"))
+    table.append(spark.createDataFrame([(1,)], "a long"))
+    table.append(spark.createDataFrame([(2, "x")], "a long, b string"))
     for _ in range(2):
         assert sorted((r.a, r.b) for r in table.read().select("a", "b").collect()) == [(1, None), (2, "x")]
         table.compact()
@@ -666,7 +741,9 @@ def test_sharding_edges(spark, nothing):
     from folia.llm.sharding import through_shards
 
     assert through_shards(nothing).count() == 0
-    assert through_shards(odd(spark)).count() == 6
+    wide = odd(spark).withColumn("Arrival", F.lit("x")).withColumn("arrival_", F.lit("y")).withColumn("n_arrivals", F.lit(3)).withColumn("a.b", F.lit(4))
+    back = through_shards(wide)
+    assert back.columns == wide.columns and sorted(map(repr, back.collect())) == sorted(map(repr, wide.collect()))
 
 
 # 10 --------------------------------------------------------------------------
@@ -702,6 +779,21 @@ def test_suffix_dedup_against_all_windows(spark, docs, rows):
     assert documents_without_repeats(everything).columns == everything.columns
 
 
+def test_suffix_dedup_of_hot_anchors_and_long_texts_in_pieces(spark, docs, rows, monkeypatch):
+    """With every open anchor hot, and texts cut into small pieces, the same bytes go."""
+    from folia.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(150))
+    around = [(9000 + k, "".join(rng.choice("klmno") for _ in range(rng.randint(0, 700))) + passage[k % 7 :] + f"{k} " * 30, "en", "s", 1) for k in range(60)]
+    want = removed_bytes(rows + around, 100)
+    for r in suffix_dedup.without_repeats(docs.union(spark.createDataFrame(around, DOCS))).collect():
+        text, cut = want[r.doc_id]
+        assert bytes(r.kept) == bytes(c for c, m in zip(text, cut) if not m)
+
+
 def test_maximal_repeats_against_all_substrings():
     from folia.llm.suffix_dedup import maximal_repeats
 
@@ -762,6 +854,52 @@ def test_suffix_dedup_texts_of_one_id_whose_short_hashes_are_equal(spark):
     assert sorted(r.n_removed for r in out) == [0, shared]
 
 
+# all ---------------------------------------------------------------------------
+
+NAMES = """score features good held_out predicted bucket kept words n_words h1 h2 id copies links root component_id n_shingles set_hi set_lo signature band a b part partner
+ kept_id kept_text whole doc twin packed wanted kind n_bytes arrival grp piece start length size rank segments spread slot shard worded at x y family stranger asks _0 _1 key k salt""".split()
+
+
+def test_columns_of_any_name_are_carried_or_ignored(spark):
+    """Every operator and stage over a table whose other columns have the operators' own names."""
+    from folia.llm import classifier, minhash, mixing, packing, quality_rules, sharding, suffix_dedup
+
+    rows = [(k, f"plain words of text number {k} " * 12, f"s{k % 2}") for k in range(12)] + [(3, "another text of number three " * 9, None), (None, None, None), (20, "", "s1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(k).alias(c) for k, c in enumerate(NAMES)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    for stage in (lambda x: classifier.good_documents(x, labels), minhash.one_of_each_group, suffix_dedup.documents_without_repeats, lambda x: mixing.mixed_documents(x, 8), sharding.through_shards):
+        out = stage(d)
+        assert out.columns == d.columns
+        assert all(r[c] == k for r in out.collect() for k, c in enumerate(NAMES))
+    for operator in (lambda x: quality_rules.quality_rules(x, labels), lambda x: classifier.quality_scores(x, labels), minhash.near_duplicates, suffix_dedup.without_repeats, mixing.taken_per_document):
+        assert operator(d).count() == len(rows)
+    assert {r.doc_id for r in packing.pack_documents(d).select("doc_id").collect()} == {r[0] for r in rows}
+
+
+def test_long_texts(spark):
+    """A text of some millions of words, and one of a single word, through every kernel that works in parts."""
+    from folia.llm import classifier, kernels, minhash, packing, suffix_dedup
+
+    rng = random.Random(3)
+    words = [f"{rng.choice('abcdefgh')}{k % 977}" for k in range(700_000)]
+    long = " ".join(words)
+    buf = np.frombuffer(long.encode(), np.uint8)
+    starts, ends, _ = kernels.word_spans(buf, np.array([0, len(buf)]))
+    whole = kernels.span_hash(kernels.prefix_hash(buf), starts, ends)
+    assert len(buf) > 3 << 20 and np.array_equal(kernels.word_hashes(buf, np.array([0, len(buf)]))[0], whole)
+    rows = [(1, long), (2, long + " end"), (3, "w" * 3_000_000), (4, "short " * 60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id: r for r in minhash.near_duplicates(d).collect()}
+    assert near[2].component_id == 1 and near[3].n_shingles == 1 and near[1].n_shingles == len({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    left = {r.doc_id: r for r in suffix_dedup.without_repeats(d).collect()}
+    assert left[2].n_removed >= len(buf) and left[3].n_removed == 3_000_000 - 1 and left[1].n_bytes == len(buf)
+    scored = classifier.quality_scores(d, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")).collect()
+    assert len(scored) == 4
+    encoder = packing.Encoder(packing.default_vocabulary())
+    assert encoder.encode([long])[0] == encoder.whole(long)
+    assert sum(r.length for r in packing.pack_documents(d.where("doc_id <> 3")).collect()) > 700_000
+
+
 # pipeline --------------------------------------------------------------------
 
 
