@@ -16,14 +16,17 @@ def plain_path(column: str = "path"):
     return F.regexp_replace(column, "^file:/+", "/")
 
 
-def tree(spark: SparkSession, root: str, suffix: str | None = "pdf", heads: bool = False) -> DataFrame:
-    """Files under a folder: (path, folder, rel, bytes, mtime[, head]).  Without ``heads`` no content is read."""
+def tree(spark: SparkSession, root: str, suffix: str | None = "pdf", heads: bool = False, content: bool = False) -> DataFrame:
+    """Files under a folder: (path, folder, rel, bytes, mtime[, head][, content]).  Unless asked for, no content is read.
+
+    ``root`` may be a single file.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if suffix:
         r = r.option("pathGlobFilter", f"*.{suffix}")
     base = root.removeprefix("file://").rstrip("/")
     columns = [plain_path().alias("path"), F.regexp_extract(plain_path(), "^(.*)/[^/]*$", 1).alias("folder"), F.substr(plain_path(), F.lit(len(base) + 2)).alias("rel"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime")]
-    return r.load(root).select(*columns, *([F.substring("content", 1, 1024).alias("head")] if heads else []))
+    return r.load(root).select(*columns, *([F.substring("content", 1, 1024).alias("head")] if heads else []), *(["content"] if content else []))
 
 
 def other_files(catalog: DataFrame) -> DataFrame:
@@ -111,13 +114,33 @@ def write_report(rows: DataFrame, path: str, notes: DataFrame | None = None) ->
     out.orderBy("ord", F.lower("file"), "file").select(*vocab.REPORT_COLUMNS).coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=False, emptyValue="", escape='"')
 
 
-def write_triage(rollup: DataFrame, files: DataFrame, folder: str) -> None:
-    """The four triage outputs: candidate folders as a table and as a list, all folders, all files."""
-    ranked = rollup.where("candidate").orderBy(F.desc("compressible_bytes"), F.desc("scanned_bytes"), "folder")
-    ranked.coalesce(1).write.mode("overwrite").csv(f"{folder}/candidates", header=True)
-    ranked.select("folder").coalesce(1).write.mode("overwrite").text(f"{folder}/candidates_list")
-    rollup.orderBy(F.desc("scanned_bytes"), "folder").coalesce(1).write.mode("overwrite").csv(f"{folder}/all_folders", header=True)
-    files.orderBy(F.desc("bytes")).write.mode("overwrite").csv(f"{folder}/files", header=True)
+def one_decimal(size):
+    return F.format_string("%.1f", F.bround(F.coalesce(size, F.lit(0)) / F.lit(1048576.0), 1))
+
+
+def folder_report(rollup: DataFrame) -> DataFrame:
+    """FOLDER_COLUMNS of a rollup, and candidate."""
+    flag = lambda c: F.col(c).cast("int")
+    values = ["folder", "n_pdf", "n_scanned", "n_born", "n_err", "n_junk", "n_big", "n_no_ocr", "n_other", flag("only_pdfs"), *[one_decimal(F.col(c)) for c in ("total_bytes", "scanned_bytes", "compressible_bytes", "biggest_bytes")], "reasons"]
+    return rollup.select(*[(F.col(v) if isinstance(v, str) else v).alias(name) for name, v in zip(vocab.FOLDER_COLUMNS, values)], flag("candidate").alias("candidate"))
+
+
+def file_report(verdicts_: DataFrame) -> DataFrame:
+    """FILE_COLUMNS of the real PDFs among classified files (path, bytes, is_pdf_name, not_pdf, scanned, born_digital, has_ocr, n_pages, scan_frac, error)."""
+    flag = lambda c: F.col(c).cast("int")
+    real = verdicts_.where("is_pdf_name AND NOT not_pdf")
+    values = [F.col("path"), one_decimal(F.col("bytes")), flag("scanned"), flag("born_digital"), flag("has_ocr"), F.coalesce("n_pages", F.lit(0)), F.bround("scan_frac", 3), F.coalesce("error", F.lit(""))]
+    return real.orderBy(F.desc("bytes"), "path").select(*[v.alias(name) for name, v in zip(vocab.FILE_COLUMNS, values)])
+
+
+def write_triage(rollup: DataFrame, verdicts_: DataFrame, folder: str) -> None:
+    """The four triage outputs: candidate folders as a table and as a list, all folders, all real PDFs."""
+    most = rollup.orderBy(F.desc("compressible_bytes"), F.desc("scanned_bytes"), "folder")
+    csv = lambda d, name, **k: d.write.mode("overwrite").csv(f"{folder}/{name}", header=True, emptyValue="", escape='"')
+    csv(folder_report(most.where("candidate")).drop("candidate").coalesce(1), "candidates")
+    most.where("candidate").select("folder").coalesce(1).write.mode("overwrite").text(f"{folder}/candidates_list")
+    csv(folder_report(most).coalesce(1), "all_folders")
+    csv(file_report(verdicts_), "files")
 
 
 def write_work_list(rows: DataFrame, path: str) -> None:

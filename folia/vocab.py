@@ -24,6 +24,9 @@ SAMPLE_PAGES, SEARCHABLE_CHARS, SEARCHABLE_SHARE = 8, 40, 0.8
 SCAN_SHARE, TEXT_PAGE_CHARS, SCAN_DPI = 0.5, 100, 50
 TRIAGE_PAGES = 6
 
+# Levels of forms that are looked into for visible text.
+FORM_DEPTH = 4
+
 # Scripts: least letters and share, ranges, packs, least confidence of a vote.
 SCRIPT_LETTERS, SCRIPT_SHARE, SCRIPT_CONFIDENCE = 50, 0.20, 3.0
 SCRIPT_CLASSES = (("Cyrillic", r"[\x{0400}-\x{052F}]"), ("Japanese", r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{FF66}-\x{FF9D}]"))
@@ -43,3 +46,13 @@ PAGE_KINDS = ("vector", "photo_color", "photo_gray", "color_line", "blank", "lin
 BLANK_INK = 0.0008
 
 REPORT_COLUMNS = ("file", "action", "reason", "ocr", "language", "orig size (MB)", "new size (MB)", "%", "duplicate of", "page types", "scan signals", "note", "warnings", "error")
+
+# Columns of the other reports.
+REVIEW_COLUMNS = ("name", "src", "mb_b", "mb_a", "pct", "pages", "words_b", "words_a", "text_recall", "links", "bm", "colour_px", "flags")
+AUDIT_COLUMNS = ("file", "MB before", "MB after", "%", "xmp", "hint", "orphans", "lost", "added", "xmp_replaced", "pixels", "text", "verdict", "detail")
+FOLDER_COLUMNS = ("folder", "pdfs", "scanned", "born_digital", "errors", "junk_pdf", "big", "no_ocr", "other_files", "only_pdfs", "total_MB", "scanned_MB", "compressible_MB", "biggest_MB", "reasons")
+FILE_COLUMNS = ("path", "size_MB", "scanned", "born_digital", "has_ocr", "pages", "scan_frac", "error")
+MATRIX_COLUMNS = ("type", "fixture", "combo", "orig_bytes", "out_bytes", "pct_of_orig", "raw_black_frac", "ink_kept_frac")
+
+# Words of a note.
+DECRYPTED_NOTE = "source was encrypted; output is DECRYPTED and its owner permission flags are dropped (page content unchanged and still verified)"

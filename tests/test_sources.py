@@ -57,34 +57,81 @@ def test_triage_outputs(spark, tmp_path):
     r = triage.folder_rollup(c, 50)
     got = {x.folder: x for x in r.collect()}
     assert got["f1"].reasons == "BIG(1) NO_OCR(1) ONLY_PDFS" and got["f1"].n_junk == 1 and got["f1"].candidate and not got["f2"].candidate and got["f3"].n_err == 1 and not got["f3"].candidate
-    files.write_triage(r, c, str(tmp_path / "t"))
+    files.write_triage(r, c.withColumn("path", F.col("folder")).withColumn("n_pages", F.lit(2)).withColumn("error", F.lit("")), str(tmp_path / "t"))
     files.write_work_list(spark.createDataFrame([("p", 2.0), ("q", 3.0)], "path string, size double"), str(tmp_path / "w"))
     assert spark.read.text(f"{tmp_path}/t/candidates_list").collect()[0].value == "f1"
     assert [x.value for x in spark.read.text(f"{tmp_path}/w").collect()] == ["# 2 files, biggest first", "q", "p"]
 
 
-def test_pdf_strings_and_objects():
+def one_file(spark, content, path="a"):
+    return spark.createDataFrame([(path, bytearray(content))], "path string, content binary")
+
+
+def test_pdf_strings():
     assert pdf.strings(rb"(a(b)c) <48 65> (x\)\101\n) << /K (v) >>") == [b"a(b)c", b"He", b"x)A\n", b"v"]
-    data = zlib.compress(b"BT ET")
-    whole = b"1 0 obj << /Filter /FlateDecode >>\nstream\n" + data + b"\nendstream\nendobj\n"
-    file = b"%PDF-1.4\n" + whole + b"1 0 obj << /Filter /FlateDecode >>\nstream\n" + data[:4] + b"\nendstream endobj\n2 0 obj << /A [1 2 >> endobj"
-    found = pdf.objects(file)
-    assert [(n, s) for n, _, _, _, s in found] == [(1, 4), (1, 1), (2, -1)] and file[found[0][2] : found[0][3]].endswith(b"endobj")
-    assert pdf.soundness(b"5 0 obj << /FirstChar 1 /LastChar 3 /Widths [1 2] >> endobj") == 1
+    assert pdf.strings(b"(a\\\r\nb) (\\53\\0053) <4> (open (inner) \\") == [b"ab", b"+\x053", b"@", b"open (inner) \\"]
+
+
+def test_pdf_soundness_of_copies(spark):
+    """One sound copy is kept beside a damaged one, whichever comes first; equal bytes, and ties, leave nothing to choose."""
+    data = zlib.compress(b"BT ET" * 9)
+    whole = b"1 0 obj << /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream endobj\n" % (len(data), data)
+    cut = b"1 0 obj << /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream endobj\n" % (len(data), data[:6])
+    widths = [b"2 0 obj << /FirstChar 1 /LastChar 3 /Widths [%s] >> endobj\n" % w for w in (b"1 2", b"1 2 3", b"1 2 3 4")]
+    for order in ((whole, cut), (cut, whole)):
+        table = pdf.object_table(one_file(spark, b"%PDF-1.4\n" + b"".join([*order, *widths, b"3 0 obj << >> endobj 3 0 obj << >> endobj 4 0 obj << /A [ >> endobj 4 0 obj << /B 1 >> endobj 4 1 obj << /C 1 >> endobj"])))
+        scores = sorted((r.num, r.score) for r in table.select("num", pdf.soundness().alias("score")).collect())
+        assert scores == [(1, -1), (1, 3), (2, -1), (2, -1), (2, 2), (3, 1), (3, 1), (4, -1), (4, 1), (4, 1)]
+        best = {r.num: r for r in pdf.best_copies(table).collect()}
+        assert set(best) == {1, 2, 4} and best[1].start == (9 if order[0] is whole else 9 + len(cut)) and best[2].copies == 3 and best[4].gen == 0
+
+
+def test_pdf_pages_inherit_and_open(spark):
+    body = (b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [4 0 R 3 0 R 2 0 R] /Rotate 90 /MediaBox [0 0 100 200] >> endobj "
+            b"3 0 obj << /Type /Page /Annots [7 0 R 8 0 R] >> endobj 4 0 obj << /Type /Pages /Kids [5 0 R] /Rotate 0 >> endobj 5 0 obj << /Type /Page /MediaBox [0 0 50 60] /Contents [6 0 R 9 0 R] >> endobj ")
+    rows = pdf.page_table(one_file(spark, body)).orderBy("page_no").collect()
+    assert [(r.num, r.rotate, r.width, r.contents, r.annots, r.status) for r in rows] == [(5, 0, 50.0, [6, 9], 0, "ok"), (3, 90, 100.0, [], 2, "ok")]
+    assert pdf.page_counts(pdf.page_table(one_file(spark, b"%PDF-1.4 nothing"))).first().n_pages is None
+    # a file under the user password 'vector', revision 2, and one under another
+    import hashlib
+
+    ident, owner = b"0123456789abcdef", b"o" * 32
+    for password, status in ((b"", "ok with password 0"), (b"vector", "ok with password 1"), (b"secret", "encrypted")):
+        key = hashlib.md5((password + pdf.PADDING)[:32] + owner + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()[:5]
+        user = pdf.rc4(key, pdf.PADDING)
+        told = body + b"10 0 obj << /Filter /Standard /V 1 /R 2 /P -4 /O <%s> /U <%s> >> endobj trailer << /Root 1 0 R /Encrypt 10 0 R /ID [<%s> <00>] >>" % (owner.hex().encode(), user.hex().encode(), ident.hex().encode())
+        assert {r.status for r in pdf.page_table(one_file(spark, told)).collect()} == {status}
+    assert pdf.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
 
 
 def test_pdf_operators_feed_the_joins(spark):
-    from folia.operators import relations
+    from folia.operators import pagefacts
 
     stream = b"/Im0 Do BT 3 Tr (a Tj b) Tj ET BT 0 Tr (seen) Tj ET"
-    packed = b"stream\n" + zlib.compress(stream) + b"\nendstream"
-    d = spark.createDataFrame([("a", bytearray(packed))], "path string, content binary")
-    ops = pdf.content_operators(d).withColumn("kind", F.when(F.col("kind") == "draw", "image").otherwise(F.col("kind"))).where("kind <> 'block'")
-    modes = relations.render_mode_asof(ops.select(F.col("path").alias("stream"), "pos", "kind", "arg"))
-    assert [r["mode"] for r in modes.orderBy("pos").collect()] == [3, 0]
-    assert not any(r.hidden for r in relations.covered_by_last_image(ops.select(F.col("path").alias("stream"), "pos", "kind")).collect())
-    table = pdf.object_table(spark.createDataFrame([("a", bytearray(b"1 0 obj << >> endobj 1 0 obj << /A [ >> endobj 1 0 obj << /B 1 >>\nstream\nx\nendstream endobj"))], "path string, content binary"))
-    assert pdf.best_copies(table).count() == 0  # two copies score alike
+    packed = zlib.compress(stream)
+    d = one_file(spark, b"5 0 obj << /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream endobj" % (len(packed), packed))
+    ops = pdf.content_operators(d)
+    assert [(r.kind, r.block_text) for r in ops.where("kind = 'block'").orderBy("pos").collect()] == [("block", "a Tj b"), ("block", "seen")]
+    assert [r.reads for r in pagefacts.judged_shows(ops).orderBy("pos").collect()] == [False, True]
+    boiler = spark.createDataFrame([("a", "seen")], "file string, line string")
+    assert [r.reads for r in pagefacts.judged_shows(ops, boiler).orderBy("pos").collect()] == [False, False]
+
+
+def test_forms_within_forms_are_read(spark):
+    from folia.operators import pagefacts
+
+    def form(n, body, names=b""):
+        return b"%d 0 obj << /Type /XObject /Subtype /Form %s /Length %d >>\nstream\n%s\nendstream endobj " % (n, names, len(body), body)
+
+    deep = b"".join(form(20 + k, b"/F Do", b"/Resources << /XObject << /F %d 0 R >> >>" % (21 + k)) for k in range(4)) + form(24, b"BT (deep) Tj ET")
+    deeper = b"".join(form(30 + k, b"/F Do", b"/Resources << /XObject << /F %d 0 R >> >>" % (31 + k)) for k in range(5)) + form(35, b"BT (deeper) Tj ET")
+    body = (b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R 5 0 R] >> endobj "
+            b"3 0 obj << /Type /Page /Contents 10 0 R /Resources << /XObject << /F 21 0 R >> >> >> endobj 4 0 obj << /Type /Page /Contents 10 0 R /Resources << /XObject << /F 31 0 R >> >> >> endobj "
+            b"5 0 obj << /Type /Page /Contents 11 0 R /Resources << /XObject << /F 24 0 R /I 40 0 R >> >> >> endobj 40 0 obj << /Subtype /Image /Width 9 /Height 9 >>\nstream\nx\nendstream endobj ") + form(10, b"/F Do") + form(11, b"/F Do /I Do") + deep + deeper
+    d = one_file(spark, body)
+    pages, ops, objects = pdf.page_table(d), pdf.content_operators(d), pdf.object_table(d)
+    assert [r.visible for r in pagefacts.visible_pages(pages, ops, objects).orderBy("page_no").collect()] == [True, False, False]
+    assert [r.text for r in pagefacts.page_text(pages, ops, objects).orderBy("page_no").collect()] == ["deep", "", "deep"]
 
 
 def test_size_gates(spark):
