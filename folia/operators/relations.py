@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..session import shared_folder
+from ..session import kept, shared_folder
 
 
 def before_after(before: DataFrame, after: DataFrame, key: str = "rel") -> DataFrame:
@@ -30,19 +30,20 @@ def retry_routes(entries: DataFrame, catalog: DataFrame, root: str) -> DataFrame
     return rows.select("entry", "src", F.when(foreign, "foreign").when(F.col("known").isNull(), "missing").otherwise("job").alias("route"))
 
 
-def multiset_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Copies of each key that one side has more of: (keys, lost, added), both sides counted before they meet."""
-    a = left.groupBy(*keys).agg(F.count("*").alias("a"))
-    b = right.groupBy(*keys).agg(F.count("*").alias("b"))
-    gap = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
-    return a.join(b, keys, "full_outer").select(*keys, F.greatest(gap, F.lit(0)).alias("lost"), F.greatest(-gap, F.lit(0)).alias("added")).where("lost > 0 OR added > 0")
+def two_sided(rows: DataFrame, keys: list[str], left: Column) -> DataFrame:
+    """(keys, a, b): how often each key stands on the side where ``left`` holds, and on the other; one pass, one shuffle."""
+    return rows.groupBy(*keys).agg(F.count_if(left).alias("a"), F.count_if(~left).alias("b"))
 
 
-def word_recall(before: DataFrame, after: DataFrame, key: str = "rel", least: int = vocab.RECALL_WORDS) -> DataFrame:
-    """(key, words_before, recall) of (key, word) rows; recall is null for fewer than ``least`` words."""
-    b = before.groupBy(key, "word").agg(F.count("*").alias("nb"))
-    a = after.groupBy(key, "word").agg(F.count("*").alias("na"))
-    both = b.join(a, [key, "word"], "left").groupBy(key).agg(F.sum("nb").alias("words_before"), F.sum(F.least("nb", F.coalesce("na", F.lit(0)))).alias("shared"))
+def multiset_difference(rows: DataFrame, keys: list[str], left: Column) -> DataFrame:
+    """Copies of each key that one side has more of: (keys, lost, added); rows belong to the left side or the right."""
+    gap = F.col("a") - F.col("b")
+    return two_sided(rows, keys, left).select(*keys, F.greatest(gap, F.lit(0)).alias("lost"), F.greatest(-gap, F.lit(0)).alias("added")).where("lost > 0 OR added > 0")
+
+
+def word_recall(rows: DataFrame, before: Column, key: str = "rel", least: int = vocab.RECALL_WORDS) -> DataFrame:
+    """(key, words_before, recall) of (key, word) rows of both sides; recall is null for fewer than ``least`` words before."""
+    both = two_sided(rows, [key, "word"], before).where("a > 0").groupBy(key).agg(F.sum("a").alias("words_before"), F.sum(F.least("a", "b")).alias("shared"))
     return both.select(key, "words_before", F.when(F.col("words_before") >= least, F.col("shared") / F.col("words_before")).alias("recall"))
 
 
@@ -53,23 +54,25 @@ def inherited(defects: DataFrame, source_defects: DataFrame, group: list[str], s
     return marked.groupBy(*group).agg(F.count("*").alias("n_defects"), F.bool_and(F.col("known").isNotNull()).alias("inherited"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Nodes that edges (src, dst) reach from roots (node), roots included; cycles are fine.
+def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """Nodes that edges (src, dst) reach from roots (node), roots included, with the step that reaches them; cycles are fine.
 
-    Each round joins only the last round's new nodes.  State is written to the
-    shared checkpoint folder, so plans stay short.
+    Edges are written once, and each round joins only the last round's new nodes.  State is written to the shared
+    checkpoint folder, so plans stay short.  Raises where ``rounds`` are not
+    enough; it never returns a part.
     """
     spark = edges.sparkSession
-    home = shared_folder(spark, "reach")
-    roots.select("node").distinct().write.parquet(f"{home}/step=0")
+    home, kind = shared_folder(spark, "reach"), edges.schema["dst"].dataType.simpleString()
+    edges = kept(edges.select("src", "dst").distinct(), "edges")
+    read = lambda path: spark.read.schema(f"node {kind}, step int").parquet(path)
+    roots.select(F.col("node").cast(kind).alias("node")).distinct().write.parquet(f"{home}/step=0")
     for k in range(1, rounds):
-        seen = spark.read.parquet(home)
+        seen = read(home)
         new = seen.where(F.col("step") == k - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh = new.join(seen.select("node"), "node", "left_anti")
-        fresh.write.parquet(f"{home}/step={k}")
-        if not spark.read.schema("node " + edges.schema["dst"].dataType.simpleString()).parquet(f"{home}/step={k}").take(1):
-            break
-    return spark.read.parquet(home).select("node", F.col("step").cast("int").alias("step"))
+        new.join(seen.select("node"), "node", "left_anti").write.parquet(f"{home}/step={k}")
+        if not spark.read.schema(f"node {kind}").parquet(f"{home}/step={k}").take(1):
+            return read(home)
+    raise RuntimeError(f"nodes were still found after {rounds} rounds")
 
 
 def render_mode_asof(ops: DataFrame) -> DataFrame:

@@ -128,3 +128,8 @@ def promotion(pairs: DataFrame) -> DataFrame:
 def repair_status(want: Column, trusted: Column, got: Column, salvaged: Column) -> Column:
     """repaired, incomplete or failed by the pages recovered and those that raw bytes show."""
     return (F.when((want == 0) & trusted, "failed").when(got >= F.greatest(want, F.lit(1)), "repaired").when(salvaged > 0, "incomplete").otherwise("failed"))
+
+
+def reads_agree(a: Column, b: Column) -> Column:
+    """Whether two digests are equal; one that is missing differs, and two that are missing tell nothing."""
+    return F.when(a.isNotNull() | b.isNotNull(), a.eqNullSafe(b))

@@ -52,11 +52,20 @@ def first_seen(rows: DataFrame, content: str, order: str, name: str) -> DataFram
     return out.withColumn("duplicate_of", F.when(F.col("_first")[order] != F.col(order), F.col("_first")[name])).drop("_first")
 
 
-def duplicate_sets(rows: DataFrame, content: str, name: str) -> DataFrame:
-    """(content, name, duplicate_of): every member of a set with all its other names, sorted."""
-    sets = rows.where(F.col(content).isNotNull()).groupBy(content).agg(F.array_sort(F.collect_list(name)).alias("names")).where(F.size("names") > 1)
-    return sets.select(content, F.explode("names").alias(name), F.col("names")).select(
-        content, name, F.array_join(F.filter("names", lambda x: x != F.col(name)), "; ").alias("duplicate_of"))
+def duplicate_sets(rows: DataFrame, content: str, name: str, shown: int = 20) -> DataFrame:
+    """(content, name, first, copies, duplicate_of): every member of a set with its first name and its size.
+
+    duplicate_of names the first ``shown`` other members, which is what a report
+    shows; the whole set is the rows with the same ``first``.  So output grows
+    with the rows, however large a set is, and a set is never held in one task.
+    """
+    keep = shown + 1
+    named = rows.where(F.col(content).isNotNull())
+    few = named.groupBy(content, F.spark_partition_id().alias("_task")).agg(F.count("*").alias("k"), F.slice(F.array_sort(F.collect_list(name)), 1, keep).alias("names"))
+    sets = few.groupBy(content).agg(F.sum("k").alias("copies"), F.slice(F.array_sort(F.flatten(F.collect_list("names"))), 1, keep).alias("names")).where("copies > 1")
+    told = named.join(sets, content)
+    others = F.slice(F.filter("names", lambda x: x != F.col(name)), 1, shown)
+    return told.select(content, name, F.get("names", F.lit(0)).alias("first"), "copies", F.array_join(F.transform(others, lambda x: x.cast("string")), "; ").alias("duplicate_of"))
 
 
 def eta(rows: DataFrame, group: str, order: str) -> DataFrame:

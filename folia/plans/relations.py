@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import relations, sequences
-from .base import load, query
+from .base import load, numbered, query
 
 
-@query("""SELECT a.doc_id AS rel, octet_length(encode(b.text)) AS bytes_before, octet_length(encode(a.text)) AS bytes_after FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) a JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) b USING (doc_id)""")
+@query("""SELECT doc_id AS rel, octet_length(encode(text)) AS bytes_before, quality * 10 + toxic AS bytes_after FROM documents JOIN labels USING (doc_id)""")
 def before_after_pairs(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel"), F.octet_length("text").cast("long").alias("bytes"))
-    return relations.before_after(d.where("rel % 5 <> 0"), d.where("rel % 3 <> 0")).select("rel", "bytes_before", "bytes_after")
+    """Documents as sources and labels as outputs: either table has rows that the other lacks."""
+    before = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel"), F.octet_length("text").cast("long").alias("bytes"))
+    after = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("rel"), (F.col("quality") * 10 + F.col("toxic")).alias("bytes"))
+    return relations.before_after(before, after).select("rel", "bytes_before", "bytes_after")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents ANTI JOIN labels USING (doc_id)")
@@ -35,7 +37,7 @@ def retry_routing(spark, sf_dir):
  SELECT source, word, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS lost, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS added FROM a FULL JOIN b USING (source, word) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def multiset_difference(spark, sf_dir):
     w = load(spark, sf_dir, "documents").select("doc_id", "source", F.explode(words(F.col("text"))).alias("word"))
-    return relations.multiset_difference(w.where("doc_id % 2 = 0"), w.where("doc_id % 2 = 1"), ["source", "word"])
+    return relations.multiset_difference(w, ["source", "word"], F.col("doc_id") % 2 == 0)
 
 
 @query("""WITH d AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), w AS (SELECT source AS rel, k % 2 AS side, unnest(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS word FROM d),
@@ -43,11 +45,9 @@ def multiset_difference(spark, sf_dir):
  SELECT rel, CAST(sum(nb) AS BIGINT) AS words_before, CASE WHEN sum(nb) >= 50 THEN CAST(sum(least(nb, coalesce(na, 0))) AS BIGINT) / CAST(sum(nb) AS BIGINT) END AS recall FROM b LEFT JOIN a USING (rel, word) GROUP BY rel""")
 def word_recall(spark, sf_dir):
     """How much of the words of each source's odd documents its even ones hold."""
-    from pyspark.sql import Window as W
-
-    d = load(spark, sf_dir, "documents").withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("doc_id")))
-    w = d.select(F.col("source").alias("rel"), (F.col("k") % 2).alias("side"), F.explode(words(F.col("text"))).alias("word"))
-    return relations.word_recall(w.where("side = 1"), w.where("side = 0"))
+    d = numbered(load(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id")).join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    w = d.select(F.col("file").alias("rel"), (F.col("page_no") % 2 == 0).alias("first"), F.explode(words(F.col("text"))).alias("word"))
+    return relations.word_recall(w, F.col("first"))
 
 
 @query("""WITH d AS (SELECT l_orderkey, l_returnflag || l_linestatus AS sig, l_linenumber % 2 AS side FROM lineitem)
@@ -95,11 +95,11 @@ def covered_by_last(spark, sf_dir):
     return relations.covered_by_last_image(_ops(spark, sf_dir))
 
 
-@query("""WITH d AS (SELECT doc_id, sha1(text) AS h FROM documents), g AS (SELECT h, list_sort(list(doc_id)) AS ids FROM d GROUP BY h HAVING count(*) > 1)
- SELECT h AS sha1, d.doc_id, array_to_string(list_filter(ids, x -> x <> d.doc_id), '; ') AS duplicate_of FROM g JOIN d USING (h)""")
+@query("""WITH d AS (SELECT doc_id, sha1(text) AS h FROM documents), g AS (SELECT h, min(doc_id) AS first, count(*) AS copies, list_sort(list(doc_id))[1 : 3] AS ids FROM d GROUP BY h HAVING count(*) > 1)
+ SELECT h AS sha1, d.doc_id, first, copies, array_to_string(list_filter(ids, x -> x <> d.doc_id)[1 : 2], '; ') AS duplicate_of FROM g JOIN d USING (h)""")
 def exact_duplicates(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"))
-    return sequences.duplicate_sets(d, "sha1", "doc_id")
+    return sequences.duplicate_sets(d, "sha1", "doc_id", 2)
 
 
 @query("SELECT doc_id, CASE WHEN f <> doc_id THEN f END AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha1(text)) AS f FROM documents)")

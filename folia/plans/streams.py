@@ -19,9 +19,9 @@ def live_report_stream(spark, sf_dir):
 
 @query("""WITH e AS (SELECT user_id AS file, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT *, sum(t) OVER (PARTITION BY file ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
- SELECT file, min(ts) AS began, max(ts) + INTERVAL 1 HOUR AS stalled_at, count(*) AS reports, max(value) AS furthest FROM s GROUP BY file, n""")
+ SELECT file, min(ts) AS began, max(ts) + INTERVAL 1 HOUR AS stalled_at, count(*) AS reports, max(value) AS furthest FROM s GROUP BY file, n HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""")
 def stall_watchdog(spark, sf_dir):
-    """Sessions of each user's events, apart by an hour or more."""
+    """Sessions of each user's events that ended an hour or more before the last event of all."""
     rows = live.events_stream(spark, sf_dir).select(F.col("user_id").alias("file"), F.col("ts").cast("timestamp").alias("ts"), "value")
     plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return live.watched(rows).select("file", plain("began"), plain("stalled_at"), "reports", "furthest")

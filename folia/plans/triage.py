@@ -68,10 +68,14 @@ BOILER = """l AS (SELECT file, page_no, unnest(list_distinct(list_transform(stri
 B90, B20 = (BOILER.format(norm=NORM.format("x"), share=s) for s in ("0.9::DOUBLE", "0.2::DOUBLE"))
 
 
-@query(f"WITH {PAGES}, {B90} SELECT file, line, n_on FROM b")
+STAMPED = PAGES.replace("coalesce(text, '') AS text", "coalesce(text, '') || CASE WHEN doc_id % 20 <> 3 AND source NOT LIKE '%a%' THEN chr(10) || '  Printed for  ' || source ELSE '' END AS text")
+
+
+@query(f"WITH {STAMPED}, {B90} SELECT file, line, n_on FROM b")
 def boilerplate_lines(spark, sf_dir):
-    """At the share of pages that files are judged by; the tables hold no such line."""
-    return gates.boilerplate_lines(pages(spark, sf_dir))
+    """At the share of pages that files are judged by; nineteen pages in twenty of some sources get a stamp."""
+    stamp = F.when((F.col("doc_id") % 20 != 3) & ~F.contains("file", F.lit("a")), F.concat(F.lit("\n  Printed for  "), "file")).otherwise("")
+    return gates.boilerplate_lines(pages(spark, sf_dir).withColumn("text", F.concat("text", stamp)))
 
 
 @query(f"WITH {PAGES}, {B20} SELECT file, line, n_on FROM b")
@@ -138,11 +142,13 @@ def vector_page_presence(spark, sf_dir):
     return _judged(spark, sf_dir).groupBy("file").agg(F.bool_or(F.coalesce(F.col("dpi") < 50, F.lit(True))).alias("has_vector"))
 
 
-@query("""SELECT doc_id, CASE WHEN n < 50 THEN '' WHEN c / n >= 0.2 THEN 'Cyrillic' WHEN j / n >= 0.2 THEN 'Japanese' ELSE '' END AS script FROM (SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) AS n,
- CAST(len(regexp_extract_all(text, '\\p{Cyrillic}')) AS DOUBLE) AS c, CAST(len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]')) AS DOUBLE) AS j FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN n < 50 THEN '' WHEN c / n >= 0.2 THEN 'Cyrillic' WHEN j / n >= 0.2 THEN 'Japanese' ELSE '' END AS script FROM (SELECT doc_id, len(regexp_extract_all(t, '\\p{L}')) AS n,
+ CAST(len(regexp_extract_all(t, '\\p{Cyrillic}')) AS DOUBLE) AS c, CAST(len(regexp_extract_all(t, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]')) AS DOUBLE) AS j FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN repeat('Снимите крышку ', CAST(doc_id % 9 AS INT)) || left(text, 200) WHEN 1 THEN repeat('部品を外す', CAST(doc_id % 30 AS INT)) || left(text, 90) ELSE text END AS t FROM documents))""")
 def script_share(spark, sf_dir):
-    """The tables hold Latin text only, so this shows the negative branch; tests hold the others."""
-    return load(spark, sf_dir, "documents").select("doc_id", text_script(F.col("text")).alias("script"))
+    """Texts with some Cyrillic or Japanese put before them, so that every branch is met."""
+    k = F.col("doc_id")
+    mixed = F.when(k % 5 == 0, F.concat(F.repeat(F.lit("Снимите крышку "), (k % 9).cast("int")), F.left("text", F.lit(200)))).when(k % 5 == 1, F.concat(F.repeat(F.lit("部品を外す"), (k % 30).cast("int")), F.left("text", F.lit(90)))).otherwise(F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", text_script(mixed).alias("script"))
 
 
 @query("SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS word FROM documents) GROUP BY word")

@@ -34,8 +34,17 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_report(finished: DataFrame) -> DataFrame:
-    """Rows of finished files as they come: (seq, file, action, error)."""
-    return drained(finished, "live-report", handle=lambda batch, path: batch.write.mode("overwrite").parquet(path))
+    """Rows of finished files as they come: (seq, file, action, error), read back from the CSV report that grows by a part a batch.
+
+    A batch that is done again replaces its own part, so no row comes twice.
+    """
+    home = shared_folder(finished.sparkSession, "live-report")
+
+    def grow(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").csv(f"{home}/report/batch={number}", header=True, escape='"', emptyValue="")
+
+    finished.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(grow).start().awaitTermination()
+    return finished.sparkSession.read.schema(finished.schema).csv(f"{home}/report", header=True, escape='"', recursiveFileLookup=True).na.fill("")
 
 
 def stalled(progress: DataFrame, limit: str = "1 hour") -> DataFrame:
@@ -48,7 +57,9 @@ def stalled(progress: DataFrame, limit: str = "1 hour") -> DataFrame:
         "file", F.col("w.start").alias("began"), F.col("w.end").alias("stalled_at"), "reports", "furthest")
 
 
-def watched(stream: DataFrame, limit: str = "1 hour") -> DataFrame:
-    """stalled() over a stream, every session told when the stream is drained."""
-    home = drained(stream.withWatermark("ts", limit), "watchdog")
-    return stalled(home, limit)
+def watched(stream: DataFrame, limit: str = "1 hour", late: str = "0 seconds") -> DataFrame:
+    """The stalls that a stream shows: stalled() in append mode, a session once the watermark has passed its end.
+
+    Sessions that are open when the stream is drained are no stalls yet.
+    """
+    return drained(stalled(stream.withWatermark("ts", late), limit), "watchdog")

@@ -142,6 +142,29 @@ def test_reachable_on_a_cycle(spark):
     assert relations.reachable(edges, spark.createDataFrame([(3,)], "node long")).count() == 130
 
 
+def test_reachable_never_returns_a_part(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        relations.reachable(edges, spark.createDataFrame([(0,)], "node long"), rounds=4)
+
+
+def test_large_duplicate_set_stays_linear(spark):
+    rows = spark.range(3000).select(F.lit("same").alias("h"), F.col("id").alias("file"))
+    out = sequences.duplicate_sets(rows, "h", "file", 3).collect()
+    assert len(out) == 3000 and {r.copies for r in out} == {3000} and {r["first"] for r in out} == {0}
+    assert {r.file: r.duplicate_of for r in out if r.file in (1, 2999)} == {1: "0; 2; 3", 2999: "0; 1; 2"}
+
+
+def test_notes_and_labels(spark):
+    from folia.operators import drivers
+
+    lit = F.lit
+    assert one(spark, drivers.repair_note(lit(0), lit(0), lit(-1), lit(5))) == " (repaired malformed PDF)"
+    assert one(spark, drivers.repair_note(lit(3), lit(2), lit(90), lit(88))) == " (repaired malformed PDF: 3 duplicate object(s), 2 resolved; objects 90->88)"
+    assert one(spark, drivers.pixel_label(lit(2550), lit(3508))) == "2550x3508 (8.9 MP)" and one(spark, drivers.pixel_label(lit(0), lit(0))) == "unreadable"
+    assert one(spark, drivers.lossless_note(lit(2 << 20), lit(1 << 20), lit(False))) == " (lossless rewrite: 2.00 -> 1.00 MB (50% smaller))"
+
+
 def test_report_rows_mask_failures(spark):
     rows = [("a", "compressed", "compressible", "new ocr", "eng", 20 << 20, 4 << 20, None), ("b", "compressed", "compressible", "re-ocr", "eng", 10, 5, "broken"), ("c", "x", "", "kept existing", "auto", 0, 0, "")]
     out = {r.file: r for r in report.report_rows(spark.createDataFrame(rows, "file string, action string, reason string, ocr string, lang string, orig long, new long, err string")).collect()}
@@ -155,8 +178,9 @@ def test_report_rows_mask_failures(spark):
 def test_cannot_judge_is_no_pass(spark):
     rows = spark.createDataFrame([("a", 1, 1, True, True), ("b", 1, 2, True, True), ("c", 1, 1, False, True), ("d", None, None, True, True)], "rel string, pages_before int, pages_after int, judged_before boolean, judged_after boolean")
     assert {r.rel: r.difference for r in report.fingerprint_difference(rows, ["pages"]).collect()} == {"a": "", "b": "pages", "c": None, "d": ""}
-    few = spark.createDataFrame([("r", "w")] * 10, "rel string, word string")
-    assert relations.word_recall(few, few).first().recall is None
+    few = spark.createDataFrame([("r", "w", k % 2 == 0) for k in range(20)], "rel string, word string, before boolean")
+    told = relations.word_recall(few, F.col("before")).first()
+    assert told.recall is None and told.words_before == 10
 
 
 def test_inherited_defects(spark):
