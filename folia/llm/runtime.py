@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,9 +42,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folia_path = path
+    _WRITTEN.append(path)
     return out
 
 
+def written() -> int:
+    """A mark: how many tables this driver has written with materialize()."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written since ``mark``, but for those to keep; nothing may read them any more."""
+    stay = {t._folia_path for t in keep}
+    for path in _WRITTEN[mark:]:
+        if path not in stay:
+            fs, p = hadoop_path(spark, path)
+            fs.delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialize() tables that nothing will read again."""
     for t in tables:
