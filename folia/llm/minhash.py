@@ -127,25 +127,35 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("doc_id", "n_shingles", "signature").mapInArrow(run, "band long, doc_id long, n long")
 
 
-def similar_enough(sa: np.ndarray, sb: np.ndarray, least: float) -> np.ndarray:
+def least_share(n: np.ndarray, percent: int) -> np.ndarray:
+    """The share of equal bins below which a pair whose smaller set has ``n`` shingles is not confirmed.
+
+    4.5 standard deviations under the threshold; a set fills no more bins than
+    it has shingles, so small sets get more room.
+    """
+    p = percent / 100
+    return p - 4.5 * np.sqrt(p * (1 - p) / np.clip(n, 1, BINS))
+
+
+def similar_enough(sa: np.ndarray, sb: np.ndarray, least) -> np.ndarray:
     return (sa == sb).mean(axis=-1) >= least
 
 
-def passing(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures leave the threshold possible."""
-    sig = classes.select(F.col("doc_id"), F.col("signature"))
-    wide = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a").join(
-        sig.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
+def passing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and signatures leave the threshold possible."""
+    side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("signature").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
+    wide = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches):
         for batch in batches:
             m = len(batch)
             if m:
                 sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(m, BINS) for c in ("sa", "sb"))
-                ok = pa.array(similar_enough(sa, sb, least))
+                n = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+                ok = pa.array(similar_enough(sa, sb, least_share(n, percent)))
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return wide.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int, chunk: int = 64) -> DataFrame:
@@ -228,7 +238,7 @@ def in_stranger_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     return placed.select("*", "at.x", "at.y", "at.asks").drop("main", "xs", "ys", "at")
 
 
-def close_pairs(table: pa.Table, sig: np.ndarray, n: np.ndarray, percent: int, least: float):
+def close_pairs(table: pa.Table, sig: np.ndarray, n: np.ndarray, percent: int):
     """(i, array of j) of a group's askers and the rows of other roots whose signatures leave the threshold possible.
 
     Two strangers ask each other; the one with the smaller doc_id counts.
@@ -240,12 +250,12 @@ def close_pairs(table: pa.Table, sig: np.ndarray, n: np.ndarray, percent: int, l
         j = asked[(root[asked] != root[i]) & (~stranger[asked] | (ids[asked] > ids[i]))]
         j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
         if len(j):
-            j = j[similar_enough(sig[j], sig[i], least)]
+            j = j[similar_enough(sig[j], sig[i], least_share(np.minimum(n[j], n[i]), percent))]
             if len(j):
                 yield i, j
 
 
-def families(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, least: float) -> DataFrame:
+def families(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(id, family): groups in which every pair that the stars could have missed lies.
 
     In each bucket that still holds several components the pairs across them
@@ -259,7 +269,7 @@ def families(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, percent
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(table.num_rows, BINS)
         ids, n = (table.column(c).to_numpy() for c in ("doc_id", "n"))
         local = Roots(ids)
-        for i, js in close_pairs(table, sig, n, percent, least):
+        for i, js in close_pairs(table, sig, n, percent):
             for j in js.tolist():
                 local.join(i, j)
         low = np.unique(ids)[[local.find(i) for i in range(table.num_rows)]]
@@ -272,7 +282,7 @@ def families(band_rows: DataFrame, classes: DataFrame, roots: DataFrame, percent
     return connected_components(stars).withColumnRenamed("root", "family")
 
 
-def late_links(family: DataFrame, roots: DataFrame, documents: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+def late_links(family: DataFrame, roots: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) across components inside families, on full sets.
 
     A family goes to tasks in blocks of at most about FAMILY texts that ask and
@@ -290,7 +300,7 @@ def late_links(family: DataFrame, roots: DataFrame, documents: DataFrame, words:
         sig = np.stack([one_permutation(s) if len(s) else np.zeros(BINS, np.uint16) for s in sets])
         n = np.array([len(s) for s in sets])
         local, found = Roots(table.column("root").to_numpy()), []
-        for i, js in close_pairs(table, sig, n, percent, least):
+        for i, js in close_pairs(table, sig, n, percent):
             for j in js.tolist():
                 if full[i] and full[j] and local.find(i) != local.find(j):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -319,7 +329,6 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85) ->
     empty table.
     """
     spark = documents.sparkSession
-    least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
     sig = materialize(signatures(documents, words), "signatures")
     usable = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(
@@ -329,13 +338,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 85) ->
     hubs = band_rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).where("k > 1")
     shared = band_rows.join(hubs.select("band", "a"), "band")
     stars = shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    tested = materialize(passing(stars, classes, least), "stars")
+    tested = materialize(passing(stars, classes, percent), "stars")
     links = materialize(confirmed(tested, documents, words, percent), "links")
     release_shuffles(spark)
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    family = materialize(families(band_rows, classes, roots, percent, least), "families")
+    family = materialize(families(band_rows, classes, roots, percent), "families")
     if family.take(1):
-        late = materialize(late_links(family, roots, documents, words, percent, least), "links")
+        late = materialize(late_links(family, roots, documents, words, percent), "links")
         if late.take(1):
             roots = connected_components(links.union(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
     discard(band_rows, tested, family)
