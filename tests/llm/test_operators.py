@@ -903,22 +903,72 @@ def test_long_texts(spark):
 # pipeline --------------------------------------------------------------------
 
 
+def groups_by_brute_force(sets, percent):
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= percent * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
+    """Each stage on its predecessor's rows against a brute-force form; the classifier against its own scores."""
     import corpus_pipeline
+    from folia.llm import classifier, packing
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(r[0], int("***" not in (r[1] or "") and "&&&" not in (r[1] or "") and "###" not in (r[1] or "")), 0) for r in rows]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    now, sizes = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), [rows]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, now, str(tmp_path))
         if k < 4:
             assert out.columns == now.columns, name
             out.write.parquet(f"{tmp_path}/out{k}")
             now = spark.read.parquet(f"{tmp_path}/out{k}")
-            sizes.append(now.count())
-    assert len(rows) > sizes[0] > sizes[1] == sizes[2]
-    assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(repr, out.select("doc_id", "piece", "length", "ids_crc32").collect()))
+            seen.append([tuple(r) for r in now.collect()])
+    first, good, single, cut, mix = seen
+    scores = {r.doc_id: r.predicted for r in classifier.quality_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert sorted(map(repr, good)) == sorted(repr(r) for r in first if scores[r[0]]) and len(good) < len(first)
+    roots = groups_by_brute_force({r[0]: shingles(r[1]) for r in good}, 80)
+    assert sorted(map(repr, single)) == sorted(repr(r) for r in good if roots[r[0]] == r[0]) and len(single) < len(good)
+    want = {i: bytes(c for c, m in zip(t, gone) if not m).decode("utf-8", "ignore") for i, (t, gone) in removed_bytes(single, 100).items()}
+    assert {r[0]: r[1] for r in cut} == want and any(want[r[0]] != (r[1] or "") for r in single)
+    sizes, source, taken = collections.Counter(), {r[0]: r[3] for r in cut}, collections.Counter()
+    words = {r[0]: WORD.findall(r[1] or "") for r in cut}
+    for i, w in words.items():
+        sizes[source[i]] += len(w)
+    of_doc = collections.defaultdict(collections.Counter)
+    for r in mix:
+        taken[r[3]] += len(WORD.findall(r[1]))
+        of_doc[r[0]].update(WORD.findall(r[1]))
+    levels = water_levels(sizes)
+    assert all(abs(taken[s] - levels[s]) <= 2 * 64 + 0.02 * levels[s] for s in sizes)
+    assert all(n <= 3 * collections.Counter(words[i])[w] for i, c in of_doc.items() for w, n in c.items())
+    packed = out.collect()
+    encoder = packing.Encoder(packing.default_vocabulary())
+    tokens = sorted((r[0], len(encoder.whole(r[1] or "")) // 4 + 1) for r in mix)
+    pieces = collections.defaultdict(list)
+    for r in packed:
+        pieces[r.sequence_id].append((r.offset, r.length))
+    assert sum(n for _, n in tokens) == sum(r.length for r in packed)
+    for group in pieces.values():
+        at = 0
+        for offset, length in sorted(group):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    key = ("doc_id", "piece", "length", "ids_crc32")
+    assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).select(*key).collect())) == sorted(repr(r) for r in out.select(*key).collect())
 
 
 def test_pipeline_links_near_copies_from_080_on(spark):
