@@ -14,7 +14,7 @@ from folia.llm.classifier import good_documents
 from folia.llm.minhash import one_of_each_group
 from folia.llm.mixing import mixed_documents
 from folia.llm.packing import pack_documents
-from folia.llm.runtime import materialize
+from folia.llm.runtime import discard_since, materialize, written
 from folia.llm.suffix_dedup import documents_without_repeats
 
 
@@ -51,14 +51,16 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Hashing, suffix arrays and the tokenizer have no SQL form; tests compare with brute force.
+#: Hashing, suffix arrays and the tokenizer have no SQL form; the test compares each stage with a brute-force one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; once a stage is written, what it and those before needed is deleted."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name.replace(" ", "-"))
+            discard_since(spark, mark, docs)
     return docs
