@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import common_prefix, lead_rank, page_tokens, to_separator
+from ..functions.text import common_prefix, lead_rank, page_extension, page_tokens, to_separator
 
 
 def equal_runs(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
@@ -125,6 +125,19 @@ def natural_order(parts: DataFrame, folder: str, name: str, affixes: DataFrame |
     return rows.withColumn("_tokens", page_tokens(F.col(name))).withColumn("place", F.row_number().over(w).cast("long")).drop("_tokens")
 
 
+def collected_parts(catalog: DataFrame, recursive: bool = False) -> DataFrame:
+    """Image and PDF parts of a folder's catalog (rel, ...) with place: files and subfolders together in natural order, level by level.
+
+    Without ``recursive`` only the folder's own files count.  One merge has one folder, so
+    its names are put in order together.
+    """
+    parts = catalog.where(page_extension(F.col("rel")) != "")
+    if not recursive:
+        parts = parts.where(~F.contains("rel", F.lit("/")))
+    keys = F.transform(F.split("rel", "/"), lambda name: F.struct(page_tokens(name).alias("tokens"), F.lower(name).alias("low"), name.alias("name")))
+    return parts.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(keys)).cast("long"))
+
+
 def order_by_doc_id(parts: DataFrame, folder: str, doc_id: str, name: str) -> DataFrame:
     """Adds place: by publisher's id if every part of the folder has one, else by name."""
     whole = parts.groupBy(folder).agg((F.count(doc_id) == F.count("*")).alias("_whole"))

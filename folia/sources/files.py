@@ -150,6 +150,87 @@ def write_work_list(rows: DataFrame, path: str) -> None:
     head.union(body).orderBy("o", "s", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path of any store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def publish(rows: DataFrame, path: str, fits) -> bool:
+    """Write rows under a name of their own, and give them ``path`` only if ``fits(what was read back)`` says so.
+
+    What stood there before goes once the new table is whole; if it doesn't fit,
+    the old one stays as it was.  Returns whether the new one is in place.
+    """
+    spark, draft = rows.sparkSession, f"{path.rstrip('/')}.part"
+    rows.write.mode("overwrite").parquet(draft)
+    fs, part = hadoop(spark, draft)
+    if not fits(spark.read.schema(rows.schema).parquet(draft)):
+        fs.delete(part, True)
+        return False
+    _, final = hadoop(spark, path)
+    _, old = hadoop(spark, f"{path.rstrip('/')}.old")
+    if fs.exists(final):
+        fs.delete(old, True)
+        fs.rename(final, old)
+    if not fs.rename(part, final):
+        fs.rename(old, final)
+        raise OSError(f"{path} could not be put in place")
+    fs.delete(old, True)
+    return True
+
+
+def promote(spark: SparkSession, decisions: DataFrame, outputs: str, archive: str, dry_run: bool = True) -> DataFrame:
+    """(rel, decision) with what was done: files that are to be promoted replace those of the archive.
+
+    ``decisions`` has (rel, decision, sha1 of the output as it was judged).  A
+    file is copied under another name, compared with that digest, and renamed.
+    Executors copy, so the folders must be ones that they share and mount.
+    """
+    if dry_run:
+        return decisions.select("rel", F.when(F.col("decision") == "promote", "would promote").otherwise(F.col("decision")).alias("decision"))
+
+    def run(batches):
+        import hashlib
+        import shutil
+
+        import pyarrow as pa
+
+        for batch in batches:
+            told = []
+            for rel, decision, sha1 in zip(*(batch.column(c).to_pylist() for c in ("rel", "decision", "sha1"))):
+                if decision == "promote":
+                    final = os.path.join(archive, rel)
+                    shutil.copyfile(os.path.join(outputs, rel), final + ".part")
+                    with open(final + ".part", "rb") as f:
+                        same = hashlib.file_digest(f, "sha1").hexdigest() == sha1
+                    if same:
+                        os.replace(final + ".part", final)
+                    else:
+                        os.remove(final + ".part")
+                    decision = "promoted" if same else "copy differs"
+                told.append(decision)
+            yield pa.RecordBatch.from_arrays([batch.column("rel"), pa.array(told, pa.string())], ["rel", "decision"])
+
+    return decisions.select("rel", "decision", "sha1").mapInArrow(run, "rel string, decision string")
+
+
+MANIFEST = "file string, type string, source string, source_page int, signals struct<ink_frac:double,photo_cov:double,type:string>, classifier_said string, verified boolean, note string"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a fixture manifest, a JSON list; none if there is no such file."""
+    fs, p = hadoop(spark, path)
+    return spark.read.schema(MANIFEST).json(path, multiLine=True) if fs.exists(p) else spark.createDataFrame([], MANIFEST)
+
+
+def write_manifest(entries: DataFrame, path: str) -> None:
+    """One JSON list of the entries, by file; a manifest is a list that a person keeps, so one task writes it."""
+    rows = entries.select("file", F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("entry"))
+    text = rows.agg(F.concat(F.lit("[\n  "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "entry"))), lambda e: e.entry), ",\n  "), F.lit("\n]")).alias("value"))
+    text.coalesce(1).write.mode("overwrite").text(path)
+
+
 def mirrored(files: DataFrame, root: str, dest: str) -> DataFrame:
     """Adds dest: the place under ``dest`` that a path has under ``root``."""
     return files.withColumn("dest", F.concat(F.lit(dest.rstrip("/")), F.substr("path", F.lit(len(root.rstrip("/")) + 1))))

@@ -67,6 +67,42 @@ def one_file(spark, content, path="a"):
     return spark.createDataFrame([(path, bytearray(content))], "path string, content binary")
 
 
+def test_publish_and_promote(spark, tmp_path):
+    import hashlib
+
+    path = str(tmp_path / "table")
+    assert files.publish(spark.range(3).toDF("id"), path, lambda d: d.count() == 3)
+    assert not files.publish(spark.range(5).toDF("id"), path, lambda d: d.count() == 3) and spark.read.parquet(path).count() == 3
+    assert files.publish(spark.range(5).toDF("id"), path, lambda d: True) and spark.read.parquet(path).count() == 5
+    (tmp_path / "out").mkdir(), (tmp_path / "in").mkdir()
+    for name in "abc":
+        (tmp_path / "out" / name).write_text(name * 3), (tmp_path / "in" / name).write_text("old")
+    digest = lambda name: hashlib.sha1(name.encode() * 3).hexdigest()
+    d = spark.createDataFrame([("a", "promote", digest("a")), ("b", "not smaller", digest("b")), ("c", "promote", "0" * 40)], "rel string, decision string, sha1 string")
+    dry = files.promote(spark, d, str(tmp_path / "out"), str(tmp_path / "in"))
+    assert {r.rel: r.decision for r in dry.collect()} == {"a": "would promote", "b": "not smaller", "c": "would promote"}
+    done = files.promote(spark, d, str(tmp_path / "out"), str(tmp_path / "in"), dry_run=False)
+    assert {r.rel: r.decision for r in done.collect()} == {"a": "promoted", "b": "not smaller", "c": "copy differs"}
+    assert [(tmp_path / "in" / name).read_text() for name in "abc"] == ["aaa", "old", "old"]
+
+
+def test_fixture_manifest(spark, tmp_path):
+    assert files.manifest(spark, str(tmp_path / "none.json")).count() == 0
+    rows = [("b.png", "line", "m.pdf", 3, (0.02, 0.0, "line"), "line", True, None), ("a.png", "blank", None, None, None, None, False, "by hand")]
+    files.write_manifest(spark.createDataFrame(rows, files.MANIFEST), str(tmp_path / "m"))
+    back = files.manifest(spark, glob.glob(f"{tmp_path}/m/part-*")[0]).orderBy("file").collect()
+    assert [(r.file, r.source_page, r.note) for r in back] == [("a.png", None, "by hand"), ("b.png", 3, None)] and back[1].signals.ink_frac == 0.02
+
+
+def test_parts_of_a_tree_in_natural_order(spark):
+    from folia.operators import sequences
+
+    names = ["2.jpg", "10.jpg", "1/10.tif", "1/9.tif", "note.txt", "1/cover.png"]
+    d = spark.createDataFrame([(n,) for n in names], "rel string")
+    told = lambda **k: [r.rel for r in sequences.collected_parts(d, **k).orderBy("place").collect()]
+    assert told() == ["2.jpg", "10.jpg"] and told(recursive=True) == ["1/9.tif", "1/10.tif", "1/cover.png", "2.jpg", "10.jpg"]
+
+
 def test_pdf_strings():
     assert pdf.strings(rb"(a(b)c) <48 65> (x\)\101\n) << /K (v) >>") == [b"a(b)c", b"He", b"x)A\n", b"v"]
     assert pdf.strings(b"(a\\\r\nb) (\\53\\0053) <4> (open (inner) \\") == [b"ab", b"+\x053", b"@", b"open (inner) \\"]
