@@ -86,8 +86,8 @@ def source_targets(parts: DataFrame, block: int, limit: int = 3) -> DataFrame:
     return materialize(s.select("s_null", "s_key", "rank", "source_size", "target", "blocks", slots.alias("slots")), "targets")
 
 
-def permuted(j: Column, n: Column, *salts: Column) -> Column:
-    """The place of j under a pseudorandom permutation of 0..n-1, one for each of ``salts``.
+def permuted(rows: DataFrame, j: Column, n: Column, *salts: Column) -> DataFrame:
+    """``rows`` with ``at``, the place of j under a pseudorandom permutation of 0..n-1, one for each of ``salts``.
 
     A four-round Feistel network over a grid of about sqrt(n) by sqrt(n) cells
     permutes the grid; cells beyond n walk on until they fall inside.  Fewer than
@@ -105,11 +105,10 @@ def permuted(j: Column, n: Column, *salts: Column) -> Column:
         right = (right + scrambled(*salts, F.lit(4), left) % down) % down
         return left * down + right
 
-    def walked(first: Column) -> Column:
-        last = F.aggregate(F.sequence(F.lit(1), F.lit(16)), first, lambda y, _: F.when(y < n, y).otherwise(network(y)))
-        return F.when(first < n, first).otherwise(F.get(F.transform(F.array(last), lambda y: F.when(y < n, y).otherwise(F.raise_error(F.lit("a permutation did not settle")))), F.lit(0)))
-
-    return F.get(F.transform(F.array(network(j)), walked), F.lit(0))
+    first = F.col("first_step")
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(16)), first, lambda y, _: F.when(y < n, y).otherwise(network(y)))
+    rows = rows.withColumn("first_step", network(j)).withColumn("at", F.when(first < n, first).otherwise(last)).drop("first_step")
+    return rows.withColumn("at", F.when(F.col("at") < n, F.col("at")).otherwise(F.raise_error(F.lit("a permutation did not settle"))))
 
 
 def shard_counts(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
@@ -142,8 +141,8 @@ def slot_blocks(targets: DataFrame, counts: DataFrame, seed: int = 0) -> DataFra
     ranges = shard_ranges(counts).join(targets.select("rank", "blocks"), "rank")
     slots = ranges.repartition(partitions(targets), "rank", "shard").withColumn("slot", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("count") - 1)))
     slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
-    at = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), *([F.lit(seed)] if seed else []), F.col("rank"), F.col("turn"))
-    return slots.select("rank", "shard", "slot", "turn", at.alias("at"))
+    placed = permuted(slots, F.col("slot") % F.col("blocks"), F.col("blocks"), *([F.lit(seed)] if seed else []), F.col("rank"), F.col("turn"))
+    return placed.select("rank", "shard", "slot", "turn", "at")
 
 
 def _mixed(documents: DataFrame, carry: list[str], block: int, shard_slots: int, seed: int) -> DataFrame:
