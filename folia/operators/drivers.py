@@ -21,10 +21,13 @@ def per_file(facts: DataFrame, floor_mb: float, lossless_floor_mb: float | None
     layer, audit.  A file that its audit fails keeps its bytes, and says why.
     """
     f = facts.withColumn("candidate", F.when(F.col("born"), F.coalesce("lossless_new", "orig")).otherwise(F.col("new")))
-    action, reason = gates.decision(F.col("orig"), F.col("candidate"), F.col("n_pages"), F.col("born"), F.col("decrypted"), F.col("projected"), floor_mb, lossless_floor_mb, saving)
-    f = f.withColumn("action", action).withColumn("reason", reason).withColumn("ocr", gates.ocr_state(F.col("asked") & ~F.col("born"), F.col("all_text"), F.col("any_text")))
+    action, reason = gates.decision(F.col("orig"), F.col("candidate"), F.col("n_pages"), F.col("born"), F.col("decrypted"), F.col("projected"),
+        floor_mb, lossless_floor_mb, saving)
+    f = f.withColumn("action", action).withColumn("reason", reason).withColumn("ocr",
+        gates.ocr_state(F.col("asked") & ~F.col("born"), F.col("all_text"), F.col("any_text")))
     unread = F.col("n_pages").isNull()
-    err = F.when(unread, "cannot be read").when((F.col("action") == vocab.COMPRESSED) & F.col("fatal").isNotNull(), F.concat(F.lit("self-audit: "), F.col("fatal"))).otherwise("")
+    err = F.when(unread, "cannot be read").when((F.col("action") == vocab.COMPRESSED) & F.col("fatal").isNotNull(),
+        F.concat(F.lit("self-audit: "), F.col("fatal"))).otherwise("")
     shipped = (F.col("action") == vocab.COMPRESSED) & (err == "")
     raw = F.when(F.col("action") == vocab.COMPRESSED, F.lit("compressed")).when(F.col("reason") == vocab.BORN_DIGITAL, "born_digital").otherwise("kept_original")
     return f.select(
@@ -42,7 +45,9 @@ def preview(facts: DataFrame, floor_mb: float, saving: float = 0.1) -> DataFrame
     f = facts.withColumn("new", would).withColumn("fatal", F.lit(None).cast("string")).withColumn("lossless_new", F.lit(None).cast("long"))
     pages = F.when(F.col("n_pages").isNotNull(), F.greatest(F.col("n_pages"), F.lit(vocab.PRECHECK_PAGES)))
     rows = per_file(f.withColumn("n_pages", pages), floor_mb, None, saving).join(f.select("file", "projected"), "file")
-    return rows.select("file", report.action_label(F.col("err"), F.col("action")).alias("action"), F.when(F.col("err") != "", vocab.ERROR).otherwise(F.col("reason")).alias("reason"), F.col("projected").alias("scan_frac"), F.floor(F.col("orig") * F.col("projected")).cast("long").alias("projected_new"))
+    return rows.select("file", report.action_label(F.col("err"), F.col("action")).alias("action"),
+        F.when(F.col("err") != "", vocab.ERROR).otherwise(F.col("reason")).alias("reason"), F.col("projected").alias("scan_frac"),
+        F.floor(F.col("orig") * F.col("projected")).cast("long").alias("projected_new"))
 
 
 def jobs(sources: DataFrame, done: DataFrame, key: str, limit: int | None = None) -> DataFrame:
@@ -71,7 +76,8 @@ def merge_manifest(parts: DataFrame) -> DataFrame:
     ordered = sequences.natural_order(kept, "folder", "name")
     counted = ordered.withColumn("count", F.when(F.col("is_pdf"), F.coalesce("pages", F.lit(0))).otherwise(1))
     before = F.sum("count").over(W.partitionBy("folder").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
-    return counted.select("folder", "place", "name", F.col("count").cast("long").alias("pages"), (F.coalesce(before, F.lit(0)) + 1).cast("long").alias("first_page"), (~F.col("is_pdf") | F.col("pages").isNotNull()).alias("readable"))
+    return counted.select("folder", "place", "name", F.col("count").cast("long").alias("pages"),
+        (F.coalesce(before, F.lit(0)) + 1).cast("long").alias("first_page"), (~F.col("is_pdf") | F.col("pages").isNotNull()).alias("readable"))
 
 
 # Notes ---------------------------------------------------------------------------
@@ -101,13 +107,15 @@ def signals_text(scan_frac: Column, scan_pages: Column, sampled: Column, text_pa
     lines, letters = F.size(boiler), F.aggregate(boiler, F.lit(0), lambda n, x: n + F.length(x))
     told = lambda name, v: F.concat(F.lit(name + "="), v)
     return F.concat_ws(
-        " ", told("scan_frac", scan_frac.cast("string")), told("scan_pages", F.concat(scan_pages, F.lit("/"), sampled)), told("text_pages", text_pages), told("chars", chars),
+        " ", told("scan_frac", scan_frac.cast("string")), told("scan_pages", F.concat(scan_pages, F.lit("/"), sampled)),
+            told("text_pages", text_pages), told("chars", chars),
         F.when(lines > 0, F.concat(F.lit("boiler="), lines, F.lit("ln/"), letters, F.lit("c"))), F.when(error != "", F.concat(F.lit("["), error, F.lit("]"))))
 
 
 def pixel_label(w: Column, h: Column) -> Column:
     """Like 2550x3508 (8.9 MP); unreadable without a width."""
-    return F.when(F.coalesce(w, F.lit(0)) > 0, F.concat(w, F.lit("x"), h, F.lit(" ("), F.format_string("%.1f", F.bround(w.cast("long") * h / 1e6, 1)), F.lit(" MP)"))).otherwise("unreadable")
+    return F.when(F.coalesce(w, F.lit(0)) > 0, F.concat(w, F.lit("x"), h, F.lit(" ("), F.format_string("%.1f", F.bround(w.cast("long") * h / 1e6, 1)),
+        F.lit(" MP)"))).otherwise("unreadable")
 
 
 def relative_label(path: Column, folder: Column) -> Column:
@@ -131,8 +139,10 @@ def review_report(pairs: DataFrame, origins: DataFrame | None = None) -> DataFra
     rows = rows.withColumn("src", F.lit("")) if origins is None else rows.join(origins.select(F.col("name").alias("base"), "src"), "base", "left").na.fill("", ["src"])
     before, after = F.col("bytes_before"), F.col("bytes_after")
     values = [
-        F.col("rel").cast("string"), F.col("src"), before / F.lit(1048576.0), after / F.lit(1048576.0), 100 * after / F.greatest(before, F.lit(1)), F.col("pages_after"), F.col("words_before"), F.col("words_after"),
-        F.coalesce(F.bround("recall", 3).cast("string"), F.lit("")), moved("links"), moved("bookmarks"), F.when(F.col("colour_px_before") >= 500, moved("colour_px")).otherwise("n/a"), F.col("flags")]
+        F.col("rel").cast("string"), F.col("src"), before / F.lit(1048576.0), after / F.lit(1048576.0), 100 * after / F.greatest(before, F.lit(1)),
+            F.col("pages_after"), F.col("words_before"), F.col("words_after"),
+        F.coalesce(F.bround("recall", 3).cast("string"), F.lit("")), moved("links"), moved("bookmarks"),
+            F.when(F.col("colour_px_before") >= 500, moved("colour_px")).otherwise("n/a"), F.col("flags")]
     return rows.select(*[v.alias(name) for name, v in zip(vocab.REVIEW_COLUMNS, values)]).orderBy("pct", "name")
 
 
@@ -146,13 +156,17 @@ def audit_report(streams: DataFrame, sizes: DataFrame, renders: DataFrame) -> Da
     """
     a = sizes.join(report.stream_audit(streams), "file", "left").join(renders, "file", "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    lost = F.concat_ws("; ", F.when(F.col("lost") > 0, F.concat(count("lost"), F.lit(" reachable stream(s) lost"))), F.when(F.col("added") > 0, F.concat(count("added"), F.lit(" stream(s) added"))))
+    lost = F.concat_ws("; ", F.when(F.col("lost") > 0, F.concat(count("lost"), F.lit(" reachable stream(s) lost"))),
+        F.when(F.col("added") > 0, F.concat(count("added"), F.lit(" stream(s) added"))))
     differ = F.size(F.coalesce("problems", F.array().cast("array<string>"))) > 0
     detail = F.concat(lost, F.when(differ, F.concat(F.lit(" | RENDER: "), F.array_join(F.slice("problems", 1, 2), "; "))).otherwise(""))
     of = lambda same, judged: F.when(F.col(judged).isNotNull(), F.concat(F.col(same), F.lit("/"), F.col(judged))).otherwise("")
     values = [
-        F.col("file"), F.bround(F.col("before") / F.lit(1048576.0), 3), F.bround(F.col("after") / F.lit(1048576.0), 3), F.bround(100 * F.col("after") / F.greatest("before", F.lit(1)), 1), count("xmp"), count("hint"), count("orphans"), count("lost"), count("added"),
-        count("packet"), of("pixels_same", "pixels_judged"), of("text_same", "text_judged"), F.when(differ, "FAILED").otherwise(F.coalesce("verdict", F.lit("ok"))), detail]
+        F.col("file"), F.bround(F.col("before") / F.lit(1048576.0), 3), F.bround(F.col("after") / F.lit(1048576.0), 3),
+            F.bround(100 * F.col("after") / F.greatest("before", F.lit(1)), 1), count("xmp"), count("hint"), count("orphans"), count("lost"),
+            count("added"),
+        count("packet"), of("pixels_same", "pixels_judged"), of("text_same", "text_judged"),
+            F.when(differ, "FAILED").otherwise(F.coalesce("verdict", F.lit("ok"))), detail]
     return a.select(*[v.alias(name) for name, v in zip(vocab.AUDIT_COLUMNS, values)]).orderBy(F.lower(F.col("file").cast("string")), "file")
 
 
@@ -176,8 +190,11 @@ def summary_lines(rows: DataFrame, elapsed_minutes: float) -> DataFrame:
     """(ord, line): the block of text that ends a run: totals, why files were kept, and the state of text layers."""
     t = report.run_totals(rows)
     head = t.select(F.explode(F.array(
-        F.struct(F.lit(0).alias("ord"), F.concat(F.col("files"), F.lit(" files, "), F.col("compressed"), F.lit(" compressed, "), F.col("kept"), F.lit(" kept, "), F.col("failed"), F.lit(" failed")).alias("line")),
-        F.struct(F.lit(1).alias("ord"), F.concat(two(F.col("orig")), F.lit(" -> "), two(F.col("new")), F.lit(f" MB in {elapsed_minutes:.1f} min")).alias("line")))).alias("x")).select("x.*")
-    why = report.reason_tally(rows).where(F.col("action") == vocab.KEPT).select(F.lit(2).alias("ord"), F.concat(F.lit("kept, "), "reason", F.lit(": "), "files", F.lit(" files, "), two(F.col("bytes")), F.lit(" MB")).alias("line"))
+        F.struct(F.lit(0).alias("ord"), F.concat(F.col("files"), F.lit(" files, "), F.col("compressed"), F.lit(" compressed, "), F.col("kept"),
+            F.lit(" kept, "), F.col("failed"), F.lit(" failed")).alias("line")),
+        F.struct(F.lit(1).alias("ord"), F.concat(two(F.col("orig")), F.lit(" -> "), two(F.col("new")),
+            F.lit(f" MB in {elapsed_minutes:.1f} min")).alias("line")))).alias("x")).select("x.*")
+    why = report.reason_tally(rows).where(F.col("action") == vocab.KEPT).select(F.lit(2).alias("ord"),
+        F.concat(F.lit("kept, "), "reason", F.lit(": "), "files", F.lit(" files, "), two(F.col("bytes")), F.lit(" MB")).alias("line"))
     ocr = report.ocr_tally(rows).where("ocr <> ''").select(F.lit(3).alias("ord"), F.concat(F.lit("text layer "), "ocr", F.lit(": "), "files").alias("line"))
     return head.union(why).union(ocr).orderBy("ord", "line")

@@ -29,7 +29,8 @@ def boilerplate_lines(pages: DataFrame, share: float = vocab.BOILER_SHARE) -> Da
     # a line on too few pages of the smallest file drops out before it is sent to its file
     often = on.groupBy("file", "line").agg(F.count("*").alias("n_on")).where(F.col("n_on") >= share * vocab.BOILER_PAGES)
     common = often.join(sizes, "file").where(F.col("n_on") >= F.col("with_text") * F.lit(share))
-    guard = common.groupBy("file").agg(F.count("*").alias("k"), F.sum(F.length("line")).alias("chars")).where((F.col("k") <= vocab.BOILER_LINES) & (F.col("chars") <= vocab.BOILER_CHARS))
+    guard = common.groupBy("file").agg(F.count("*").alias("k"),
+        F.sum(F.length("line")).alias("chars")).where((F.col("k") <= vocab.BOILER_LINES) & (F.col("chars") <= vocab.BOILER_CHARS))
     return common.join(guard.select("file"), "file", "left_semi").select("file", "line", "n_on")
 
 
@@ -70,10 +71,12 @@ def born_digital(sample: DataFrame) -> DataFrame:
 def born_digital_by_resolution(sample: DataFrame) -> DataFrame:
     """The older gate: a page image wins over any text."""
     scan = F.count_if(F.col("dpi") >= vocab.SCAN_DPI)
-    return sample.groupBy("file").agg(F.count("*").alias("sampled"), scan.alias("scan_pages")).withColumn("born_digital", F.col("scan_pages") < vocab.SCAN_SHARE * F.col("sampled"))
+    return sample.groupBy("file").agg(F.count("*").alias("sampled"), scan.alias("scan_pages")).withColumn("born_digital",
+        F.col("scan_pages") < vocab.SCAN_SHARE * F.col("sampled"))
 
 
-def decision(orig: Column, new: Column, pages: Column, born: Column, decrypted: Column, projected: Column, floor_mb: float, lossless_floor_mb: float | None = None, saving: float = 0.1) -> tuple[Column, Column]:
+def decision(orig: Column, new: Column, pages: Column, born: Column, decrypted: Column, projected: Column, floor_mb: float,
+    lossless_floor_mb: float | None = None, saving: float = 0.1) -> tuple[Column, Column]:
     """(action, reason) of a file by its gates, cheapest first."""
     floor, lossless = int(floor_mb * 1048576), int((floor_mb if lossless_floor_mb is None else lossless_floor_mb) * 1048576)
     bar = F.when(decrypted, orig).otherwise(F.floor(orig * (1 - vocab.LOSSLESS_SAVING)))

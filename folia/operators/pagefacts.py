@@ -53,7 +53,8 @@ def page_text(pages: DataFrame, ops: DataFrame, objects: DataFrame, depth: int =
 
 def page_images(pages: DataFrame, objects: DataFrame) -> DataFrame:
     """(path, page_no, images, dpi): sizes of the images that a page names, and its largest-image resolution."""
-    images = objects.where("subtype = 'Image' AND width IS NOT NULL").select("path", F.col("num").alias("image"), F.struct(F.col("width").alias("w"), F.col("height").alias("h")).alias("size"))
+    images = objects.where("subtype = 'Image' AND width IS NOT NULL").select("path", F.col("num").alias("image"),
+        F.struct(F.col("width").alias("w"), F.col("height").alias("h")).alias("size"))
     p = pages.where("page_no IS NOT NULL").select("path", "page_no", "width", "height", F.explode_outer(F.map_values("xobjects")).alias("image"))
     sized = p.join(images, ["path", "image"], "left").groupBy("path", "page_no", "width", "height").agg(F.collect_list("size").alias("images"))
     return sized.select("path", "page_no", "images", class_dpi(F.col("images"), F.col("width"), F.col("height")).alias("dpi"))
@@ -69,7 +70,8 @@ def judged_shows(ops: DataFrame, boiler: DataFrame | None = None) -> DataFrame:
     modes = relations.render_mode_asof(keyed.select(F.col("key").alias("stream"), "pos", "kind", "arg"))
     blocks = keyed.where("kind = 'block'").select(F.col("key").alias("stream"), F.col("pos").alias("start"), "stop", "block_text")
     held = relations.shows_in_blocks(modes, blocks.drop("block_text")).join(blocks.select("stream", "start", "block_text"), ["stream", "start"])
-    shows = modes.join(held.select("stream", "pos", "block_text"), ["stream", "pos"], "left").select("stream.path", "stream.stream", "pos", "mode", norm_line(F.col("block_text")).alias("line"))
+    shows = modes.join(held.select("stream", "pos", "block_text"), ["stream", "pos"], "left").select("stream.path", "stream.stream", "pos", "mode",
+        norm_line(F.col("block_text")).alias("line"))
     if boiler is None:
         return shows.select(*KEY, "pos", (F.col("mode") != 3).alias("reads"))
     stamps = boiler.select(F.col("file").alias("path"), "line", F.lit(True).alias("stamp")).distinct()
@@ -89,7 +91,8 @@ def visible_pages(pages: DataFrame, ops: DataFrame, objects: DataFrame, boiler:
         seen = level.join(shows, KEY).join(last, ["path", "page_no", "at"], "left").groupBy("path", "page_no").agg(F.max(after & F.col("reads")).alias("visible"))
         found = seen if found is None else found.union(seen)
     told = found.groupBy("path", "page_no").agg(F.max("visible").alias("visible"))
-    return pages.where("page_no IS NOT NULL").select("path", "page_no").join(told, ["path", "page_no"], "left").select("path", "page_no", F.coalesce("visible", F.lit(False)).alias("visible"))
+    return pages.where("page_no IS NOT NULL").select("path", "page_no").join(told, ["path", "page_no"], "left").select("path", "page_no",
+        F.coalesce("visible", F.lit(False)).alias("visible"))
 
 
 def sample_record(pages: DataFrame, text: DataFrame, images: DataFrame, boiler: DataFrame, visible: DataFrame, k: int = vocab.SAMPLE_PAGES) -> DataFrame:
@@ -98,7 +101,8 @@ def sample_record(pages: DataFrame, text: DataFrame, images: DataFrame, boiler:
 
     whole = pages.where("page_no IS NOT NULL").select("path", "page_no").join(text, ["path", "page_no"]).withColumnRenamed("path", "file")
     keyed = lambda d: d.withColumnRenamed("path", "file")
-    sample = net_text(sampled_pages(whole, k), boiler).join(keyed(images).drop("images"), ["file", "page_no"]).join(keyed(visible).withColumnRenamed("visible", "seen"), ["file", "page_no"])
+    sample = net_text(sampled_pages(whole, k), boiler).join(keyed(images).drop("images"),
+        ["file", "page_no"]).join(keyed(visible).withColumnRenamed("visible", "seen"), ["file", "page_no"])
     return sample.select("file", "page_no", "text", "net", F.when(F.col("seen"), F.length("net")).otherwise(0).alias("visible"), "dpi")
 
 

@@ -87,7 +87,9 @@ def render_mode_asof(ops: DataFrame) -> DataFrame:
 def shows_in_blocks(shows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Show operators (stream, pos) with the block [start, stop) of their stream that holds them."""
     b, s = blocks.alias("b"), shows.alias("s")
-    return s.join(b, (F.col("s.stream") == F.col("b.stream")) & (F.col("b.start") <= F.col("s.pos")) & (F.col("s.pos") < F.col("b.stop"))).select("s.stream", "s.pos", "b.start", "b.stop")
+    return s.join(b,
+        (F.col("s.stream") == F.col("b.stream")) & (F.col("b.start") <= F.col("s.pos")) & (F.col("s.pos") < F.col("b.stop"))).select("s.stream",
+        "s.pos", "b.start", "b.stop")
 
 
 def covered_by_last_image(ops: DataFrame) -> DataFrame:

@@ -37,14 +37,16 @@ def ocr_tally(rows: DataFrame) -> DataFrame:
 def run_totals(rows: DataFrame) -> DataFrame:
     failed = F.col("error") != ""
     return rows.agg(
-        F.count("*").alias("files"), F.count_if(F.col("action") == vocab.COMPRESSED).alias("compressed"), F.count_if(F.col("action") == vocab.KEPT).alias("kept"), F.count_if(failed).alias("failed"),
+        F.count("*").alias("files"), F.count_if(F.col("action") == vocab.COMPRESSED).alias("compressed"),
+            F.count_if(F.col("action") == vocab.KEPT).alias("kept"), F.count_if(failed).alias("failed"),
         F.sum(F.when(~failed, F.col("orig")).otherwise(0)).alias("orig"), F.sum(F.when(~failed, F.coalesce("new", F.col("orig"))).otherwise(0)).alias("new"))
 
 
 def tally_text(rows: DataFrame, group: str, kind: str) -> DataFrame:
     """(group, tally) like 'line=12 vector=3', kinds sorted."""
     n = rows.groupBy(group, kind).agg(F.count("*").alias("n"))
-    return n.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(kind, "n"))), lambda x: F.concat(x[kind], F.lit("="), x.n)), " ").alias("tally"))
+    return n.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(kind, "n"))),
+        lambda x: F.concat(x[kind], F.lit("="), x.n)), " ").alias("tally"))
 
 
 def warning_tally(rows: DataFrame, most: int = 20) -> DataFrame:
@@ -104,7 +106,8 @@ def stream_audit(streams: DataFrame) -> DataFrame:
     of = lambda k: F.sum(F.when(kind == k, short).otherwise(0))
     dead_hint = F.sum(F.when(F.col("is_hint") & ~F.col("is_xmp"), all_short - short).otherwise(0))
     d = streams.groupBy("file").agg(
-        of("xmp").alias("xmp"), (of("hint") + dead_hint).alias("hint"), of("lost").alias("lost"), F.max(F.when((kind == "packet") & (short > 0), 1).otherwise(0)).alias("packet"),
+        of("xmp").alias("xmp"), (of("hint") + dead_hint).alias("hint"), of("lost").alias("lost"),
+            F.max(F.when((kind == "packet") & (short > 0), 1).otherwise(0)).alias("packet"),
         F.sum(all_short).alias("_short"), F.sum(F.when(F.col("is_doc_xmp"), 0).otherwise(F.greatest(F.col("after") - F.col("total"), F.lit(0)))).alias("added"))
     d = d.withColumn("orphans", F.col("_short") - F.col("xmp") - F.col("lost") - F.col("packet") - F.col("hint")).drop("_short")
     return d.withColumn("verdict", F.when((F.col("lost") > 0) | (F.col("added") > 0), "FAILED").otherwise("ok"))

@@ -65,7 +65,8 @@ def duplicate_sets(rows: DataFrame, content: str, name: str, shown: int = 20) ->
     sets = few.groupBy(content).agg(F.sum("k").alias("copies"), F.slice(F.array_sort(F.flatten(F.collect_list("names"))), 1, keep).alias("names")).where("copies > 1")
     told = named.join(sets, content)
     others = F.slice(F.filter("names", lambda x: x != F.col(name)), 1, shown)
-    return told.select(content, name, F.get("names", F.lit(0)).alias("first"), "copies", F.array_join(F.transform(others, lambda x: x.cast("string")), "; ").alias("duplicate_of"))
+    return told.select(content, name, F.get("names", F.lit(0)).alias("first"), "copies",
+        F.array_join(F.transform(others, lambda x: x.cast("string")), "; ").alias("duplicate_of"))
 
 
 def eta(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -112,7 +113,8 @@ def folder_affixes(parts: DataFrame, folder: str, stem: str) -> DataFrame:
     back = F.reverse(stem)
     d = parts.groupBy(folder).agg(F.count("*").alias("n"), F.min(stem).alias("a"), F.max(stem).alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
     many = lambda x: F.when(F.col("n") > 1, x).otherwise("")
-    return d.select(folder, many(to_separator(common_prefix(F.col("a"), F.col("b")))).alias("prefix"), many(F.reverse(to_separator(common_prefix(F.col("c"), F.col("d"))))).alias("suffix"))
+    return d.select(folder, many(to_separator(common_prefix(F.col("a"), F.col("b")))).alias("prefix"),
+        many(F.reverse(to_separator(common_prefix(F.col("c"), F.col("d"))))).alias("suffix"))
 
 
 def natural_order(parts: DataFrame, folder: str, name: str, affixes: DataFrame | None = None) -> DataFrame:

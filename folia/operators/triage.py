@@ -30,7 +30,8 @@ def folder_rollup(files: DataFrame, big_bytes: int) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0)).cast("long")
     d = files.groupBy("folder").agg(
         count(pdf).alias("n_pdf"), count(scan).alias("n_scanned"), count(pdf & F.col("born_digital")).alias("n_born"), count(pdf & F.col("unreadable")).alias("n_err"),
-        count(F.col("is_pdf_name") & F.col("not_pdf")).alias("n_junk"), count(big).alias("n_big"), count(bare).alias("n_no_ocr"), count(~F.col("is_pdf_name")).alias("n_other"),
+        count(F.col("is_pdf_name") & F.col("not_pdf")).alias("n_junk"), count(big).alias("n_big"), count(bare).alias("n_no_ocr"),
+            count(~F.col("is_pdf_name")).alias("n_other"),
         total(pdf).alias("total_bytes"), total(scan).alias("scanned_bytes"), total(big | bare).alias("compressible_bytes"),
         F.coalesce(F.max(F.when(pdf, F.col("bytes"))), F.lit(0)).cast("long").alias("biggest_bytes"))
     only = F.col("n_other") == 0

@@ -31,7 +31,8 @@ def document(k: int) -> bytes:
         put(n, b"<< %s %s /Length %d >>\nstream\n%s\nendstream" % (head, b"/Filter /FlateDecode" if packed else b"", len(data), data))
 
     put(1, b"<< /Type /Catalog /Pages 2 0 R /Metadata 4 0 R >>")
-    put(2, b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 612 792] %s >>" % (b" ".join(b"%d 0 R" % (10 + p) for p in range(pages)), pages, b"/Rotate 90" if k % 5 == 1 else b""))
+    put(2, b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 612 792] %s >>" % (b" ".join(b"%d 0 R" % (10 + p) for p in range(pages)), pages,
+        b"/Rotate 90" if k % 5 == 1 else b""))
     stream(4, b"/Type /Metadata", b"<?xpacket begin?>" + b"m" * k, False)
     stream(5, b"/Type /Metadata", b"<?xpacket begin?>" + b"p" * (2 * k), False)
     stream(6, b"/Type /XObject /Subtype /Image /Width 1700 /Height 2200", b"i" * 40, False)
@@ -71,8 +72,10 @@ def content_of(k: int) -> tuple[str, bytes]:
 
 
 #: The same kinds in SQL: txt, junk, broken; then form (a page's text in a form), text, ocr, under (text below an image) and bare.
-KINDS = """f AS (SELECT n_nationkey AS k, n_name AS name, r_name AS folder, CASE WHEN n_nationkey % 8 = 5 THEN 'txt' WHEN n_nationkey % 9 = 4 THEN 'junk' WHEN n_nationkey % 11 = 7 THEN 'broken' WHEN n_nationkey % 6 = 3 THEN 'form'
- WHEN n_nationkey % 2 = 1 THEN 'text' WHEN n_nationkey % 4 = 0 THEN 'ocr' WHEN n_nationkey % 10 = 2 THEN 'under' ELSE 'bare' END AS kind FROM nation JOIN region ON n_regionkey = r_regionkey),
+KINDS = """f AS (SELECT n_nationkey AS k, n_name AS name, r_name AS folder, CASE WHEN n_nationkey % 8 = 5 THEN 'txt' WHEN n_nationkey % 9 = 4 THEN 'junk'
+   WHEN n_nationkey % 11 = 7 THEN 'broken' WHEN n_nationkey % 6 = 3 THEN 'form'
+ WHEN n_nationkey % 2 = 1 THEN 'text' WHEN n_nationkey % 4 = 0 THEN 'ocr' WHEN n_nationkey % 10 = 2 THEN 'under' ELSE 'bare' END AS kind FROM nation
+   JOIN region ON n_regionkey = r_regionkey),
  d AS (SELECT *, k % 3 + 3 AS n FROM f WHERE kind NOT IN ('txt', 'junk', 'broken')), p AS (SELECT *, unnest(range(0, n)) AS page_no FROM d)"""
 
 
@@ -82,7 +85,8 @@ def archive(spark, sf_dir) -> str:
 
     root = shared_folder(spark, "archive")
     jvm = spark.sparkContext._jvm
-    rows = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), col("n_regionkey") == col("r_regionkey")).select("n_nationkey", "n_name", "r_name").collect()  # 25 rows at every scale
+    rows = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), col("n_regionkey") == col("r_regionkey")).select("n_nationkey", "n_name",
+        "r_name").collect()  # 25 rows at every scale
     for r in rows:
         suffix, data = content_of(r.n_nationkey)
         path = jvm.org.apache.hadoop.fs.Path(f"{root}/{r.r_name}/{r.n_name}{suffix}")
@@ -107,14 +111,17 @@ def _pdfs(spark, sf_dir):
     return _catalog(spark, sf_dir).where(F.lower("path").endswith(".pdf") & is_pdf_head(F.col("content"))).select(F.col("name").alias("path"), "content")
 
 
-@query(f"WITH {KINDS} SELECT folder, name, kind <> 'txt' AS is_pdf_name, kind NOT IN ('txt', 'junk') AS is_pdf, kind NOT IN ('txt', 'junk') AS merges, CASE WHEN kind = 'txt' THEN 0 WHEN kind IN ('junk', 'broken') THEN 0 ELSE n END AS raw_pages FROM f LEFT JOIN d USING (k, name, folder, kind)")
+@query(f"""WITH {KINDS} SELECT folder, name, kind <> 'txt' AS is_pdf_name, kind NOT IN ('txt', 'junk') AS is_pdf, kind NOT IN ('txt', 'junk') AS merges, CASE
+   WHEN kind = 'txt' THEN 0 WHEN kind IN ('junk', 'broken') THEN 0 ELSE n END AS raw_pages FROM f LEFT JOIN d USING (k, name, folder, kind)""")
 def archive_catalog(spark, sf_dir):
     """Walk, suffix in any case, both magic gates, and pages seen in raw bytes."""
     c, content = _catalog(spark, sf_dir), F.col("content")
-    return c.select("folder", "name", F.lower("path").endswith(".pdf").alias("is_pdf_name"), is_pdf_head(content).alias("is_pdf"), looks_like_pdf(content).alias("merges"), raw_pages(content).pages.alias("raw_pages"))
+    return c.select("folder", "name", F.lower("path").endswith(".pdf").alias("is_pdf_name"), is_pdf_head(content).alias("is_pdf"),
+        looks_like_pdf(content).alias("merges"), raw_pages(content).pages.alias("raw_pages"))
 
 
-@query(f"""WITH {KINDS} SELECT name, page_no, CASE WHEN page_no = 0 AND k % 7 = 0 THEN 180 WHEN k % 5 = 1 THEN 90 ELSE 0 END AS rotate, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, CASE WHEN page_no = 0 THEN k % 3 ELSE 0 END AS annots, 'ok' AS status FROM p
+@query(f"""WITH {KINDS} SELECT name, page_no, CASE WHEN page_no = 0 AND k % 7 = 0 THEN 180 WHEN k % 5 = 1 THEN 90
+   ELSE 0 END AS rotate, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, CASE WHEN page_no = 0 THEN k % 3 ELSE 0 END AS annots, 'ok' AS status FROM p
  UNION ALL SELECT name, NULL, NULL, NULL, NULL, NULL, 'unreadable' FROM f WHERE kind = 'broken'""")
 def pdf_page_table(spark, sf_dir):
     """Pages in tree order with what they inherit; a file that can't be opened has one row that says so."""
@@ -134,7 +141,8 @@ TEXT = "'page ' || page_no || ': ' || repeat('The valve is set to the mark, then
 STAMPED = "'PROPERTY OF THE WORKSHOP 0001'"
 
 
-@query(f"""WITH {KINDS} SELECT name, page_no, kind IN ('text', 'form') AS visible, CAST(length(CASE kind WHEN 'text' THEN {TEXT} WHEN 'ocr' THEN {TEXT} || chr(10) || {STAMPED} WHEN 'under' THEN {TEXT} || chr(10) || {STAMPED} WHEN 'bare' THEN {STAMPED} ELSE {FORM} END) AS BIGINT) AS chars,
+@query(f"""WITH {KINDS} SELECT name, page_no, kind IN ('text', 'form') AS visible, CAST(length(CASE kind WHEN 'text' THEN {TEXT}
+   WHEN 'ocr' THEN {TEXT} || chr(10) || {STAMPED} WHEN 'under' THEN {TEXT} || chr(10) || {STAMPED} WHEN 'bare' THEN {STAMPED} ELSE {FORM} END) AS BIGINT) AS chars,
  kind NOT IN ('text', 'form') AS image FROM p""")
 def pdf_visible_text(spark, sf_dir):
     """Text by render mode, by what is painted over it, through forms, and without the file's stamp."""
@@ -144,8 +152,10 @@ def pdf_visible_text(spark, sf_dir):
     boiler = gates.boilerplate_lines(text.withColumnRenamed("path", "file"), 0.9)
     seen = pagefacts.visible_pages(pages, ops, objects, boiler).join(text, ["path", "page_no"])
     drawn = ops.where("kind = 'draw' AND arg = '/Im0'").select("path", F.explode(F.array("stream")).alias("stream")).distinct()
-    image = pages.where("page_no IS NOT NULL").select("path", "page_no", F.explode("contents").alias("stream")).join(drawn, ["path", "stream"], "left_semi").select("path", "page_no", F.lit(True).alias("image"))
-    return seen.join(image, ["path", "page_no"], "left").select(F.col("path").alias("name"), "page_no", "visible", F.length("text").cast("long").alias("chars"), F.coalesce("image", F.lit(False)).alias("image"))
+    image = pages.where("page_no IS NOT NULL").select("path", "page_no", F.explode("contents").alias("stream")).join(drawn, ["path", "stream"],
+        "left_semi").select("path", "page_no", F.lit(True).alias("image"))
+    return seen.join(image, ["path", "page_no"], "left").select(F.col("path").alias("name"), "page_no", "visible",
+        F.length("text").cast("long").alias("chars"), F.coalesce("image", F.lit(False)).alias("image"))
 
 
 def triage_of_files(catalog, big_bytes: int):
@@ -165,19 +175,25 @@ def triage_of_files(catalog, big_bytes: int):
     born = key(gates.born_digital(sample)).select("path", (F.col("scan_pages") / F.col("sampled")).alias("scan_frac"))
     searchable = key(gates.has_text(sample)).select("path", "searchable")
     facts = named.drop("content").join(pdf.page_counts(pages), "path", "left").join(born, "path", "left").join(searchable, "path", "left")
-    facts = facts.withColumn("unreadable", F.coalesce(~F.col("status").startswith("ok"), F.lit(False))).withColumn("scan_frac", F.coalesce("scan_frac", F.lit(0.0))).withColumn("searchable", F.coalesce("searchable", F.lit(False)))
-    verdict = triage.classify_files(facts).withColumn("error", F.when(F.col("not_pdf"), "not a PDF (bad header)").when(F.col("unreadable"), F.col("status")).otherwise(""))
+    facts = facts.withColumn("unreadable", F.coalesce(~F.col("status").startswith("ok"), F.lit(False))).withColumn("scan_frac",
+        F.coalesce("scan_frac", F.lit(0.0))).withColumn("searchable", F.coalesce("searchable", F.lit(False)))
+    verdict = triage.classify_files(facts).withColumn("error", F.when(F.col("not_pdf"), "not a PDF (bad header)").when(F.col("unreadable"),
+        F.col("status")).otherwise(""))
     verdict = kept(verdict, "verdicts")
     return verdict, kept(triage.folder_rollup(verdict, big_bytes), "rollup")
 
 
 TRIAGED = f"""{KINDS}, t AS (SELECT *, kind IN ('ocr', 'under', 'bare') AS scanned, kind = 'ocr' OR kind = 'under' AS has_ocr FROM f),
- g AS (SELECT folder, count(*) FILTER (kind NOT IN ('txt', 'junk')) AS pdfs, count(*) FILTER (scanned) AS scanned, count(*) FILTER (kind IN ('text', 'form')) AS born_digital, count(*) FILTER (kind = 'broken') AS errors, count(*) FILTER (kind = 'junk') AS junk_pdf,
+ g AS (SELECT folder, count(*) FILTER (kind NOT IN ('txt', 'junk')) AS pdfs, count(*) FILTER (scanned) AS scanned, count(*) FILTER (kind IN ('text',
+   'form')) AS born_digital, count(*) FILTER (kind = 'broken') AS errors, count(*) FILTER (kind = 'junk') AS junk_pdf,
   count(*) FILTER (scanned AND NOT has_ocr) AS no_ocr, count(*) FILTER (kind = 'txt') AS other_files FROM t GROUP BY folder)"""
 
 
-@query(f"""WITH {TRIAGED} SELECT folder, CAST(pdfs AS VARCHAR) AS pdfs, CAST(scanned AS VARCHAR) AS scanned, CAST(born_digital AS VARCHAR) AS born_digital, CAST(errors AS VARCHAR) AS errors, CAST(junk_pdf AS VARCHAR) AS junk_pdf, '0' AS big, CAST(no_ocr AS VARCHAR) AS no_ocr, CAST(other_files AS VARCHAR) AS other_files,
- CASE WHEN other_files = 0 THEN '1' ELSE '0' END AS only_pdfs, '0.0' AS total_MB, '0.0' AS scanned_MB, '0.0' AS compressible_MB, '0.0' AS biggest_MB, concat_ws(' ', CASE WHEN no_ocr > 0 THEN 'NO_OCR(' || no_ocr || ')' END, CASE WHEN other_files = 0 AND scanned > 0 THEN 'ONLY_PDFS' END) AS reasons,
+@query(f"""WITH {TRIAGED} SELECT folder, CAST(pdfs AS VARCHAR) AS pdfs, CAST(scanned AS VARCHAR) AS scanned, CAST(born_digital AS VARCHAR) AS born_digital,
+   CAST(errors AS VARCHAR) AS errors, CAST(junk_pdf AS VARCHAR) AS junk_pdf, '0' AS big, CAST(no_ocr AS VARCHAR) AS no_ocr,
+   CAST(other_files AS VARCHAR) AS other_files,
+ CASE WHEN other_files = 0 THEN '1' ELSE '0' END AS only_pdfs, '0.0' AS total_MB, '0.0' AS scanned_MB, '0.0' AS compressible_MB, '0.0' AS biggest_MB,
+   concat_ws(' ', CASE WHEN no_ocr > 0 THEN 'NO_OCR(' || no_ocr || ')' END, CASE WHEN other_files = 0 AND scanned > 0 THEN 'ONLY_PDFS' END) AS reasons,
  CASE WHEN scanned > 0 AND no_ocr > 0 THEN '1' ELSE '0' END AS candidate, scanned > 0 AND no_ocr > 0 AS listed FROM g WHERE pdfs > 0""")
 def triage_driver(spark, sf_dir):
     """The triage of a tree of files, from walk to the four reports, as the reports are read back."""
@@ -189,8 +205,10 @@ def triage_driver(spark, sf_dir):
     return rows.join(listed, "folder", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
-@query(f"""WITH {TRIAGED} SELECT name, '0.0' AS size_MB, CASE WHEN scanned THEN '1' ELSE '0' END AS scanned, CASE WHEN kind IN ('text', 'form') THEN '1' ELSE '0' END AS born_digital, CASE WHEN has_ocr THEN '1' ELSE '0' END AS has_ocr,
- CAST(CASE WHEN kind = 'broken' THEN 0 ELSE k % 3 + 3 END AS VARCHAR) AS pages, CASE WHEN scanned THEN '1.0' ELSE '0.0' END AS scan_frac, CASE WHEN kind = 'broken' THEN 'unreadable' ELSE '' END AS error FROM t WHERE kind NOT IN ('txt', 'junk')""")
+@query(f"""WITH {TRIAGED} SELECT name, '0.0' AS size_MB, CASE WHEN scanned THEN '1' ELSE '0' END AS scanned, CASE WHEN kind IN ('text', 'form') THEN '1'
+   ELSE '0' END AS born_digital, CASE WHEN has_ocr THEN '1' ELSE '0' END AS has_ocr,
+ CAST(CASE WHEN kind = 'broken' THEN 0 ELSE k % 3 + 3 END AS VARCHAR) AS pages, CASE WHEN scanned THEN '1.0' ELSE '0.0' END AS scan_frac, CASE
+   WHEN kind = 'broken' THEN 'unreadable' ELSE '' END AS error FROM t WHERE kind NOT IN ('txt', 'junk')""")
 def triage_file_report(spark, sf_dir):
     """The file report of the same triage: one row for each real PDF."""
     verdict, rollup = triage_of_files(_catalog(spark, sf_dir), 1 << 40)
@@ -200,11 +218,13 @@ def triage_file_report(spark, sf_dir):
     return rows.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("name"), *vocab.FILE_COLUMNS[1:])
 
 
-LENGTHS = f"""CASE kind WHEN 'form' THEN 11 WHEN 'text' THEN length('BT 0 Tr (' || {TEXT} || ') Tj ET ') WHEN 'ocr' THEN length('/Im0 Do BT 3 Tr (' || {TEXT} || ') Tj ET BT 0 Tr (' || {STAMPED} || ') Tj ET ')
+LENGTHS = f"""CASE kind WHEN 'form' THEN 11 WHEN 'text' THEN length('BT 0 Tr (' || {TEXT} || ') Tj ET ')
+   WHEN 'ocr' THEN length('/Im0 Do BT 3 Tr (' || {TEXT} || ') Tj ET BT 0 Tr (' || {STAMPED} || ') Tj ET ')
  WHEN 'under' THEN length('BT 0 Tr (' || {TEXT} || ') Tj ET /Im0 Do BT 0 Tr (' || {STAMPED} || ') Tj ET ') ELSE length('/Im0 Do BT 0 Tr (' || {STAMPED} || ') Tj ET ') END"""
 
 
-@query(f"""WITH {KINDS} SELECT name, CAST(max(n) AS BIGINT) AS pages, CAST(max(k % 3) AS BIGINT) AS annots, count(*) AS content_parts, CAST(sum({LENGTHS}) AS BIGINT) AS content_decoded, CAST(max(k % 3) AS BIGINT) AS links, CAST(max(k % 4) AS BIGINT) AS bookmarks FROM p GROUP BY name""")
+@query(f"""WITH {KINDS} SELECT name, CAST(max(n) AS BIGINT) AS pages, CAST(max(k % 3) AS BIGINT) AS annots, count(*) AS content_parts,
+   CAST(sum({LENGTHS}) AS BIGINT) AS content_decoded, CAST(max(k % 3) AS BIGINT) AS links, CAST(max(k % 4) AS BIGINT) AS bookmarks FROM p GROUP BY name""")
 def pdf_content_totals(spark, sf_dir):
     """Decoded bytes and parts of all pages' contents, and what leads from page to page."""
     d = _pdfs(spark, sf_dir)
@@ -213,7 +233,9 @@ def pdf_content_totals(spark, sf_dir):
     return totals.select(F.col("path").alias("name"), *["pages", "annots", "content_parts", "content_decoded", "links", "bookmarks"])
 
 
-@query(f"""WITH {KINDS} SELECT name, CAST(4 + max(n) AS BIGINT) AS streams, CAST(max(17 + k + 17 + 2 * k + 40) + max(CASE WHEN k % 2 = 0 THEN 0 ELSE length('BT 0 Tr (' || {FORM} || ') Tj ET') END) + sum(CASE WHEN k % 2 = 0 THEN 0 ELSE {LENGTHS} END) AS BIGINT) AS unfiltered, CAST(max(17 + 2 * k) AS BIGINT) AS xmp FROM p GROUP BY name""")
+@query(f"""WITH {KINDS} SELECT name, CAST(4 + max(n) AS BIGINT) AS streams, CAST(max(17 + k + 17 + 2 * k + 40) + max(CASE WHEN k % 2 = 0 THEN 0
+   ELSE length('BT 0 Tr (' || {FORM} || ') Tj ET') END) + sum(CASE WHEN k % 2 = 0 THEN 0 ELSE {LENGTHS} END) AS BIGINT) AS unfiltered,
+   CAST(max(17 + 2 * k) AS BIGINT) AS xmp FROM p GROUP BY name""")
 def pdf_rewrite_signature(spark, sf_dir):
     """What a lossless rewrite has to work with: bytes without a filter, and of packets that the catalog doesn't name."""
     return pdf.rewrite_signature(pdf.object_table(_pdfs(spark, sf_dir))).select(F.col("path").alias("name"), "streams", "unfiltered", "xmp")
@@ -243,13 +265,15 @@ def _damaged(spark, sf_dir):
     cut = F.concat(text(f"1 0 obj << /Filter /FlateDecode /Length {len(PACKED) // 2} >>\nstream\n"), F.lit(PACKED[:20]), text("\nendstream endobj\n"))
     good, bad, open_ = (text(f"2 0 obj << /FirstChar 1 /LastChar 3 {w} endobj\n") for w in ("/Widths [1 2 3] >>", "/Widths [1 2] >>", "/Widths [1 2 3]"))
     first = F.when(k % 3 == 0, F.concat(sound, cut)).when(k % 3 == 1, F.concat(cut, sound)).otherwise(F.concat(sound, sound))
-    second = F.when(k % 4 == 0, F.concat(bad, good)).when(k % 4 == 1, F.concat(good, open_)).when(k % 4 == 2, F.concat(bad, open_)).otherwise(F.concat(good, text("2 0 obj << /Other 1 >> endobj\n")))
+    second = F.when(k % 4 == 0, F.concat(bad, good)).when(k % 4 == 1, F.concat(good, open_)).when(k % 4 == 2,
+        F.concat(bad, open_)).otherwise(F.concat(good, text("2 0 obj << /Other 1 >> endobj\n")))
     third = text("3 0 obj << /A 1 >> endobj 3 1 obj << /B 1 >> endobj 3 0 obj << /C 1 >> endobj\n")
     return load(spark, sf_dir, "customer").select(k.cast("string").alias("path"), F.unhex(F.concat(text("%PDF-1.4\n"), first, second, third)).alias("content"))
 
 
 @query("""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS path, c_custkey AS k FROM customer),
- s AS (SELECT path, 1 AS num, 0 AS gen, unnest(CASE k % 3 WHEN 0 THEN [3, -1] WHEN 1 THEN [-1, 3] ELSE [3, 3] END) AS score FROM c UNION ALL SELECT path, 2, 0, unnest(CASE k % 4 WHEN 0 THEN [-1, 2] WHEN 1 THEN [2, -1] WHEN 2 THEN [-1, -1] ELSE [2, 1] END) FROM c
+ s AS (SELECT path, 1 AS num, 0 AS gen, unnest(CASE k % 3 WHEN 0 THEN [3, -1] WHEN 1 THEN [-1, 3] ELSE [3, 3] END) AS score FROM c UNION ALL
+   SELECT path, 2, 0, unnest(CASE k % 4 WHEN 0 THEN [-1, 2] WHEN 1 THEN [2, -1] WHEN 2 THEN [-1, -1] ELSE [2, 1] END) FROM c
   UNION ALL SELECT path, 3, unnest([0, 1, 0]), 1 FROM c) SELECT path, CAST(num AS BIGINT) AS num, gen, score, count(*) AS n FROM s GROUP BY ALL""")
 def pdf_object_soundness(spark, sf_dir):
     """How many definitions of each object look how whole."""
@@ -257,7 +281,8 @@ def pdf_object_soundness(spark, sf_dir):
     return t.groupBy("path", "num", "gen", pdf.soundness().alias("score")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(c_custkey AS VARCHAR) AS path, 1::BIGINT AS num, 0 AS gen, 2::BIGINT AS copies, 3 AS score, c_custkey % 3 = 0 AS earlier FROM customer WHERE c_custkey % 3 <> 2
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS path, 1::BIGINT AS num, 0 AS gen, 2::BIGINT AS copies, 3 AS score, c_custkey % 3 = 0 AS earlier FROM customer
+   WHERE c_custkey % 3 <> 2
  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 2, 0, 2, 2, c_custkey % 4 <> 0 FROM customer WHERE c_custkey % 4 <> 2""")
 def pdf_best_copies(spark, sf_dir):
     """The copy to keep of objects that are defined in several ways: the only best one, if it is whole."""
@@ -270,11 +295,13 @@ def pdf_best_copies(spark, sf_dir):
 def pdf_literal_strings(spark, sf_dir):
     """Strings with nested parentheses, hexadecimal digits and escapes."""
     c = load(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("key"), F.concat(F.lit("[("), "c_name", F.lit(" ("), "c_nationkey", F.lit(r")) << /K 1 >> <48 65> (x\)\101\n)] TJ")).cast("binary").alias("content"))
+        F.col("c_custkey").alias("key"), F.concat(F.lit("[("), "c_name", F.lit(" ("), "c_nationkey",
+            F.lit(r")) << /K 1 >> <48 65> (x\)\101\n)] TJ")).cast("binary").alias("content"))
     return pdf.string_table(c)
 
 
-@query("SELECT p_partkey, CAST(p_size * 10 AS BIGINT) AS w, CAST(p_size + 100 AS BIGINT) AS h, CAST(p_size * 10 AS DOUBLE) * 72.0::DOUBLE / CASE WHEN p_partkey % 5 = 0 THEN 72 ELSE 200 END AS width_pt FROM part WHERE p_partkey % 7 <> 0")
+@query("""SELECT p_partkey, CAST(p_size * 10 AS BIGINT) AS w, CAST(p_size + 100 AS BIGINT) AS h, CAST(p_size * 10 AS DOUBLE) * 72.0::DOUBLE / CASE
+   WHEN p_partkey % 5 = 0 THEN 72 ELSE 200 END AS width_pt FROM part WHERE p_partkey % 7 <> 0""")
 def wrapper_headers(spark, sf_dir):
     """Sizes of bitonal page files from four big-endian numbers; every seventh file is cut short, every fifth tells no resolution."""
     key, size = F.col("p_partkey"), F.col("p_size")

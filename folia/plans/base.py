@@ -38,7 +38,8 @@ def numbered(rows: DataFrame, task_rows: int = 1 << 16) -> DataFrame:
     r = rows.withColumn("range", F.floor(F.col("doc_id") / task_rows))
     counts = r.groupBy("file", "range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = r.withColumn("at", F.row_number().over(W.partitionBy("file", "range").orderBy("doc_id")) - 1).join(counts.select("file", "range", before.alias("before")), ["file", "range"])
+    placed = r.withColumn("at", F.row_number().over(W.partitionBy("file", "range").orderBy("doc_id")) - 1).join(counts.select("file", "range",
+        before.alias("before")), ["file", "range"])
     return placed.select("file", "doc_id", (F.col("before") + F.col("at")).alias("page_no"))
 
 

@@ -9,27 +9,41 @@ from ..operators import drivers, pagefacts, raster
 from .base import load, query
 from .reports import PAIRS, RESULTS, STREAMS, _pairs, _results, _streams
 
-FACTS = """fa AS (SELECT doc_id AS k, 'f' || doc_id AS file, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE n_chars // 20 END AS n_pages, octet_length(encode(text)) * 1000 AS orig, lang = 'fr' AS born, doc_id % 4 = 0 AS decrypted,
-  (doc_id % 100) / 100.0::DOUBLE AS projected, doc_id % 11 <> 0 AS asked, doc_id % 5 = 0 AS all_text, doc_id % 5 < 3 AS any_text, CASE WHEN doc_id % 13 = 0 THEN 'colour lost' END AS fatal, text FROM documents),
+FACTS = """fa AS (SELECT doc_id AS k, 'f' || doc_id AS file, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE n_chars // 20 END AS n_pages,
+   octet_length(encode(text)) * 1000 AS orig, lang = 'fr' AS born, doc_id % 4 = 0 AS decrypted,
+  (doc_id % 100) / 100.0::DOUBLE AS projected, doc_id % 11 <> 0 AS asked, doc_id % 5 = 0 AS all_text, doc_id % 5 < 3 AS any_text, CASE
+   WHEN doc_id % 13 = 0 THEN 'colour lost' END AS fatal, text FROM documents),
  fb AS (SELECT *, orig * (k % 120) // 100 AS new, CASE WHEN k % 3 = 0 THEN NULL ELSE orig * 95 // 100 END AS lossless_new FROM fa)"""
 
 
 def judged(source: str, new: str, pages: str, fatal: str) -> str:
     """DuckDB SQL of per_file() over ``source``."""
-    return f"""j0 AS (SELECT *, {fatal} AS fatal_, {pages} AS pages_, CASE WHEN born THEN coalesce({'lossless_new' if new == 'new' else 'NULL'}, orig) ELSE {new} END AS cand, CASE WHEN decrypted THEN orig ELSE CAST(floor(orig * (1 - 0.03::DOUBLE)) AS BIGINT) END AS bar FROM {source}),
- j1 AS (SELECT *, CASE WHEN born AND orig >= 524288 AND cand < bar THEN 'lossless rewrite' WHEN born THEN 'born digital' WHEN orig < 524288 THEN 'small size' WHEN pages_ >= 100 AND projected >= 0.75 THEN 'already compressed' WHEN cand >= orig * (1 - 0.1::DOUBLE) THEN 'already compressed' ELSE 'compressible' END AS reason FROM j0),
- j2 AS (SELECT *, reason IN ('lossless rewrite', 'compressible') AS squeezed, CASE WHEN pages_ IS NULL THEN 'cannot be read' WHEN reason IN ('lossless rewrite', 'compressible') AND fatal_ IS NOT NULL THEN 'self-audit: ' || fatal_ ELSE '' END AS err FROM j1),
- res AS (SELECT k, file, text, CASE WHEN squeezed THEN 'compressed' WHEN reason = 'born digital' THEN 'born_digital' ELSE 'kept_original' END AS action, reason, CASE WHEN NOT asked OR born THEN 'not requested' WHEN all_text THEN 'kept existing' WHEN any_text THEN 're-ocr' ELSE 'new ocr' END AS ocr,
-  'eng' AS lang, orig, CASE WHEN squeezed AND err = '' THEN cand ELSE orig END AS new, err, projected, CASE WHEN squeezed AND err = '' AND reason = 'lossless rewrite' THEN ' (lossless rewrite: ' || printf('%.2f', round_even(orig / 1048576.0::DOUBLE, 2)) || ' -> ' || printf('%.2f', round_even(cand / 1048576.0::DOUBLE, 2))
-  || ' MB (' || CAST(round_even(100 * (1 - cand / orig), 0) AS INT) || '% smaller)' || CASE WHEN decrypted THEN '; {vocab.DECRYPTED_NOTE}' ELSE '' END || ')' ELSE '' END AS note FROM j2)"""
+    return f"""j0 AS (SELECT *, {fatal} AS fatal_, {pages} AS pages_, CASE WHEN born THEN coalesce({'lossless_new' if new == 'new' else 'NULL'}, orig)
+   ELSE {new} END AS cand, CASE WHEN decrypted THEN orig ELSE CAST(floor(orig * (1 - 0.03::DOUBLE)) AS BIGINT) END AS bar FROM {source}),
+ j1 AS (SELECT *, CASE WHEN born AND orig >= 524288 AND cand < bar THEN 'lossless rewrite' WHEN born THEN 'born digital' WHEN orig < 524288 THEN 'small size'
+   WHEN pages_ >= 100 AND projected >= 0.75 THEN 'already compressed' WHEN cand >= orig * (1 - 0.1::DOUBLE) THEN 'already compressed'
+   ELSE 'compressible' END AS reason FROM j0),
+ j2 AS (SELECT *, reason IN ('lossless rewrite', 'compressible') AS squeezed, CASE WHEN pages_ IS NULL THEN 'cannot be read'
+   WHEN reason IN ('lossless rewrite', 'compressible') AND fatal_ IS NOT NULL THEN 'self-audit: ' || fatal_ ELSE '' END AS err FROM j1),
+ res AS (SELECT k, file, text, CASE WHEN squeezed THEN 'compressed' WHEN reason = 'born digital' THEN 'born_digital'
+   ELSE 'kept_original' END AS action, reason, CASE WHEN NOT asked OR born THEN 'not requested' WHEN all_text THEN 'kept existing' WHEN any_text THEN 're-ocr'
+   ELSE 'new ocr' END AS ocr,
+  'eng' AS lang, orig, CASE WHEN squeezed AND err = '' THEN cand ELSE orig END AS new, err, projected, CASE
+   WHEN squeezed AND err = '' AND reason = 'lossless rewrite' THEN ' (lossless rewrite: ' || printf('%.2f', round_even(orig / 1048576.0::DOUBLE,
+   2)) || ' -> ' || printf('%.2f', round_even(cand / 1048576.0::DOUBLE, 2))
+  || ' MB (' || CAST(round_even(100 * (1 - cand / orig), 0) AS INT) || '% smaller)' || CASE WHEN decrypted THEN '; {vocab.DECRYPTED_NOTE}' ELSE '' END || ')'
+   ELSE '' END AS note FROM j2)"""
 
 
 def _facts(spark, sf_dir):
     k = F.col("doc_id")
     d = load(spark, sf_dir, "documents").select(
-        k, F.concat(F.lit("f"), k).alias("file"), F.when(k % 29 != 0, F.floor(F.col("n_chars") / 20)).alias("n_pages"), (F.octet_length("text").cast("long") * 1000).alias("orig"), (F.col("lang") == "fr").alias("born"), (k % 4 == 0).alias("decrypted"),
-        ((k % 100) / F.lit(100.0)).alias("projected"), (k % 11 != 0).alias("asked"), (k % 5 == 0).alias("all_text"), (k % 5 < 3).alias("any_text"), F.when(k % 13 == 0, "colour lost").alias("fatal"), F.lit("eng").alias("lang"), "text")
-    return d.withColumn("new", F.floor(F.col("orig") * (k % 120) / 100).cast("long")).withColumn("lossless_new", F.when(k % 3 != 0, F.floor(F.col("orig") * 95 / 100).cast("long")))
+        k, F.concat(F.lit("f"), k).alias("file"), F.when(k % 29 != 0, F.floor(F.col("n_chars") / 20)).alias("n_pages"),
+            (F.octet_length("text").cast("long") * 1000).alias("orig"), (F.col("lang") == "fr").alias("born"), (k % 4 == 0).alias("decrypted"),
+        ((k % 100) / F.lit(100.0)).alias("projected"), (k % 11 != 0).alias("asked"), (k % 5 == 0).alias("all_text"), (k % 5 < 3).alias("any_text"),
+            F.when(k % 13 == 0, "colour lost").alias("fatal"), F.lit("eng").alias("lang"), "text")
+    return d.withColumn("new", F.floor(F.col("orig") * (k % 120) / 100).cast("long")).withColumn("lossless_new",
+        F.when(k % 3 != 0, F.floor(F.col("orig") * 95 / 100).cast("long")))
 
 
 @query(f"WITH {FACTS}, {judged('fb', 'new', 'n_pages', 'fatal')} SELECT file, action, reason, ocr, lang, orig, new, err, note FROM res")
@@ -39,15 +53,20 @@ def per_file_pipeline(spark, sf_dir):
 
 
 @query(f"""WITH {FACTS}, {judged('fb', 'CAST(floor(orig * projected) AS BIGINT)', 'CASE WHEN n_pages IS NOT NULL THEN greatest(n_pages, 100) END', 'NULL')}
- SELECT file, CASE WHEN err <> '' THEN 'FAILED' WHEN action = 'compressed' THEN 'compressed' ELSE 'kept original' END AS action, CASE WHEN err <> '' THEN 'error' ELSE reason END AS reason, projected AS scan_frac, CAST(floor(orig * projected) AS BIGINT) AS projected_new FROM res""")
+ SELECT file, CASE WHEN err <> '' THEN 'FAILED' WHEN action = 'compressed' THEN 'compressed' ELSE 'kept original' END AS action, CASE
+   WHEN err <> '' THEN 'error' ELSE reason END AS reason, projected AS scan_frac, CAST(floor(orig * projected) AS BIGINT) AS projected_new FROM res""")
 def preview_plan(spark, sf_dir):
     """The same gates without a re-encoded file; the projection is asked for at any number of pages."""
     return drivers.preview(_facts(spark, sf_dir), 0.5)
 
 
-@query(f"""WITH {FACTS}, todo AS (SELECT * FROM fb ANTI JOIN (SELECT doc_id AS k FROM labels) USING (k)), {judged('todo', 'new', 'n_pages', 'fatal')}, h AS (SELECT file, min(k) OVER (PARTITION BY sha1(text)) AS first, k FROM res)
- SELECT r.file, CASE WHEN err <> '' THEN 'FAILED' WHEN action IN ('born_digital', 'kept_original') THEN 'kept original' ELSE 'compressed' END AS action, CASE WHEN err <> '' THEN 'error' ELSE reason END AS reason, CASE WHEN err <> '' THEN '' ELSE ocr END AS ocr,
-  CASE WHEN err = '' AND ocr IN ('new ocr', 're-ocr') THEN 'eng' ELSE '' END AS language, orig, CASE WHEN err = '' AND new > 0 THEN new END AS new, CASE WHEN err = '' AND orig > 0 THEN new * 100 // orig END AS pct, err AS error, note, CASE WHEN h.first <> h.k THEN 'f' || h.first ELSE '' END AS "duplicate of" FROM res r JOIN h USING (file)""")
+@query(f"""WITH {FACTS}, todo AS (SELECT * FROM fb ANTI JOIN (SELECT doc_id AS k FROM labels) USING (k)), {judged('todo', 'new', 'n_pages', 'fatal')},
+   h AS (SELECT file, min(k) OVER (PARTITION BY sha1(text)) AS first, k FROM res)
+ SELECT r.file, CASE WHEN err <> '' THEN 'FAILED' WHEN action IN ('born_digital', 'kept_original') THEN 'kept original' ELSE 'compressed' END AS action, CASE
+   WHEN err <> '' THEN 'error' ELSE reason END AS reason, CASE WHEN err <> '' THEN '' ELSE ocr END AS ocr,
+  CASE WHEN err = '' AND ocr IN ('new ocr', 're-ocr') THEN 'eng' ELSE '' END AS language, orig, CASE WHEN err = '' AND new > 0 THEN new END AS new, CASE
+   WHEN err = '' AND orig > 0 THEN new * 100 // orig END AS pct, err AS error, note, CASE WHEN h.first <> h.k THEN 'f' || h.first ELSE '' END AS "duplicate of"
+   FROM res r JOIN h USING (file)""")
 def batch_driver(spark, sf_dir):
     """A run over what is not done yet: jobs, results, duplicates, report."""
     facts = _facts(spark, sf_dir)
@@ -56,10 +75,14 @@ def batch_driver(spark, sf_dir):
     return drivers.batch(drivers.per_file(todo, 0.5, 0.5), hashes)
 
 
-@query(f"""WITH {RESULTS}, t AS (SELECT count(*) AS files, count(*) FILTER (action = 'compressed') AS c, count(*) FILTER (action = 'kept original') AS k, count(*) FILTER (error <> '') AS f, CAST(sum(CASE WHEN error = '' THEN orig ELSE 0 END) AS BIGINT) AS o, CAST(sum(CASE WHEN error = '' THEN coalesce(new, orig) ELSE 0 END) AS BIGINT) AS n FROM rep),
+@query(f"""WITH {RESULTS}, t AS (SELECT count(*) AS files, count(*) FILTER (action = 'compressed') AS c, count(*) FILTER (action = 'kept original') AS k,
+   count(*) FILTER (error <> '') AS f, CAST(sum(CASE WHEN error = '' THEN orig ELSE 0 END) AS BIGINT) AS o, CAST(sum(CASE WHEN error = '' THEN coalesce(new, orig)
+   ELSE 0 END) AS BIGINT) AS n FROM rep),
  mb AS (SELECT *, printf('%.2f', round_even(o / 1048576.0::DOUBLE, 2)) AS om, printf('%.2f', round_even(n / 1048576.0::DOUBLE, 2)) AS nm FROM t)
- SELECT 0 AS ord, files || ' files, ' || c || ' compressed, ' || k || ' kept, ' || f || ' failed' AS line FROM mb UNION ALL SELECT 1, om || ' -> ' || nm || ' MB in 1.5 min' FROM mb
- UNION ALL SELECT 2, 'kept, ' || reason || ': ' || count(*) || ' files, ' || printf('%.2f', round_even(CAST(sum(orig) AS BIGINT) / 1048576.0::DOUBLE, 2)) || ' MB' FROM rep WHERE error = '' AND reason <> '' AND action = 'kept original' GROUP BY reason
+ SELECT 0 AS ord, files || ' files, ' || c || ' compressed, ' || k || ' kept, ' || f || ' failed' AS line FROM mb UNION ALL
+   SELECT 1, om || ' -> ' || nm || ' MB in 1.5 min' FROM mb
+ UNION ALL SELECT 2, 'kept, ' || reason || ': ' || count(*) || ' files, ' || printf('%.2f', round_even(CAST(sum(orig) AS BIGINT) / 1048576.0::DOUBLE,
+   2)) || ' MB' FROM rep WHERE error = '' AND reason <> '' AND action = 'kept original' GROUP BY reason
  UNION ALL SELECT 3, 'text layer ' || ocr || ': ' || count(*) FROM rep WHERE ocr <> '' GROUP BY ocr""")
 def summary_block(spark, sf_dir):
     """The text that ends a run."""
@@ -68,27 +91,38 @@ def summary_block(spark, sf_dir):
     return drivers.summary_lines(report.report_rows(_results(spark, sf_dir)), 1.5)
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand AS folder, p_type AS k, CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE p_size * p_size END AS area, lpad(CAST(p_partkey AS VARCHAR), 12, '0') || '.jpg' AS name, p_partkey % 29 = 0 AS is_pdf, CASE WHEN p_partkey % 58 <> 0 THEN p_size % 5 END AS pages FROM part),
+@query("""WITH p AS (SELECT p_partkey, p_brand AS folder, p_type AS k, CASE WHEN p_partkey % 13 = 0 THEN 0
+   ELSE p_size * p_size END AS area, lpad(CAST(p_partkey AS VARCHAR), 12, '0') || '.jpg' AS name, p_partkey % 29 = 0 AS is_pdf, CASE
+   WHEN p_partkey % 58 <> 0 THEN p_size % 5 END AS pages FROM part),
  b AS (SELECT folder, k, max(struct_pack(area := area, name := name)) AS best, bool_or(is_pdf) AS pdf FROM p GROUP BY folder, k HAVING count(*) > 1),
- m AS (SELECT p.*, best, pdf FROM p JOIN b USING (folder, k)), c AS (SELECT folder, k, bool_and(name = best.name OR (area > 0 AND best.area >= 2 * area)) AS clear FROM m GROUP BY folder, k),
+ m AS (SELECT p.*, best, pdf FROM p JOIN b USING (folder, k)), c AS (SELECT folder, k,
+   bool_and(name = best.name OR (area > 0 AND best.area >= 2 * area)) AS clear FROM m GROUP BY folder, k),
  gone AS (SELECT folder, name FROM m JOIN c USING (folder, k) WHERE NOT pdf AND clear AND name <> best.name), kept AS (SELECT * FROM p ANTI JOIN gone USING (folder, name)),
  o AS (SELECT *, CASE WHEN is_pdf THEN coalesce(pages, 0) ELSE 1 END AS n, row_number() OVER (PARTITION BY folder ORDER BY name) AS place FROM kept)
- SELECT folder, place, name, CAST(n AS BIGINT) AS pages, CAST(coalesce(sum(n) OVER (PARTITION BY folder ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS first_page, NOT is_pdf OR pages IS NOT NULL AS readable FROM o""")
+ SELECT folder, place, name, CAST(n AS BIGINT) AS pages, CAST(coalesce(sum(n) OVER (PARTITION BY folder
+   ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS first_page, NOT is_pdf OR pages IS NOT NULL AS readable FROM o""")
 def merge_driver(spark, sf_dir):
     """Loose pages of a folder a brand: smaller copies dropped, natural order, pages numbered through."""
     k = F.col("p_partkey")
     p = load(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("folder"), F.col("p_type").alias("key"), F.when(k % 13 == 0, 0).otherwise(F.col("p_size") * F.col("p_size")).alias("area"), F.concat(F.lpad(k.cast("string"), 12, "0"), F.lit(".jpg")).alias("name"),
+        F.col("p_brand").alias("folder"), F.col("p_type").alias("key"), F.when(k % 13 == 0,
+            0).otherwise(F.col("p_size") * F.col("p_size")).alias("area"), F.concat(F.lpad(k.cast("string"), 12, "0"), F.lit(".jpg")).alias("name"),
         (k % 29 == 0).alias("is_pdf"), F.when(k % 58 != 0, F.col("p_size") % 5).alias("pages"))
     return drivers.merge_manifest(p)
 
 
-FLAGS = """concat_ws('; ', CASE WHEN xb >= 500 AND xa < 0.25 * xb THEN 'COLOUR LOST ' || xb || '->' || xa END, CASE WHEN pa <> pb THEN 'PAGES ' || pb || '->' || pa END, CASE WHEN lb > la THEN 'LINKS ' || lb || '->' || la END, CASE WHEN bb > ba THEN 'BOOKMARKS ' || bb || '->' || ba END, CASE WHEN un THEN 'UNREADABLE OUTPUT' END,
- CASE WHEN recall < 0.6 THEN 'TEXT LOST' END, CASE WHEN hb < 20 AND ha < 20 AND pa > 0 THEN 'NO TEXT LAYER (not searchable)' END, CASE WHEN sa > sb * 1.05 AND sa - sb > 200000 THEN 'GREW' END)"""
+FLAGS = """concat_ws('; ', CASE WHEN xb >= 500 AND xa < 0.25 * xb THEN 'COLOUR LOST ' || xb || '->' || xa END, CASE
+   WHEN pa <> pb THEN 'PAGES ' || pb || '->' || pa END, CASE WHEN lb > la THEN 'LINKS ' || lb || '->' || la END, CASE
+   WHEN bb > ba THEN 'BOOKMARKS ' || bb || '->' || ba END, CASE WHEN un THEN 'UNREADABLE OUTPUT' END,
+ CASE WHEN recall < 0.6 THEN 'TEXT LOST' END, CASE WHEN hb < 20 AND ha < 20 AND pa > 0 THEN 'NO TEXT LAYER (not searchable)' END, CASE
+   WHEN sa > sb * 1.05 AND sa - sb > 200000 THEN 'GREW' END)"""
 
 
-@query(f"""WITH {PAIRS} SELECT CAST(rel AS VARCHAR) AS name, coalesce('site ' || l.quality, '') AS src, sb / 1048576.0::DOUBLE AS mb_b, sa / 1048576.0::DOUBLE AS mb_a, 100 * sa / CAST(greatest(sb, 1) AS DOUBLE) AS pct, pa AS pages, hb // 6 AS words_b, ha // 6 AS words_a, coalesce(CAST(round_even(recall, 3) AS VARCHAR), '') AS text_recall,
- lb || '->' || la AS links, bb || '->' || ba AS bm, CASE WHEN xb >= 500 THEN xb || '->' || xa ELSE 'n/a' END AS colour_px, {FLAGS} AS flags FROM pr LEFT JOIN labels l ON l.doc_id = rel""")
+@query(f"""WITH {PAIRS} SELECT CAST(rel AS VARCHAR) AS name, coalesce('site ' || l.quality, '') AS src, sb / 1048576.0::DOUBLE AS mb_b,
+   sa / 1048576.0::DOUBLE AS mb_a, 100 * sa / CAST(greatest(sb, 1) AS DOUBLE) AS pct, pa AS pages, hb // 6 AS words_b, ha // 6 AS words_a,
+   coalesce(CAST(round_even(recall, 3) AS VARCHAR), '') AS text_recall,
+ lb || '->' || la AS links, bb || '->' || ba AS bm, CASE WHEN xb >= 500 THEN xb || '->' || xa ELSE 'n/a' END AS colour_px, {FLAGS} AS flags FROM pr LEFT
+   JOIN labels l ON l.doc_id = rel""")
 def review_table(spark, sf_dir):
     """The thirteen columns of the review, with where each file came from."""
     p = _pairs(spark, sf_dir).withColumn("words_before", F.floor(F.col("chars_before") / 6)).withColumn("words_after", F.floor(F.col("chars_after") / 6))
@@ -96,12 +130,22 @@ def review_table(spark, sf_dir):
     return drivers.review_report(p, origins)
 
 
-@query(f"""WITH {STREAMS}, s AS (SELECT *, greatest(reachable - after, 0) AS sh, greatest(total - after, 0) AS al, CASE WHEN x THEN 'xmp' WHEN p THEN 'packet' WHEN h THEN 'hint' ELSE 'lost' END AS k FROM st),
- a AS (SELECT file, sum(CASE WHEN k = 'xmp' THEN sh ELSE 0 END) AS xmp, sum(CASE WHEN k = 'hint' THEN sh ELSE 0 END) + sum(CASE WHEN h AND NOT x THEN al - sh ELSE 0 END) AS hint, sum(CASE WHEN k = 'lost' THEN sh ELSE 0 END) AS lost, max(CASE WHEN k = 'packet' AND sh > 0 THEN 1 ELSE 0 END) AS packet, sum(al) AS al, sum(CASE WHEN p THEN 0 ELSE greatest(after - total, 0) END) AS added FROM s GROUP BY file),
- o AS (SELECT o_orderkey AS file, CAST(o_totalprice AS BIGINT) * 100 AS before, CAST(o_totalprice AS BIGINT) * 80 AS after FROM orders), j AS (SELECT o.*, coalesce(xmp, 0) AS xmp, coalesce(hint, 0) AS hint, coalesce(lost, 0) AS lost, coalesce(packet, 0) AS packet, coalesce(al, 0) AS al, coalesce(added, 0) AS added, o.file % 3 <> 0 AS rendered, o.file % 12 = 1 AS bad FROM o LEFT JOIN a USING (file))
- SELECT file, round_even(before / 1048576.0::DOUBLE, 3) AS "MB before", round_even(after / 1048576.0::DOUBLE, 3) AS "MB after", round_even(100 * after / CAST(greatest(before, 1) AS DOUBLE), 1) AS "%", CAST(xmp AS BIGINT) AS xmp, CAST(hint AS BIGINT) AS hint, CAST(al - xmp - lost - packet - hint AS BIGINT) AS orphans, CAST(lost AS BIGINT) AS lost, CAST(added AS BIGINT) AS added, CAST(packet AS BIGINT) AS xmp_replaced,
- CASE WHEN rendered THEN (CASE WHEN bad THEN 5 ELSE 6 END) || '/6' ELSE '' END AS pixels, CASE WHEN rendered THEN '6/6' ELSE '' END AS text, CASE WHEN bad OR lost > 0 OR added > 0 THEN 'FAILED' ELSE 'ok' END AS verdict,
- concat_ws('; ', CASE WHEN lost > 0 THEN lost || ' reachable stream(s) lost' END, CASE WHEN added > 0 THEN added || ' stream(s) added' END) || CASE WHEN bad THEN ' | RENDER: page 1 differs; page 2 differs' ELSE '' END AS detail FROM j""")
+@query(f"""WITH {STREAMS}, s AS (SELECT *, greatest(reachable - after, 0) AS sh, greatest(total - after, 0) AS al, CASE WHEN x THEN 'xmp' WHEN p THEN 'packet'
+   WHEN h THEN 'hint' ELSE 'lost' END AS k FROM st),
+ a AS (SELECT file, sum(CASE WHEN k = 'xmp' THEN sh ELSE 0 END) AS xmp, sum(CASE WHEN k = 'hint' THEN sh ELSE 0 END) + sum(CASE WHEN h AND NOT x THEN al - sh
+   ELSE 0 END) AS hint, sum(CASE WHEN k = 'lost' THEN sh ELSE 0 END) AS lost, max(CASE WHEN k = 'packet' AND sh > 0 THEN 1
+   ELSE 0 END) AS packet, sum(al) AS al, sum(CASE WHEN p THEN 0 ELSE greatest(after - total, 0) END) AS added FROM s GROUP BY file),
+ o AS (SELECT o_orderkey AS file, CAST(o_totalprice AS BIGINT) * 100 AS before, CAST(o_totalprice AS BIGINT) * 80 AS after
+   FROM orders), j AS (SELECT o.*, coalesce(xmp, 0) AS xmp, coalesce(hint, 0) AS hint, coalesce(lost, 0) AS lost, coalesce(packet, 0) AS packet, coalesce(al,
+   0) AS al, coalesce(added, 0) AS added, o.file % 3 <> 0 AS rendered, o.file % 12 = 1 AS bad FROM o LEFT JOIN a USING (file))
+ SELECT file, round_even(before / 1048576.0::DOUBLE, 3) AS "MB before", round_even(after / 1048576.0::DOUBLE, 3) AS "MB after",
+   round_even(100 * after / CAST(greatest(before, 1) AS DOUBLE), 1) AS "%", CAST(xmp AS BIGINT) AS xmp, CAST(hint AS BIGINT) AS hint,
+   CAST(al - xmp - lost - packet - hint AS BIGINT) AS orphans, CAST(lost AS BIGINT) AS lost, CAST(added AS BIGINT) AS added,
+   CAST(packet AS BIGINT) AS xmp_replaced,
+ CASE WHEN rendered THEN (CASE WHEN bad THEN 5 ELSE 6 END) || '/6' ELSE '' END AS pixels, CASE WHEN rendered THEN '6/6' ELSE '' END AS text, CASE
+   WHEN bad OR lost > 0 OR added > 0 THEN 'FAILED' ELSE 'ok' END AS verdict,
+ concat_ws('; ', CASE WHEN lost > 0 THEN lost || ' reachable stream(s) lost' END, CASE WHEN added > 0 THEN added || ' stream(s) added' END) || CASE
+   WHEN bad THEN ' | RENDER: page 1 differs; page 2 differs' ELSE '' END AS detail FROM j""")
 def lossless_audit_table(spark, sf_dir):
     """The fourteen columns of the lossless audit; renders that differ override a good verdict."""
     o = load(spark, sf_dir, "orders")
@@ -109,19 +153,25 @@ def lossless_audit_table(spark, sf_dir):
     sizes = o.select(F.col("o_orderkey").alias("file"), (price * 100).alias("before"), (price * 80).alias("after"))
     bad = F.col("o_orderkey") % 12 == 1
     told = F.array(*[F.lit(f"page {k} differs") for k in (1, 2, 3)])
-    renders = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("file"), F.when(bad, 5).otherwise(6).alias("pixels_same"), F.lit(6).alias("pixels_judged"), F.lit(6).alias("text_same"), F.lit(6).alias("text_judged"), F.when(bad, told).alias("problems"))
+    renders = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("file"), F.when(bad, 5).otherwise(6).alias("pixels_same"),
+        F.lit(6).alias("pixels_judged"), F.lit(6).alias("text_same"), F.lit(6).alias("text_judged"), F.when(bad, told).alias("problems"))
     return drivers.audit_report(_streams(spark, sf_dir), sizes, renders)
 
 
-@query("""SELECT p_type AS type, CAST(p_partkey AS VARCHAR) AS fixture, combo, CAST(p_size * 100 AS BIGINT) AS orig_bytes, CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_size * k AS BIGINT) END AS out_bytes, CASE WHEN p_partkey % 9 <> 0 THEN round_even(100.0::DOUBLE * (p_size * k) / (p_size * 100), 1) END AS pct_of_orig,
- CASE WHEN p_partkey % 9 <> 0 THEN k / 100.0::DOUBLE END AS raw_black_frac, CASE WHEN p_partkey % 9 <> 0 THEN 1 - k / 100.0::DOUBLE END AS ink_kept_frac FROM part, (VALUES ('k=0.2', 20), ('k=0.3', 30)) g(combo, k)""")
+@query("""SELECT p_type AS type, CAST(p_partkey AS VARCHAR) AS fixture, combo, CAST(p_size * 100 AS BIGINT) AS orig_bytes, CASE
+   WHEN p_partkey % 9 <> 0 THEN CAST(p_size * k AS BIGINT) END AS out_bytes, CASE
+   WHEN p_partkey % 9 <> 0 THEN round_even(100.0::DOUBLE * (p_size * k) / (p_size * 100), 1) END AS pct_of_orig,
+ CASE WHEN p_partkey % 9 <> 0 THEN k / 100.0::DOUBLE END AS raw_black_frac, CASE WHEN p_partkey % 9 <> 0 THEN 1 - k / 100.0::DOUBLE END AS ink_kept_frac
+   FROM part, (VALUES ('k=0.2', 20), ('k=0.3', 30)) g(combo, k)""")
 def settings_matrix(spark, sf_dir):
     """Every fixture under every setting; what failed has no measures."""
     p = load(spark, sf_dir, "part")
     name = F.col("p_partkey").cast("string").alias("fixture")
     fixtures = p.select(F.col("p_type").alias("type"), name, (F.col("p_size") * 100).cast("long").alias("orig_bytes"))
-    each = p.where("p_partkey % 9 <> 0").select(name, "p_size", F.inline(F.array(*[F.struct(F.lit(c).alias("combo"), F.lit(k).alias("k")) for c, k in (("k=0.2", 20), ("k=0.3", 30))])))
-    measured = each.select("fixture", "combo", (F.col("p_size") * F.col("k")).cast("long").alias("out_bytes"), (F.col("k") / F.lit(100.0)).alias("raw_black_frac"), (1 - F.col("k") / F.lit(100.0)).alias("ink_kept_frac"))
+    each = p.where("p_partkey % 9 <> 0").select(name, "p_size", F.inline(F.array(*[F.struct(F.lit(c).alias("combo"), F.lit(k).alias("k")) for c,
+        k in (("k=0.2", 20), ("k=0.3", 30))])))
+    measured = each.select("fixture", "combo", (F.col("p_size") * F.col("k")).cast("long").alias("out_bytes"),
+        (F.col("k") / F.lit(100.0)).alias("raw_black_frac"), (1 - F.col("k") / F.lit(100.0)).alias("ink_kept_frac"))
     return drivers.settings_report(fixtures, spark.createDataFrame([("k=0.2",), ("k=0.3",)], "combo string"), measured)
 
 
@@ -133,9 +183,13 @@ def skipped_pages(spark, sf_dir):
     return d.select("rel", F.concat(F.lit("["), F.array_join(F.transform("pages", lambda x: x.cast("string")), ", "), F.lit("]")).alias("pages"))
 
 
-@query("""SELECT p_partkey, ' (repaired malformed PDF' || CASE WHEN bits <> '' THEN ': ' || bits ELSE '' END || ')' AS repair, concat_ws(' ', CASE WHEN k % 4 <> 0 THEN 'scan_frac=' || k % 4 || '.0' END, CASE WHEN k % 4 <> 0 THEN 'scan_pages=' || k % 8 || '/8' END, 'text_pages=' || k % 5, 'chars=' || k, CASE WHEN k % 3 = 0 THEN 'boiler=2ln/' || length(p_brand) + length(p_type) || 'c' END, CASE WHEN k % 7 = 0 THEN '[no pages]' END) AS signals,
- CASE WHEN k % 6 = 0 THEN 'unreadable' ELSE p_size || 'x' || p_size * 2000 || ' (' || printf('%.1f', round_even(p_size * p_size * 2000 / 1e6::DOUBLE, 1)) || ' MP)' END AS px, CASE WHEN k % 2 = 0 THEN 'a/' || p_name ELSE p_name END AS label
- FROM (SELECT *, p_partkey AS k, concat_ws('; ', CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 5 || ' duplicate object(s), ' || p_partkey % 3 || ' resolved' END, CASE WHEN p_size <> 20 AND p_partkey % 2 = 0 THEN 'objects ' || p_size || '->20' END) AS bits FROM part)""")
+@query("""SELECT p_partkey, ' (repaired malformed PDF' || CASE WHEN bits <> '' THEN ': ' || bits ELSE '' END || ')' AS repair, concat_ws(' ', CASE
+   WHEN k % 4 <> 0 THEN 'scan_frac=' || k % 4 || '.0' END, CASE WHEN k % 4 <> 0 THEN 'scan_pages=' || k % 8 || '/8' END, 'text_pages=' || k % 5, 'chars=' || k,
+   CASE WHEN k % 3 = 0 THEN 'boiler=2ln/' || length(p_brand) + length(p_type) || 'c' END, CASE WHEN k % 7 = 0 THEN '[no pages]' END) AS signals,
+ CASE WHEN k % 6 = 0 THEN 'unreadable' ELSE p_size || 'x' || p_size * 2000 || ' (' || printf('%.1f', round_even(p_size * p_size * 2000 / 1e6::DOUBLE,
+   1)) || ' MP)' END AS px, CASE WHEN k % 2 = 0 THEN 'a/' || p_name ELSE p_name END AS label
+ FROM (SELECT *, p_partkey AS k, concat_ws('; ', CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 5 || ' duplicate object(s), ' || p_partkey % 3 || ' resolved' END,
+   CASE WHEN p_size <> 20 AND p_partkey % 2 = 0 THEN 'objects ' || p_size || '->20' END) AS bits FROM part)""")
 def report_notes(spark, sf_dir):
     """Notes of repairs, evidence of the born-digital gate, and labels of pages, as reports spell them."""
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -143,12 +197,16 @@ def report_notes(spark, sf_dir):
     path = F.concat(F.when(k % 2 == 0, "/root/a/").otherwise("/other/b/"), "p_name")
     return load(spark, sf_dir, "part").select(
         k, drivers.repair_note(k % 5, k % 3, size, F.when(k % 2 == 0, 20).otherwise(-1)).alias("repair"),
-        drivers.signals_text(F.when(k % 4 != 0, (k % 4).cast("double")), F.when(k % 4 != 0, k % 8), F.lit(8), k % 5, k, boiler, F.when(k % 7 == 0, "no pages").otherwise("")).alias("signals"),
+        drivers.signals_text(F.when(k % 4 != 0, (k % 4).cast("double")), F.when(k % 4 != 0, k % 8), F.lit(8), k % 5, k, boiler,
+            F.when(k % 7 == 0, "no pages").otherwise("")).alias("signals"),
         drivers.pixel_label(F.when(k % 6 != 0, size), size * 2000).alias("px"), drivers.relative_label(path, F.lit("/root/")).alias("label"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS o, l_linenumber - 1 AS p, l_quantity AS q FROM lineitem), r AS (SELECT * FROM s WHERE NOT (o % 7 = 0 AND p = 0)), b AS (SELECT o FROM (SELECT o, count(*) AS n FROM s GROUP BY o) x JOIN (SELECT o, count(*) AS m FROM r GROUP BY o) y USING (o) WHERE n = m),
- c AS (SELECT r.o, r.p, s.q AS qs, r.q AS qr FROM s JOIN r ON s.o = r.o AND s.p = r.p SEMI JOIN b ON s.o = b.o) SELECT o AS path, p AS page_no, qs AS value_source, qr AS value_result, CASE WHEN o % 3 = 0 THEN p + 1 END AS ocr_page FROM c""")
+@query("""WITH s AS (SELECT l_orderkey AS o, l_linenumber - 1 AS p, l_quantity AS q FROM lineitem), r AS (SELECT * FROM s
+   WHERE NOT (o % 7 = 0 AND p = 0)), b AS (SELECT o FROM (SELECT o, count(*) AS n FROM s GROUP BY o) x JOIN (SELECT o, count(*) AS m FROM r GROUP BY o) y USING (o)
+   WHERE n = m),
+ c AS (SELECT r.o, r.p, s.q AS qs, r.q AS qr FROM s JOIN r ON s.o = r.o AND s.p = r.p SEMI JOIN b ON s.o = b.o)
+   SELECT o AS path, p AS page_no, qs AS value_source, qr AS value_result, CASE WHEN o % 3 = 0 THEN p + 1 END AS ocr_page FROM c""")
 def positional_page_zip(spark, sf_dir):
     """Page i of a source beside page i of its result; files with another number of pages are grafted in no part."""
     s = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_linenumber") - 1).alias("page_no"), F.col("l_quantity").alias("value"))
@@ -156,7 +214,9 @@ def positional_page_zip(spark, sf_dir):
     return pagefacts.positional_zip(s, s.where("NOT (path % 7 = 0 AND page_no = 0)"), ocr)[0]
 
 
-@query("""WITH s AS (SELECT l_orderkey AS o, l_linenumber - 1 AS p FROM lineitem), r AS (SELECT * FROM s WHERE NOT (o % 7 = 0 AND p = 0)) SELECT o AS path, n AS pages_source, coalesce(m, 0) AS pages_result FROM (SELECT o, count(*) AS n FROM s GROUP BY o) x LEFT JOIN (SELECT o, count(*) AS m FROM r GROUP BY o) y USING (o) WHERE n <> coalesce(m, 0)""")
+@query("""WITH s AS (SELECT l_orderkey AS o, l_linenumber - 1 AS p FROM lineitem), r AS (SELECT * FROM s WHERE NOT (o % 7 = 0 AND p = 0))
+   SELECT o AS path, n AS pages_source, coalesce(m, 0) AS pages_result FROM (SELECT o, count(*) AS n FROM s GROUP BY o) x LEFT JOIN (SELECT o, count(*) AS m FROM r
+   GROUP BY o) y USING (o) WHERE n <> coalesce(m, 0)""")
 def graft_failures(spark, sf_dir):
     s = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_linenumber") - 1).alias("page_no"))
     return pagefacts.positional_zip(s, s.where("NOT (path % 7 = 0 AND page_no = 0)"))[1]
@@ -168,14 +228,19 @@ def color_capable_pages(spark, sf_dir):
     k = F.col("p_partkey") % 5
     image = lambda mask, cs: F.struct(F.lit(mask).alias("mask"), F.lit(cs).cast("string").alias("cs"))
     gray = F.array(image(False, "DeviceGray"))
-    images = F.when(k == 0, F.filter(gray, lambda _: F.lit(False))).when(k == 1, gray).when(k == 2, F.array(image(False, "DeviceGray"), image(False, "DeviceRGB"))).when(k == 3, F.array(image(True, "DeviceRGB"), image(False, "CalGray"))).otherwise(F.array(image(False, None)))
+    images = F.when(k == 0, F.filter(gray, lambda _: F.lit(False))).when(k == 1, gray).when(k == 2,
+        F.array(image(False, "DeviceGray"), image(False, "DeviceRGB"))).when(k == 3, F.array(image(True, "DeviceRGB"),
+        image(False, "CalGray"))).otherwise(F.array(image(False, None)))
     return load(spark, sf_dir, "part").select("p_partkey", images.alias("images")).select("p_partkey", raster.color_capable().alias("capable"))
 
 
-@query("""SELECT p_partkey, p_partkey % 3 <> 0 AS is_color, CASE WHEN p_partkey % 3 <> 0 THEN p_size / 64.0::DOUBLE ELSE 0.0 END AS coverage, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size * 64 AS BIGINT) ELSE 0 END AS saturated FROM part""")
+@query("""SELECT p_partkey, p_partkey % 3 <> 0 AS is_color, CASE WHEN p_partkey % 3 <> 0 THEN p_size / 64.0::DOUBLE ELSE 0.0 END AS coverage, CASE
+   WHEN p_partkey % 3 <> 0 THEN CAST(p_size * 64 AS BIGINT) ELSE 0 END AS saturated FROM part""")
 def page_pixel_features(spark, sf_dir):
     """Pages of 64 by 64 pixels with a band of red or black rows on white, through the pixel kernels."""
     k, rows = F.col("p_partkey"), F.col("p_size")
-    data = F.concat(F.repeat(F.when(k % 3 != 0, F.lit("c81e1e")).otherwise(F.lit("141414")), (rows * 64).cast("int")), F.repeat(F.lit("ffffff"), ((64 - rows) * 64).cast("int")))
-    pages = load(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.lit(0).alias("page_no"), F.lit(100).alias("dpi"), F.lit(64).alias("h"), F.lit(64).alias("w"), F.lit(3).alias("ch"), F.unhex(data).alias("data"))
+    data = F.concat(F.repeat(F.when(k % 3 != 0, F.lit("c81e1e")).otherwise(F.lit("141414")), (rows * 64).cast("int")),
+        F.repeat(F.lit("ffffff"), ((64 - rows) * 64).cast("int")))
+    pages = load(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.lit(0).alias("page_no"), F.lit(100).alias("dpi"),
+        F.lit(64).alias("h"), F.lit(64).alias("w"), F.lit(3).alias("ch"), F.unhex(data).alias("data"))
     return raster.page_features(pages).select(F.col("path").cast("long").alias("p_partkey"), "is_color", "coverage", "saturated")

@@ -9,12 +9,18 @@ from ..functions.text import available_packs, with_packs, words
 from ..operators import report
 from .base import EVEN, load, query
 
-RESULTS = """res AS (SELECT 'f' || o_orderkey AS file, CASE o_orderkey % 5 WHEN 0 THEN 'born_digital' WHEN 1 THEN 'kept_original' WHEN 2 THEN 'compressed' WHEN 3 THEN 'compressed' ELSE 'other' END AS action,
- CASE o_orderkey % 6 WHEN 0 THEN 'born digital' WHEN 1 THEN 'small size' WHEN 2 THEN 'compressible' WHEN 3 THEN 'already compressed' WHEN 4 THEN 'lossless rewrite' ELSE '' END AS reason,
- CASE o_orderkey % 4 WHEN 0 THEN 'kept existing' WHEN 1 THEN 'new ocr' WHEN 2 THEN 're-ocr' ELSE 'not requested' END AS ocr, 'eng' AS lang, CAST(o_totalprice AS BIGINT) * 10 AS orig,
- CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE CAST(o_totalprice AS BIGINT) * (o_custkey % 11) END AS new, CASE WHEN o_orderkey % 23 = 0 THEN 'unreadable' ELSE '' END AS err FROM orders),
- rep AS (SELECT file, CASE WHEN err <> '' THEN 'FAILED' WHEN action IN ('born_digital', 'kept_original') THEN 'kept original' WHEN action = 'compressed' THEN 'compressed' ELSE 'processed' END AS action, CASE WHEN err <> '' THEN 'error' ELSE reason END AS reason,
- CASE WHEN err <> '' THEN '' ELSE ocr END AS ocr, CASE WHEN err = '' AND ocr IN ('new ocr', 're-ocr', 'failed') THEN lang ELSE '' END AS language, orig, CASE WHEN err = '' AND new > 0 THEN new END AS new, CASE WHEN err = '' AND orig > 0 THEN new * 100 // orig END AS pct, err AS error FROM res)"""
+RESULTS = """res AS (SELECT 'f' || o_orderkey AS file, CASE o_orderkey % 5 WHEN 0 THEN 'born_digital' WHEN 1 THEN 'kept_original' WHEN 2 THEN 'compressed'
+   WHEN 3 THEN 'compressed' ELSE 'other' END AS action,
+ CASE o_orderkey % 6 WHEN 0 THEN 'born digital' WHEN 1 THEN 'small size' WHEN 2 THEN 'compressible' WHEN 3 THEN 'already compressed'
+   WHEN 4 THEN 'lossless rewrite' ELSE '' END AS reason,
+ CASE o_orderkey % 4 WHEN 0 THEN 'kept existing' WHEN 1 THEN 'new ocr' WHEN 2 THEN 're-ocr' ELSE 'not requested' END AS ocr, 'eng' AS lang,
+   CAST(o_totalprice AS BIGINT) * 10 AS orig,
+ CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE CAST(o_totalprice AS BIGINT) * (o_custkey % 11) END AS new, CASE WHEN o_orderkey % 23 = 0 THEN 'unreadable'
+   ELSE '' END AS err FROM orders),
+ rep AS (SELECT file, CASE WHEN err <> '' THEN 'FAILED' WHEN action IN ('born_digital', 'kept_original') THEN 'kept original'
+   WHEN action = 'compressed' THEN 'compressed' ELSE 'processed' END AS action, CASE WHEN err <> '' THEN 'error' ELSE reason END AS reason,
+ CASE WHEN err <> '' THEN '' ELSE ocr END AS ocr, CASE WHEN err = '' AND ocr IN ('new ocr', 're-ocr', 'failed') THEN lang ELSE '' END AS language, orig, CASE
+   WHEN err = '' AND new > 0 THEN new END AS new, CASE WHEN err = '' AND orig > 0 THEN new * 100 // orig END AS pct, err AS error FROM res)"""
 
 
 def _results(spark, sf_dir):
@@ -22,8 +28,10 @@ def _results(spark, sf_dir):
     pick = lambda n, values: F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
     return load(spark, sf_dir, "orders").select(
         F.concat(F.lit("f"), k).alias("file"), pick(5, ["born_digital", "kept_original", "compressed", "compressed", "other"]).alias("action"),
-        pick(6, ["born digital", "small size", "compressible", "already compressed", "lossless rewrite", ""]).alias("reason"), pick(4, ["kept existing", "new ocr", "re-ocr", "not requested"]).alias("ocr"), F.lit("eng").alias("lang"),
-        (price * 10).alias("orig"), F.when(k % 7 == 0, 0).otherwise(price * (F.col("o_custkey") % 11)).alias("new"), F.when(k % 23 == 0, "unreadable").otherwise("").alias("err"))
+        pick(6, ["born digital", "small size", "compressible", "already compressed", "lossless rewrite", ""]).alias("reason"),
+            pick(4, ["kept existing", "new ocr", "re-ocr", "not requested"]).alias("ocr"), F.lit("eng").alias("lang"),
+        (price * 10).alias("orig"), F.when(k % 7 == 0, 0).otherwise(price * (F.col("o_custkey") % 11)).alias("new"),
+            F.when(k % 23 == 0, "unreadable").otherwise("").alias("err"))
 
 
 @query(f"WITH {RESULTS} SELECT * FROM rep")
@@ -41,13 +49,15 @@ def ocr_tally(spark, sf_dir):
     return report.ocr_tally(report.report_rows(_results(spark, sf_dir)))
 
 
-@query(f"""WITH {RESULTS} SELECT count(*) AS files, count(*) FILTER (action = 'compressed') AS compressed, count(*) FILTER (action = 'kept original') AS kept, count(*) FILTER (error <> '') AS failed,
+@query(f"""WITH {RESULTS} SELECT count(*) AS files, count(*) FILTER (action = 'compressed') AS compressed, count(*) FILTER (action = 'kept original') AS kept,
+   count(*) FILTER (error <> '') AS failed,
  CAST(sum(CASE WHEN error = '' THEN orig ELSE 0 END) AS BIGINT) AS orig, CAST(sum(CASE WHEN error = '' THEN coalesce(new, orig) ELSE 0 END) AS BIGINT) AS new FROM rep""")
 def run_totals(spark, sf_dir):
     return report.run_totals(report.report_rows(_results(spark, sf_dir)))
 
 
-@query("SELECT o.o_orderkey, coalesce(l.err, 'worker died') AS err FROM orders o LEFT JOIN (SELECT l_orderkey, min('') AS err FROM lineitem WHERE l_quantity > 30 GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey")
+@query("""SELECT o.o_orderkey, coalesce(l.err, 'worker died') AS err FROM orders o LEFT JOIN (SELECT l_orderkey, min('') AS err FROM lineitem
+   WHERE l_quantity > 30 GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey""")
 def dead_worker_rows(spark, sf_dir):
     """Jobs without a result get a row that says so."""
     done = load(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("").alias("err")).distinct()
@@ -62,31 +72,40 @@ def type_tally_text(spark, sf_dir):
 @query("""WITH w AS (SELECT user_id AS file, event_type AS logger, left(coalesce(props, ''), 200) AS msg, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY first, logger, msg) AS turn FROM w) SELECT file, logger, msg, n, turn FROM r WHERE turn <= 20""")
 def warning_tally(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("logger"), F.coalesce("props", F.lit("")).alias("msg"), F.col("event_id").alias("seq"))
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("logger"),
+        F.coalesce("props", F.lit("")).alias("msg"), F.col("event_id").alias("seq"))
     return report.warning_tally(e).withColumn("turn", F.col("turn").cast("long"))
 
 
-@query("""WITH v AS (SELECT user_id AS file, event_type AS script, sum(CAST(floor(value) AS BIGINT)) AS score, min(event_id) AS first FROM events WHERE floor(value) >= 3 GROUP BY ALL)
+@query("""WITH v AS (SELECT user_id AS file, event_type AS script, sum(CAST(floor(value) AS BIGINT)) AS score, min(event_id) AS first FROM events
+   WHERE floor(value) >= 3 GROUP BY ALL)
  SELECT file, max_by(script, struct_pack(a := score, b := -first, c := script)) AS script, CAST(max(score) AS BIGINT) AS score FROM v GROUP BY file""")
 def osd_vote(spark, sf_dir):
     """Event types as scripts, whole values as confidences, so that sums are exact."""
-    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("script"), F.floor("value").cast("long").alias("conf"), F.col("event_id").alias("page_no"))
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("script"),
+        F.floor("value").cast("long").alias("conf"), F.col("event_id").alias("page_no"))
     return report.script_vote(e)
 
 
 PACKS = "CASE doc_id % 6 WHEN 0 THEN 'kor+eng' WHEN 1 THEN 'ara' WHEN 2 THEN 'fra+deu' WHEN 3 THEN 'rus+eng' WHEN 4 THEN 'eng' ELSE 'jpn+rus' END"
 
 
-@query(f"""WITH p AS (SELECT doc_id, {PACKS} AS asked FROM documents), k AS (SELECT *, list_filter(string_split(asked, '+'), x -> list_contains(['eng', 'deu', 'rus'], x)) AS keep FROM p)
- SELECT doc_id, CASE WHEN len(keep) > 0 THEN array_to_string(keep, '+') ELSE 'eng' END AS available, asked || CASE WHEN list_contains(string_split(asked, '+'), 'rus') THEN '' ELSE '+rus' END || CASE WHEN list_contains(string_split(asked, '+'), 'eng') THEN '' ELSE '+eng' END AS resolved FROM k""")
+@query(f"""WITH p AS (SELECT doc_id, {PACKS} AS asked FROM documents), k AS (SELECT *, list_filter(string_split(asked, '+'), x -> list_contains(['eng', 'deu',
+   'rus'], x)) AS keep FROM p)
+ SELECT doc_id, CASE WHEN len(keep) > 0 THEN array_to_string(keep, '+') ELSE 'eng' END AS available, asked || CASE
+   WHEN list_contains(string_split(asked, '+'), 'rus') THEN '' ELSE '+rus' END || CASE WHEN list_contains(string_split(asked, '+'), 'eng') THEN ''
+   ELSE '+eng' END AS resolved FROM k""")
 def language_packs(spark, sf_dir):
     asked = F.get(F.array(*map(F.lit, ["kor+eng", "ara", "fra+deu", "rus+eng", "eng", "jpn+rus"])), (F.col("doc_id") % 6).cast("int"))
     installed = F.array(F.lit("eng"), F.lit("deu"), F.lit("rus"))
     return load(spark, sf_dir, "documents").select("doc_id", available_packs(asked, installed).alias("available"), with_packs(asked, F.lit("rus+eng")).alias("resolved"))
 
 
-PAIRS = """pr AS (SELECT doc_id AS rel, doc_id % 9 AS pb, CASE WHEN doc_id % 31 = 0 THEN doc_id % 9 + 1 ELSE doc_id % 9 END AS pa, doc_id % 5 AS lb, doc_id % 4 AS la, doc_id % 3 AS bb, doc_id % 6 AS ba, lang = 'fr' AS cb, lang = 'fr' AND doc_id % 8 <> 0 AS ca,
- [x FOR x IN ['Im' || doc_id % 3] IF doc_id % 6 = 0] AS db, [x FOR x IN ['Im' || doc_id % 2] IF doc_id % 12 = 0] AS da, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE (doc_id % 10) / 10.0::DOUBLE END AS recall, octet_length(encode(text)) AS sb, (doc_id % 3) * octet_length(encode(text)) AS sa, length(text) AS hb, length(text) * (doc_id % 2) AS ha, n_chars % 1500 AS xb, n_chars % 300 AS xa, doc_id % 37 = 0 AS un,
+PAIRS = """pr AS (SELECT doc_id AS rel, doc_id % 9 AS pb, CASE WHEN doc_id % 31 = 0 THEN doc_id % 9 + 1
+   ELSE doc_id % 9 END AS pa, doc_id % 5 AS lb, doc_id % 4 AS la, doc_id % 3 AS bb, doc_id % 6 AS ba, lang = 'fr' AS cb, lang = 'fr' AND doc_id % 8 <> 0 AS ca,
+ [x FOR x IN ['Im' || doc_id % 3] IF doc_id % 6 = 0] AS db, [x FOR x IN ['Im' || doc_id % 2] IF doc_id % 12 = 0] AS da, CASE WHEN doc_id % 10 = 0 THEN NULL
+   ELSE (doc_id % 10) / 10.0::DOUBLE END AS recall, octet_length(encode(text)) AS sb, (doc_id % 3) * octet_length(encode(text)) AS sa, length(text) AS hb,
+   length(text) * (doc_id % 2) AS ha, n_chars % 1500 AS xb, n_chars % 300 AS xa, doc_id % 37 = 0 AS un,
  [x FOR x IN ['/F' || doc_id % 3] IF doc_id % 8 = 0] AS wb, [x FOR x IN ['/F' || doc_id % 2] IF doc_id % 16 = 0] AS wa FROM documents)"""
 
 
@@ -97,30 +116,50 @@ def _pairs(spark, sf_dir):
     font = lambda n: F.array(F.concat(F.lit("/F"), k % n))
     none = F.array().cast("array<string>")
     return load(spark, sf_dir, "documents").select(
-        k.alias("rel"), (k % 9).alias("pages_before"), F.when(k % 31 == 0, k % 9 + 1).otherwise(k % 9).alias("pages_after"), (k % 5).alias("links_before"), (k % 4).alias("links_after"), (k % 3).alias("bookmarks_before"), (k % 6).alias("bookmarks_after"),
-        (F.col("lang") == "fr").alias("color_before"), ((F.col("lang") == "fr") & (k % 8 != 0)).alias("color_after"), F.when(k % 6 == 0, name(3)).otherwise(none).alias("dangling_before"), F.when(k % 12 == 0, name(2)).otherwise(none).alias("dangling_after"),
-        F.when(k % 8 == 0, font(3)).otherwise(none).alias("widths_before"), F.when(k % 16 == 0, font(2)).otherwise(none).alias("widths_after"), F.when(k % 10 != 0, (k % 10) / F.lit(10.0)).alias("recall"), size.alias("bytes_before"), ((k % 3) * size).alias("bytes_after"),
-        F.length("text").alias("chars_before"), (F.length("text") * (k % 2)).alias("chars_after"), (F.col("n_chars") % 1500).alias("colour_px_before"), (F.col("n_chars") % 300).alias("colour_px_after"), (k % 37 == 0).alias("unreadable_after"))
-
-
-@query(f"""WITH {PAIRS}, f AS (SELECT *, CASE WHEN pa <> pb THEN 'page count differs' WHEN cb AND NOT ca THEN 'colour lost' WHEN len(list_filter(da, x -> NOT list_contains(db, x))) > 0 THEN 'content dropped' WHEN len(list_filter(wa, x -> NOT list_contains(wb, x))) > 0 THEN 'broken font metrics' WHEN recall < 0.5 THEN 'searchable text lost' WHEN la < lb THEN 'link annotations lost' WHEN ba < bb THEN 'bookmarks lost' END AS fatal FROM pr)
- SELECT rel, fatal, CASE WHEN fatal IS NULL THEN concat_ws(', ', CASE WHEN len(da) > 0 THEN 'undefined already in the source' END, CASE WHEN len(wa) > 0 THEN 'font metrics already so in the source' END, CASE WHEN recall < 0.8 THEN 'text recall' END) ELSE '' END AS warnings FROM f""")
+        k.alias("rel"), (k % 9).alias("pages_before"), F.when(k % 31 == 0, k % 9 + 1).otherwise(k % 9).alias("pages_after"),
+            (k % 5).alias("links_before"), (k % 4).alias("links_after"), (k % 3).alias("bookmarks_before"), (k % 6).alias("bookmarks_after"),
+        (F.col("lang") == "fr").alias("color_before"), ((F.col("lang") == "fr") & (k % 8 != 0)).alias("color_after"),
+            F.when(k % 6 == 0, name(3)).otherwise(none).alias("dangling_before"), F.when(k % 12 == 0,
+            name(2)).otherwise(none).alias("dangling_after"),
+        F.when(k % 8 == 0, font(3)).otherwise(none).alias("widths_before"), F.when(k % 16 == 0, font(2)).otherwise(none).alias("widths_after"),
+            F.when(k % 10 != 0, (k % 10) / F.lit(10.0)).alias("recall"), size.alias("bytes_before"), ((k % 3) * size).alias("bytes_after"),
+        F.length("text").alias("chars_before"), (F.length("text") * (k % 2)).alias("chars_after"),
+            (F.col("n_chars") % 1500).alias("colour_px_before"), (F.col("n_chars") % 300).alias("colour_px_after"),
+            (k % 37 == 0).alias("unreadable_after"))
+
+
+@query(f"""WITH {PAIRS}, f AS (SELECT *, CASE WHEN pa <> pb THEN 'page count differs' WHEN cb AND NOT ca THEN 'colour lost'
+   WHEN len(list_filter(da, x -> NOT list_contains(db, x))) > 0 THEN 'content dropped' WHEN len(list_filter(wa, x -> NOT list_contains(wb,
+   x))) > 0 THEN 'broken font metrics' WHEN recall < 0.5 THEN 'searchable text lost' WHEN la < lb THEN 'link annotations lost'
+   WHEN ba < bb THEN 'bookmarks lost' END AS fatal FROM pr)
+ SELECT rel, fatal, CASE WHEN fatal IS NULL THEN concat_ws(', ', CASE WHEN len(da) > 0 THEN 'undefined already in the source' END, CASE
+   WHEN len(wa) > 0 THEN 'font metrics already so in the source' END, CASE WHEN recall < 0.8 THEN 'text recall' END) ELSE '' END AS warnings FROM f""")
 def output_audit(spark, sf_dir):
     return report.output_audit(_pairs(spark, sf_dir))
 
 
-@query(f"""WITH {PAIRS} SELECT rel, concat_ws('; ', CASE WHEN xb >= 500 AND xa < 0.25 * xb THEN 'COLOUR LOST ' || xb || '->' || xa END, CASE WHEN pa <> pb THEN 'PAGES ' || pb || '->' || pa END, CASE WHEN lb > la THEN 'LINKS ' || lb || '->' || la END, CASE WHEN bb > ba THEN 'BOOKMARKS ' || bb || '->' || ba END, CASE WHEN un THEN 'UNREADABLE OUTPUT' END,
- CASE WHEN recall < 0.6 THEN 'TEXT LOST' END, CASE WHEN hb < 20 AND ha < 20 AND pa > 0 THEN 'NO TEXT LAYER (not searchable)' END, CASE WHEN sa > sb * 1.05 AND sa - sb > 200000 THEN 'GREW' END) AS flags FROM pr""")
+@query(f"""WITH {PAIRS} SELECT rel, concat_ws('; ', CASE WHEN xb >= 500 AND xa < 0.25 * xb THEN 'COLOUR LOST ' || xb || '->' || xa END, CASE
+   WHEN pa <> pb THEN 'PAGES ' || pb || '->' || pa END, CASE WHEN lb > la THEN 'LINKS ' || lb || '->' || la END, CASE
+   WHEN bb > ba THEN 'BOOKMARKS ' || bb || '->' || ba END, CASE WHEN un THEN 'UNREADABLE OUTPUT' END,
+ CASE WHEN recall < 0.6 THEN 'TEXT LOST' END, CASE WHEN hb < 20 AND ha < 20 AND pa > 0 THEN 'NO TEXT LAYER (not searchable)' END, CASE
+   WHEN sa > sb * 1.05 AND sa - sb > 200000 THEN 'GREW' END) AS flags FROM pr""")
 def independent_audit(spark, sf_dir):
     return report.review_flags(_pairs(spark, sf_dir))
 
 
-STREAMS = "st AS (SELECT l_orderkey AS file, l_partkey AS hash, l_linenumber % 3 AS reachable, l_linenumber % 3 + l_linenumber % 2 AS total, CAST(l_quantity AS INT) % 4 AS after, l_returnflag = 'R' AS x, l_returnflag = 'A' AND l_linenumber = 1 AS p, l_linestatus = 'F' AND l_returnflag = 'N' AS h FROM lineitem)"
+STREAMS = """st AS (SELECT l_orderkey AS file, l_partkey AS hash, l_linenumber % 3 AS reachable, l_linenumber % 3 + l_linenumber % 2 AS total,
+   CAST(l_quantity AS INT) % 4 AS after, l_returnflag = 'R' AS x, l_returnflag = 'A' AND l_linenumber = 1 AS p, l_linestatus = 'F' AND l_returnflag = 'N' AS h
+   FROM lineitem)"""
 
 
-@query(f"""WITH {STREAMS}, s AS (SELECT *, greatest(reachable - after, 0) AS sh, greatest(total - after, 0) AS al, CASE WHEN x THEN 'xmp' WHEN p THEN 'packet' WHEN h THEN 'hint' ELSE 'lost' END AS k FROM st),
- a AS (SELECT file, sum(CASE WHEN k = 'xmp' THEN sh ELSE 0 END) AS xmp, sum(CASE WHEN k = 'hint' THEN sh ELSE 0 END) + sum(CASE WHEN h AND NOT x THEN al - sh ELSE 0 END) AS hint, sum(CASE WHEN k = 'lost' THEN sh ELSE 0 END) AS lost, max(CASE WHEN k = 'packet' AND sh > 0 THEN 1 ELSE 0 END) AS packet, sum(al) AS al, sum(CASE WHEN p THEN 0 ELSE greatest(after - total, 0) END) AS added FROM s GROUP BY file)
- SELECT file, CAST(xmp AS BIGINT) AS xmp, CAST(hint AS BIGINT) AS hint, CAST(lost AS BIGINT) AS lost, CAST(packet AS BIGINT) AS packet, CAST(added AS BIGINT) AS added, CAST(al - xmp - lost - packet - hint AS BIGINT) AS orphans, CASE WHEN lost > 0 OR added > 0 THEN 'FAILED' ELSE 'ok' END AS verdict FROM a""")
+@query(f"""WITH {STREAMS}, s AS (SELECT *, greatest(reachable - after, 0) AS sh, greatest(total - after, 0) AS al, CASE WHEN x THEN 'xmp' WHEN p THEN 'packet'
+   WHEN h THEN 'hint' ELSE 'lost' END AS k FROM st),
+ a AS (SELECT file, sum(CASE WHEN k = 'xmp' THEN sh ELSE 0 END) AS xmp, sum(CASE WHEN k = 'hint' THEN sh ELSE 0 END) + sum(CASE WHEN h AND NOT x THEN al - sh
+   ELSE 0 END) AS hint, sum(CASE WHEN k = 'lost' THEN sh ELSE 0 END) AS lost, max(CASE WHEN k = 'packet' AND sh > 0 THEN 1
+   ELSE 0 END) AS packet, sum(al) AS al, sum(CASE WHEN p THEN 0 ELSE greatest(after - total, 0) END) AS added FROM s GROUP BY file)
+ SELECT file, CAST(xmp AS BIGINT) AS xmp, CAST(hint AS BIGINT) AS hint, CAST(lost AS BIGINT) AS lost, CAST(packet AS BIGINT) AS packet,
+   CAST(added AS BIGINT) AS added, CAST(al - xmp - lost - packet - hint AS BIGINT) AS orphans, CASE WHEN lost > 0 OR added > 0 THEN 'FAILED'
+   ELSE 'ok' END AS verdict FROM a""")
 def lossless_stream_audit(spark, sf_dir):
     """Order lines as decoded streams with their copies in source and output."""
     a = report.stream_audit(_streams(spark, sf_dir))
@@ -130,27 +169,34 @@ def lossless_stream_audit(spark, sf_dir):
 def _streams(spark, sf_dir):
     n = F.col("l_linenumber")
     return load(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("hash"), (n % 3).alias("reachable"), (n % 3 + n % 2).alias("total"), (F.col("l_quantity").cast("int") % 4).alias("after"),
-        (F.col("l_returnflag") == "R").alias("is_xmp"), ((F.col("l_returnflag") == "A") & (n == 1)).alias("is_doc_xmp"), ((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "N")).alias("is_hint"))
+        F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("hash"), (n % 3).alias("reachable"), (n % 3 + n % 2).alias("total"),
+            (F.col("l_quantity").cast("int") % 4).alias("after"),
+        (F.col("l_returnflag") == "R").alias("is_xmp"), ((F.col("l_returnflag") == "A") & (n == 1)).alias("is_doc_xmp"),
+            ((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "N")).alias("is_hint"))
 
 
-@query(f"WITH {PAIRS} SELECT rel, CASE WHEN rel % 13 <> 0 THEN CASE WHEN pb IS DISTINCT FROM pa THEN 'pages' WHEN lb IS DISTINCT FROM la THEN 'links' WHEN bb IS DISTINCT FROM ba THEN 'bookmarks' ELSE '' END END AS difference FROM pr")
+@query(f"""WITH {PAIRS} SELECT rel, CASE WHEN rel % 13 <> 0 THEN CASE WHEN pb IS DISTINCT FROM pa THEN 'pages' WHEN lb IS DISTINCT FROM la THEN 'links'
+   WHEN bb IS DISTINCT FROM ba THEN 'bookmarks' ELSE '' END END AS difference FROM pr""")
 def fingerprint_compare(spark, sf_dir):
     p = _pairs(spark, sf_dir).withColumn("judged_before", F.col("rel") % 13 != 0).withColumn("judged_after", F.lit(True))
     return report.fingerprint_difference(p, ["pages", "links", "bookmarks"])
 
 
-@query("""SELECT doc_id AS rel, CASE WHEN quality IS DISTINCT FROM 1 THEN 'audit verdict ' || CASE WHEN quality = 0 THEN 'FAILED' ELSE 'none' END WHEN doc_id % 17 = 0 THEN 'missing source or output' WHEN no >= so THEN 'not smaller' WHEN doc_id % 19 = 0 THEN 'page count' ELSE 'promote' END AS decision
+@query("""SELECT doc_id AS rel, CASE WHEN quality IS DISTINCT FROM 1 THEN 'audit verdict ' || CASE WHEN quality = 0 THEN 'FAILED' ELSE 'none' END
+   WHEN doc_id % 17 = 0 THEN 'missing source or output' WHEN no >= so THEN 'not smaller' WHEN doc_id % 19 = 0 THEN 'page count' ELSE 'promote' END AS decision
  FROM (SELECT doc_id, quality, octet_length(encode(text)) AS so, length(text) + doc_id % 40 AS no FROM documents LEFT JOIN labels USING (doc_id))""")
 def promotion_decision(spark, sf_dir):
     d = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left").select(
         F.col("doc_id").alias("rel"), F.when(F.col("quality") == 1, "ok").when(F.col("quality") == 0, "FAILED").alias("verdict"), F.octet_length("text").alias("so"),
-        F.when(F.col("doc_id") % 17 != 0, F.length("text") + F.col("doc_id") % 40).alias("no"), F.lit(1).alias("pages_so"), F.when(F.col("doc_id") % 19 == 0, 2).otherwise(1).alias("pages_no"))
+        F.when(F.col("doc_id") % 17 != 0, F.length("text") + F.col("doc_id") % 40).alias("no"), F.lit(1).alias("pages_so"),
+            F.when(F.col("doc_id") % 19 == 0, 2).otherwise(1).alias("pages_no"))
     return report.promotion(d)
 
 
-@query(f"""WITH p AS (SELECT source AS file, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS page_no, octet_length(encode(text)) AS b, length(text) AS c FROM documents), n AS (SELECT file, count(*) AS n, CAST(sum(b) AS BIGINT) AS orig FROM p GROUP BY file),
- s AS (SELECT file, n, orig, unnest({EVEN.format(n='n', k=4)}) AS page_no FROM n) SELECT file, CAST(sum(c // 2) AS BIGINT) * max(n) / (count(*) * max(orig)) AS ratio FROM s JOIN p USING (file, page_no) GROUP BY file""")
+@query(f"""WITH p AS (SELECT source AS file, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS page_no,
+   octet_length(encode(text)) AS b, length(text) AS c FROM documents), n AS (SELECT file, count(*) AS n, CAST(sum(b) AS BIGINT) AS orig FROM p GROUP BY file),
+ s AS (SELECT file, n, orig, unnest({EVEN.format(n='n', k=4)}) AS page_no FROM n)
+   SELECT file, CAST(sum(c // 2) AS BIGINT) * max(n) / (count(*) * max(orig)) AS ratio FROM s JOIN p USING (file, page_no) GROUP BY file""")
 def size_projection(spark, sf_dir):
     """Cost of four sampled pages carried to the whole file, over its size; half a page's characters stand for its cost."""
     from ..operators.gates import sampled_pages
@@ -162,7 +208,8 @@ def size_projection(spark, sf_dir):
     return s.join(n, "file").select("file", (F.col("cost") * F.col("n") / (F.col("k") * F.col("orig"))).alias("ratio"))
 
 
-PIXELS = "px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(floor(greatest(0, least(255, (embedding[i + 1] + 0.5) * 255))) AS INT) AS v FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings WHERE embedding IS NOT NULL))"
+PIXELS = """px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(floor(greatest(0, least(255, (embedding[i + 1] + 0.5) * 255))) AS INT) AS v
+   FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings WHERE embedding IS NOT NULL))"""
 
 
 def _pixels(spark, sf_dir):
@@ -172,9 +219,11 @@ def _pixels(spark, sf_dir):
     return e.select("vec_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), v.alias("v"))
 
 
-@query(f"WITH {PIXELS}, t AS (SELECT vec_id, y // 4 AS ty, x // 4 AS tx, count(*) FILTER (v BETWEEN 40 AND 215) AS mid, count(*) AS n FROM px GROUP BY ALL) SELECT vec_id, count(*) FILTER (mid > 0.35::DOUBLE * n) / count(*) AS coverage FROM t GROUP BY vec_id")
+@query(f"""WITH {PIXELS}, t AS (SELECT vec_id, y // 4 AS ty, x // 4 AS tx, count(*) FILTER (v BETWEEN 40 AND 215) AS mid, count(*) AS n FROM px GROUP BY ALL)
+   SELECT vec_id, count(*) FILTER (mid > 0.35::DOUBLE * n) / count(*) AS coverage FROM t GROUP BY vec_id""")
 def tile_coverage(spark, sf_dir):
-    t = _pixels(spark, sf_dir).groupBy("vec_id", F.floor(F.col("y") / 4).alias("ty"), F.floor(F.col("x") / 4).alias("tx")).agg(F.count_if(F.col("v").between(40, 215)).alias("mid"), F.count("*").alias("n"))
+    t = _pixels(spark, sf_dir).groupBy("vec_id", F.floor(F.col("y") / 4).alias("ty"),
+        F.floor(F.col("x") / 4).alias("tx")).agg(F.count_if(F.col("v").between(40, 215)).alias("mid"), F.count("*").alias("n"))
     return t.groupBy("vec_id").agg((F.count_if(F.col("mid") > F.lit(0.35) * F.col("n")) / F.count("*")).alias("coverage"))
 
 
@@ -188,43 +237,56 @@ def ink_fraction(spark, sf_dir):
     return _pixels(spark, sf_dir).groupBy("vec_id").agg((F.count_if(F.col("v") < 100) / F.count("*")).alias("ink"))
 
 
-@query(f"""WITH {PIXELS}, f AS (SELECT vec_id, count(*) FILTER (v BETWEEN 40 AND 215) / count(*) AS cov, count(*) FILTER (v < 60) / count(*) AS ink, vec_id % 120 AS dpi, vec_id % 3 = 0 AS color, vec_id % 7 = 0 AS visible FROM px GROUP BY vec_id)
- SELECT vec_id, CASE WHEN dpi < 50 OR visible THEN 'vector' WHEN cov > 0.9 AND color THEN 'photo_color' WHEN cov > 0.9 THEN 'photo_gray' WHEN color THEN 'color_line' WHEN ink < 0.0008 THEN 'blank' ELSE 'line' END AS kind FROM f""")
+@query(f"""WITH {PIXELS}, f AS (SELECT vec_id, count(*) FILTER (v BETWEEN 40 AND 215) / count(*) AS cov, count(*) FILTER (v < 60) / count(*) AS ink,
+   vec_id % 120 AS dpi, vec_id % 3 = 0 AS color, vec_id % 7 = 0 AS visible FROM px GROUP BY vec_id)
+ SELECT vec_id, CASE WHEN dpi < 50 OR visible THEN 'vector' WHEN cov > 0.9 AND color THEN 'photo_color' WHEN cov > 0.9 THEN 'photo_gray'
+   WHEN color THEN 'color_line' WHEN ink < 0.0008 THEN 'blank' ELSE 'line' END AS kind FROM f""")
 def page_class_ladder(spark, sf_dir):
-    f = _pixels(spark, sf_dir).groupBy("vec_id").agg((F.count_if(F.col("v").between(40, 215)) / F.count("*")).alias("cov"), (F.count_if(F.col("v") < 60) / F.count("*")).alias("ink"))
+    f = _pixels(spark, sf_dir).groupBy("vec_id").agg((F.count_if(F.col("v").between(40, 215)) / F.count("*")).alias("cov"),
+        (F.count_if(F.col("v") < 60) / F.count("*")).alias("ink"))
     v = F.col("vec_id")
     return f.select("vec_id", page_kind(v % 120, v % 7 == 0, F.col("cov"), v % 3 == 0, F.col("ink"), 0.9).alias("kind"))
 
 
-@query("""WITH i AS (SELECT p_partkey, p_size * 40 AS w, CASE WHEN p_partkey % 4 = 0 THEN p_size * 5 ELSE p_size * 50 END AS h FROM part), d AS (SELECT p_partkey, greatest(sqrt(CAST(w AS DOUBLE) * h / (8.5::DOUBLE * 11.0::DOUBLE)), CASE WHEN w >= 4 * h THEN CAST(w AS DOUBLE) / 8.5::DOUBLE ELSE 0.0 END) AS dpi FROM i)
+@query("""WITH i AS (SELECT p_partkey, p_size * 40 AS w, CASE WHEN p_partkey % 4 = 0 THEN p_size * 5 ELSE p_size * 50 END AS h
+   FROM part), d AS (SELECT p_partkey, greatest(sqrt(CAST(w AS DOUBLE) * h / (8.5::DOUBLE * 11.0::DOUBLE)), CASE
+   WHEN w >= 4 * h THEN CAST(w AS DOUBLE) / 8.5::DOUBLE ELSE 0.0 END) AS dpi FROM i)
  SELECT p_partkey, round_even(dpi, 6) AS dpi, greatest(200, least(coalesce(nullif(CAST(round_even(dpi, 0) AS INT), 0), 200), 400)) AS render FROM d""")
 def image_resolution(spark, sf_dir):
     """One image a part on a letter page; every fourth is a strip."""
-    p = load(spark, sf_dir, "part").select("p_partkey", F.array(F.struct((F.col("p_size") * 40).alias("w"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") * 5).otherwise(F.col("p_size") * 50).alias("h"))).alias("images"))
+    p = load(spark, sf_dir, "part").select("p_partkey", F.array(F.struct((F.col("p_size") * 40).alias("w"),
+        F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") * 5).otherwise(F.col("p_size") * 50).alias("h"))).alias("images"))
     d = p.select("p_partkey", class_dpi(F.col("images"), F.lit(612.0), F.lit(792.0)).alias("dpi"))
     return d.select("p_partkey", F.bround("dpi", 6).alias("dpi"), render_dpi(F.col("dpi")).alias("render"))
 
 
-@query("""SELECT doc_id, CASE WHEN want = 0 AND trusted THEN 'failed' WHEN got >= greatest(want, 1) THEN 'repaired' WHEN salvaged > 0 THEN 'incomplete' ELSE 'failed' END AS status FROM (SELECT doc_id % 9 AS want, doc_id % 2 = 0 AS trusted, doc_id % 7 AS got, doc_id % 3 AS salvaged, doc_id FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN want = 0 AND trusted THEN 'failed' WHEN got >= greatest(want, 1) THEN 'repaired' WHEN salvaged > 0 THEN 'incomplete'
+   ELSE 'failed' END AS status FROM (SELECT doc_id % 9 AS want, doc_id % 2 = 0 AS trusted, doc_id % 7 AS got, doc_id % 3 AS salvaged, doc_id FROM documents)""")
 def repair_evidence(spark, sf_dir):
     k = F.col("doc_id")
     return load(spark, sf_dir, "documents").select("doc_id", report.repair_status(k % 9, k % 2 == 0, k % 7, k % 3).alias("status"))
 
 
-@query("SELECT source AS folder, CAST(sum(CASE WHEN lang <> 'de' THEN 1 WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars % 50 END) AS BIGINT) AS expected, CAST(list_sort(list(doc_id) FILTER (lang = 'de' AND doc_id % 10 = 0)) AS VARCHAR) AS unreadable FROM documents GROUP BY source")
+@query("""SELECT source AS folder, CAST(sum(CASE WHEN lang <> 'de' THEN 1 WHEN doc_id % 10 = 0 THEN 0
+   ELSE n_chars % 50 END) AS BIGINT) AS expected, CAST(list_sort(list(doc_id) FILTER (lang = 'de' AND doc_id % 10 = 0)) AS VARCHAR) AS unreadable FROM documents
+   GROUP BY source""")
 def expected_pages(spark, sf_dir):
     """Images are one page, PDFs their own count; unreadable ones are told, not skipped."""
     pdf = F.col("lang") == "de"
     pages = F.when(F.col("doc_id") % 10 != 0, F.col("n_chars") % 50)
     bad = F.array_sort(F.collect_list(F.when(pdf & pages.isNull(), F.col("doc_id"))))
-    d = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("folder")).agg(F.sum(F.when(pdf, F.coalesce(pages, F.lit(0))).otherwise(1)).cast("long").alias("expected"), bad.alias("b"))
-    return d.select("folder", "expected", F.when(F.size("b") > 0, F.concat(F.lit("["), F.array_join(F.transform("b", lambda x: x.cast("string")), ", "), F.lit("]"))).alias("unreadable"))
+    d = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("folder")).agg(F.sum(F.when(pdf,
+        F.coalesce(pages, F.lit(0))).otherwise(1)).cast("long").alias("expected"), bad.alias("b"))
+    return d.select("folder", "expected", F.when(F.size("b") > 0, F.concat(F.lit("["),
+        F.array_join(F.transform("b", lambda x: x.cast("string")), ", "), F.lit("]"))).alias("unreadable"))
 
 
-@query("""SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS BIGINT) AS words, CASE WHEN doc_id % 50 = 0 AND doc_id % 3 = 0 THEN NULL ELSE doc_id % 50 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 END AS same FROM documents""")
+@query("""SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS BIGINT) AS words, CASE WHEN doc_id % 50 = 0 AND doc_id % 3 = 0 THEN NULL
+   ELSE doc_id % 50 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 END AS same FROM documents""")
 def text_digests(spark, sf_dir):
     """Digests of two reads: some texts changed, some can't be read on one side; where both reads fail nothing is told."""
     k = F.col("doc_id")
     d = load(spark, sf_dir, "documents").select(
-        k, F.size(words(F.col("text"))).cast("long").alias("words"), F.when(k % 50 != 0, F.md5("text")).alias("a"), F.when(k % 3 != 0, F.md5(F.when(k % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))).alias("b"))
+        k, F.size(words(F.col("text"))).cast("long").alias("words"), F.when(k % 50 != 0, F.md5("text")).alias("a"),
+            F.when(k % 3 != 0, F.md5(F.when(k % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))).alias("b"))
     return d.select("doc_id", "words", report.reads_agree(F.col("a"), F.col("b")).alias("same"))

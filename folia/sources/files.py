@@ -25,7 +25,8 @@ def tree(spark: SparkSession, root: str, suffix: str | None = "pdf", heads: bool
     if suffix:
         r = r.option("pathGlobFilter", f"*.{suffix}")
     base = root.removeprefix("file://").rstrip("/")
-    columns = [plain_path().alias("path"), F.regexp_extract(plain_path(), "^(.*)/[^/]*$", 1).alias("folder"), F.substr(plain_path(), F.lit(len(base) + 2)).alias("rel"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime")]
+    columns = [plain_path().alias("path"), F.regexp_extract(plain_path(), "^(.*)/[^/]*$", 1).alias("folder"),
+        F.substr(plain_path(), F.lit(len(base) + 2)).alias("rel"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime")]
     return r.load(root).select(*columns, *([F.substring("content", 1, 1024).alias("head")] if heads else []), *(["content"] if content else []))
 
 
@@ -77,10 +78,14 @@ def settings(path: str, known: dict, given: dict | None = None) -> tuple[dict, l
 
 
 RANGES = {
-    "dpi": (lambda v: v > 0, "dpi must be > 0"), "workers": (lambda v: v >= 1, "workers must be >= 1"), "jpeg_quality": (lambda v: 1 <= v <= 100, "jpeg_quality must be between 1 and 100"),
-    "sauvola_k": (lambda v: v > 0, "sauvola_k must be > 0"), "min_size": (lambda v: v >= 0, "min_size must be >= 0"), "photo_threshold": (lambda v: 0 <= v <= 1, "photo_threshold must be between 0 and 1"),
-    "photo_dpi": (lambda v: v >= 0, "photo_dpi must be >= 0"), "min_savings": (lambda v: 0 <= v <= 1, "min_savings must be between 0 and 1"), "photo_descreen": (lambda v: v >= 0, "photo_descreen must be >= 0"),
-    "timeout": (lambda v: v >= 0, "timeout must be >= 0"), "min_free_gb": (lambda v: v >= 0, "min_free_gb must be >= 0"), "limit": (lambda v: v >= 0, "limit must be >= 0"),
+    "dpi": (lambda v: v > 0, "dpi must be > 0"), "workers": (lambda v: v >= 1, "workers must be >= 1"),
+        "jpeg_quality": (lambda v: 1 <= v <= 100, "jpeg_quality must be between 1 and 100"),
+    "sauvola_k": (lambda v: v > 0, "sauvola_k must be > 0"), "min_size": (lambda v: v >= 0, "min_size must be >= 0"),
+        "photo_threshold": (lambda v: 0 <= v <= 1, "photo_threshold must be between 0 and 1"),
+    "photo_dpi": (lambda v: v >= 0, "photo_dpi must be >= 0"), "min_savings": (lambda v: 0 <= v <= 1, "min_savings must be between 0 and 1"),
+        "photo_descreen": (lambda v: v >= 0, "photo_descreen must be >= 0"),
+    "timeout": (lambda v: v >= 0, "timeout must be >= 0"), "min_free_gb": (lambda v: v >= 0, "min_free_gb must be >= 0"),
+        "limit": (lambda v: v >= 0, "limit must be >= 0"),
 }
 
 
@@ -105,13 +110,16 @@ def write_report(rows: DataFrame, path: str, notes: DataFrame | None = None) ->
     """The final report: one CSV sorted by lower-cased file, a pre-scan row first where there are notes."""
     blank = F.lit("")
     out = rows.select(
-        F.lit(1).alias("ord"), F.col("file"), "action", "reason", "ocr", "language", F.when(F.col("orig") > 0, two_decimals(F.col("orig"))).otherwise("0.00").alias("orig size (MB)"),
+        F.lit(1).alias("ord"), F.col("file"), "action", "reason", "ocr", "language",
+            F.when(F.col("orig") > 0, two_decimals(F.col("orig"))).otherwise("0.00").alias("orig size (MB)"),
         F.coalesce(two_decimals(F.col("new")), blank).alias("new size (MB)"), F.coalesce(F.col("pct").cast("string"), blank).alias("%"),
         *[(F.col(c) if c in rows.columns else blank).alias(c) for c in ("duplicate of", "page types", "scan signals", "note", "warnings")], "error")
     if notes is not None:
-        first = notes.agg(F.array_join(F.array_sort(F.collect_list("warning")), "; ").alias("warnings")).withColumn("file", F.lit("(pre-scan)")).withColumn("ord", F.lit(0))
+        first = notes.agg(F.array_join(F.array_sort(F.collect_list("warning")), "; ").alias("warnings")).withColumn("file",
+            F.lit("(pre-scan)")).withColumn("ord", F.lit(0))
         out = out.unionByName(first, allowMissingColumns=True).na.fill("")
-    out.orderBy("ord", F.lower("file"), "file").select(*vocab.REPORT_COLUMNS).coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=False, emptyValue="", escape='"')
+    out.orderBy("ord", F.lower("file"), "file").select(*vocab.REPORT_COLUMNS).coalesce(1).write.mode("overwrite").csv(path, header=True,
+        quoteAll=False, emptyValue="", escape='"')
 
 
 def one_decimal(size):
@@ -121,7 +129,8 @@ def one_decimal(size):
 def folder_report(rollup: DataFrame) -> DataFrame:
     """FOLDER_COLUMNS of a rollup, and candidate."""
     flag = lambda c: F.col(c).cast("int")
-    values = ["folder", "n_pdf", "n_scanned", "n_born", "n_err", "n_junk", "n_big", "n_no_ocr", "n_other", flag("only_pdfs"), *[one_decimal(F.col(c)) for c in ("total_bytes", "scanned_bytes", "compressible_bytes", "biggest_bytes")], "reasons"]
+    values = ["folder", "n_pdf", "n_scanned", "n_born", "n_err", "n_junk", "n_big", "n_no_ocr", "n_other", flag("only_pdfs"),
+        *[one_decimal(F.col(c)) for c in ("total_bytes", "scanned_bytes", "compressible_bytes", "biggest_bytes")], "reasons"]
     return rollup.select(*[(F.col(v) if isinstance(v, str) else v).alias(name) for name, v in zip(vocab.FOLDER_COLUMNS, values)], flag("candidate").alias("candidate"))
 
 
@@ -129,7 +138,8 @@ def file_report(verdicts_: DataFrame) -> DataFrame:
     """FILE_COLUMNS of the real PDFs among classified files (path, bytes, is_pdf_name, not_pdf, scanned, born_digital, has_ocr, n_pages, scan_frac, error)."""
     flag = lambda c: F.col(c).cast("int")
     real = verdicts_.where("is_pdf_name AND NOT not_pdf")
-    values = [F.col("path"), one_decimal(F.col("bytes")), flag("scanned"), flag("born_digital"), flag("has_ocr"), F.coalesce("n_pages", F.lit(0)), F.bround("scan_frac", 3), F.coalesce("error", F.lit(""))]
+    values = [F.col("path"), one_decimal(F.col("bytes")), flag("scanned"), flag("born_digital"), flag("has_ocr"), F.coalesce("n_pages", F.lit(0)),
+        F.bround("scan_frac", 3), F.coalesce("error", F.lit(""))]
     return real.orderBy(F.desc("bytes"), "path").select(*[v.alias(name) for name, v in zip(vocab.FILE_COLUMNS, values)])
 
 
@@ -227,7 +237,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def write_manifest(entries: DataFrame, path: str) -> None:
     """One JSON list of the entries, by file; a manifest is a list that a person keeps, so one task writes it."""
     rows = entries.select("file", F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("entry"))
-    text = rows.agg(F.concat(F.lit("[\n  "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "entry"))), lambda e: e.entry), ",\n  "), F.lit("\n]")).alias("value"))
+    text = rows.agg(F.concat(F.lit("[\n  "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "entry"))), lambda e: e.entry),
+        ",\n  "), F.lit("\n]")).alias("value"))
     text.coalesce(1).write.mode("overwrite").text(path)
 
 

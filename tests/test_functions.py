@@ -27,7 +27,8 @@ def test_natural_order(spark, want):
 
 
 @pytest.mark.parametrize("name,rank", [
-    ("cover.jpg", 0), ("GI-COVER.jpg", 0), ("coverhw.tif", 0), ("DISCOVER.PDF", 3), ("foreword.pdf", 1), ("fwd", 1), ("fwd2.pdf", 3), ("GI-FWD.jpg", 3), ("index-BO-1.jpg", 2), ("dtc_index.gif", 2),
+    ("cover.jpg", 0), ("GI-COVER.jpg", 0), ("coverhw.tif", 0), ("DISCOVER.PDF", 3), ("foreword.pdf", 1), ("fwd", 1), ("fwd2.pdf", 3),
+        ("GI-FWD.jpg", 3), ("index-BO-1.jpg", 2), ("dtc_index.gif", 2),
     ("Medium_2002-CHEVY-TRUCK-COLUMN-COVER.jpg", 3), ("--.jpg", 3)])
 def test_front_matter(spark, name, rank):
     assert one(spark, text.lead_rank(F.lit(name))) == rank
@@ -86,7 +87,9 @@ def test_bands_tile_every_page_once(spark):
     for n in (1, 30, 99, 100, 101, 401, 2460):
         for shards in (1, 3, 6):
             bands = spark.createDataFrame([(1, n)], "first long, last long")
-            got = sorted((r.first, r.last) for r in sequences.shard_bands(bands, shards).select(F.col("first"), F.col("last")).collect()) if False else sorted(tuple(r) for r in sequences.shard_bands(bands, shards).select("first", "last").collect())
+            got = sorted((r.first, r.last) for r in sequences.shard_bands(bands, shards).select(F.col("first"),
+                F.col("last")).collect()) if False else sorted(tuple(r) for r in sequences.shard_bands(bands, shards).select("first",
+                "last").collect())
             assert [p for a, b in got for p in range(a, b + 1)] == list(range(1, n + 1))
             assert len(got) <= shards and (n >= 100 or len(got) == 1)
     windows = sequences.seek_windows(spark.createDataFrame([("a", 2460)], "file string, n_pages long")).orderBy("start").collect()
@@ -105,7 +108,8 @@ def test_has_text_needs_most_pages(spark):
 
 
 def test_boilerplate_is_a_stamp_not_a_template(spark):
-    stamp = [("s", k, f"Printed for X\nbody {k}") for k in range(5)] + [("t", k, "\n".join(f"row {j}" for j in range(20))) for k in range(5)] + [("u", k, "Printed for X") for k in range(2)]
+    stamp = [("s", k, f"Printed for X\nbody {k}") for k in range(5)] + [("t", k, "\n".join(f"row {j}" for j in range(20))) for k in range(5)] + [("u",
+        k, "Printed for X") for k in range(2)]
     pages = spark.createDataFrame(stamp, "file string, page_no int, text string")
     found = gates.boilerplate_lines(pages)
     assert [(r.file, r.line) for r in found.collect()] == [("s", "printed for x")]
@@ -113,10 +117,13 @@ def test_boilerplate_is_a_stamp_not_a_template(spark):
 
 
 def test_page_identity(spark):
-    rows = [("a", "GI-12.jpg", "12", 2550 * 3508, False), ("a", "GI-12.tif", "12", 637 * 877, False), ("a", "x.jpg", "13", 2544 * 3500, False), ("a", "x.tif", "13", 2550 * 3508, False),
-            ("a", "p.pdf", "14", 10, True), ("a", "p.jpg", "14", 1000, False), ("a", "q.jpg", "15", 0, False), ("a", "q.tif", "15", 500, False), ("b", "GI-12.jpg", "12", 5, False)]
+    rows = [("a", "GI-12.jpg", "12", 2550 * 3508, False), ("a", "GI-12.tif", "12", 637 * 877, False), ("a", "x.jpg", "13", 2544 * 3500, False),
+        ("a", "x.tif", "13", 2550 * 3508, False),
+            ("a", "p.pdf", "14", 10, True), ("a", "p.jpg", "14", 1000, False), ("a", "q.jpg", "15", 0, False), ("a", "q.tif", "15", 500, False),
+                ("b", "GI-12.jpg", "12", 5, False)]
     out = sequences.page_identity_groups(spark.createDataFrame(rows, "folder string, name string, key string, area long, is_pdf boolean"))
-    assert {r.name: r.fate for r in out.collect()} == {"GI-12.jpg": "keep", "GI-12.tif": "drop", "x.jpg": "keep all", "x.tif": "keep all", "p.pdf": "keep all", "p.jpg": "keep all", "q.jpg": "keep all", "q.tif": "keep all"}
+    assert {r.name: r.fate for r in out.collect()} == {"GI-12.jpg": "keep", "GI-12.tif": "drop", "x.jpg": "keep all", "x.tif": "keep all",
+        "p.pdf": "keep all", "p.jpg": "keep all", "q.jpg": "keep all", "q.tif": "keep all"}
 
 
 def test_bookmarks(spark):
@@ -134,7 +141,8 @@ def test_duplicates_skip_nulls(spark):
 def test_retry_routes(spark):
     entries = spark.createDataFrame([("/a/x.pdf",), ("y.pdf",), ("/other/z.pdf",), ("gone.pdf",)], "entry string")
     catalog = spark.createDataFrame([("/a/x.pdf",), ("/a/y.pdf",), ("/other/z.pdf",)], "path string")
-    assert {r.entry: r.route for r in relations.retry_routes(entries, catalog, "/a").collect()} == {"/a/x.pdf": "job", "y.pdf": "job", "/other/z.pdf": "foreign", "gone.pdf": "missing"}
+    assert {r.entry: r.route for r in relations.retry_routes(entries, catalog, "/a").collect()} == {"/a/x.pdf": "job", "y.pdf": "job",
+        "/other/z.pdf": "foreign", "gone.pdf": "missing"}
 
 
 def test_reachable_on_a_cycle(spark):
@@ -166,17 +174,22 @@ def test_notes_and_labels(spark):
 
 
 def test_report_rows_mask_failures(spark):
-    rows = [("a", "compressed", "compressible", "new ocr", "eng", 20 << 20, 4 << 20, None), ("b", "compressed", "compressible", "re-ocr", "eng", 10, 5, "broken"), ("c", "x", "", "kept existing", "auto", 0, 0, "")]
-    out = {r.file: r for r in report.report_rows(spark.createDataFrame(rows, "file string, action string, reason string, ocr string, lang string, orig long, new long, err string")).collect()}
+    rows = [("a", "compressed", "compressible", "new ocr", "eng", 20 << 20, 4 << 20, None),
+        ("b", "compressed", "compressible", "re-ocr", "eng", 10, 5, "broken"), ("c", "x", "", "kept existing", "auto", 0, 0, "")]
+    out = {r.file: r for r in report.report_rows(spark.createDataFrame(rows,
+        "file string, action string, reason string, ocr string, lang string, orig long, new long, err string")).collect()}
     assert (out["a"].action, out["a"].pct, out["a"].language) == ("compressed", 20, "eng")
     assert (out["b"].action, out["b"].reason, out["b"].ocr, out["b"].language, out["b"].pct) == ("FAILED", "error", "", "", None)
     assert (out["c"].action, out["c"].language, out["c"].pct) == ("processed", "", None)
-    tally = report.reason_tally(report.report_rows(spark.createDataFrame([("a", "compressed", "small size", "", "", 3 << 20, 1, ""), ("b", "compressed", "small size", "", "", 1 << 20, 1, ""), ("c", "compressed", "small size", "", "", 9, 1, "bad")], "file string, action string, reason string, ocr string, lang string, orig long, new long, err string"))).collect()
+    tally = report.reason_tally(report.report_rows(spark.createDataFrame([("a", "compressed", "small size", "", "", 3 << 20, 1, ""),
+        ("b", "compressed", "small size", "", "", 1 << 20, 1, ""), ("c", "compressed", "small size", "", "", 9, 1, "bad")],
+        "file string, action string, reason string, ocr string, lang string, orig long, new long, err string"))).collect()
     assert [(r.files, r.bytes) for r in tally] == [(2, 4 << 20)]
 
 
 def test_cannot_judge_is_no_pass(spark):
-    rows = spark.createDataFrame([("a", 1, 1, True, True), ("b", 1, 2, True, True), ("c", 1, 1, False, True), ("d", None, None, True, True)], "rel string, pages_before int, pages_after int, judged_before boolean, judged_after boolean")
+    rows = spark.createDataFrame([("a", 1, 1, True, True), ("b", 1, 2, True, True), ("c", 1, 1, False, True), ("d", None, None, True, True)],
+        "rel string, pages_before int, pages_after int, judged_before boolean, judged_after boolean")
     assert {r.rel: r.difference for r in report.fingerprint_difference(rows, ["pages"]).collect()} == {"a": "", "b": "pages", "c": None, "d": ""}
     few = spark.createDataFrame([("r", "w", k % 2 == 0) for k in range(20)], "rel string, word string, before boolean")
     told = relations.word_recall(few, F.col("before")).first()
@@ -191,6 +204,7 @@ def test_inherited_defects(spark):
 
 def test_pdf_heads(spark):
     head = lambda b: F.lit(b)
-    assert one(spark, text.looks_like_pdf(head(b"\r\n %PDF-1.4"))) and not one(spark, text.looks_like_pdf(head(b"about %PDF-1.4"))) and one(spark, text.is_pdf_head(head(b"about %PDF-1.4")))
+    assert one(spark, text.looks_like_pdf(head(b"\r\n %PDF-1.4"))) and not one(spark, text.looks_like_pdf(head(b"about %PDF-1.4"))) and one(spark,
+        text.is_pdf_head(head(b"about %PDF-1.4")))
     raw = lambda b: tuple(one(spark, text.raw_pages(head(b))))
     assert raw(b"garbage") == (0, True) and raw(b"x /ObjStm y") == (0, False) and raw(b"/Type /Pages /Type /Page /Type/Page>> /Type /Page\n") == (3, True)

@@ -51,7 +51,8 @@ def test_written_report(spark, tmp_path):
 
 
 def test_triage_outputs(spark, tmp_path):
-    f = spark.createDataFrame([("f1", 100, True, False, 0.9, False, False), ("f1", 5, True, True, 0.9, False, False), ("f2", 10, True, False, 0.1, False, True), ("f3", 10, True, False, 0.9, True, False)],
+    f = spark.createDataFrame([("f1", 100, True, False, 0.9, False, False), ("f1", 5, True, True, 0.9, False, False),
+        ("f2", 10, True, False, 0.1, False, True), ("f3", 10, True, False, 0.9, True, False)],
                               "folder string, bytes long, is_pdf_name boolean, not_pdf boolean, scan_frac double, unreadable boolean, searchable boolean")
     c = triage.classify_files(f)
     r = triage.folder_rollup(c, 50)
@@ -115,7 +116,8 @@ def test_pdf_soundness_of_copies(spark):
     cut = b"1 0 obj << /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream endobj\n" % (len(data), data[:6])
     widths = [b"2 0 obj << /FirstChar 1 /LastChar 3 /Widths [%s] >> endobj\n" % w for w in (b"1 2", b"1 2 3", b"1 2 3 4")]
     for order in ((whole, cut), (cut, whole)):
-        table = pdf.object_table(one_file(spark, b"%PDF-1.4\n" + b"".join([*order, *widths, b"3 0 obj << >> endobj 3 0 obj << >> endobj 4 0 obj << /A [ >> endobj 4 0 obj << /B 1 >> endobj 4 1 obj << /C 1 >> endobj"])))
+        table = pdf.object_table(one_file(spark, b"%PDF-1.4\n" + b"".join([*order, *widths,
+            b"3 0 obj << >> endobj 3 0 obj << >> endobj 4 0 obj << /A [ >> endobj 4 0 obj << /B 1 >> endobj 4 1 obj << /C 1 >> endobj"])))
         scores = sorted((r.num, r.score) for r in table.select("num", pdf.soundness().alias("score")).collect())
         assert scores == [(1, -1), (1, 3), (2, -1), (2, -1), (2, 2), (3, 1), (3, 1), (4, -1), (4, 1), (4, 1)]
         best = {r.num: r for r in pdf.best_copies(table).collect()}
@@ -135,7 +137,8 @@ def test_pdf_pages_inherit_and_open(spark):
     for password, status in ((b"", "ok with password 0"), (b"vector", "ok with password 1"), (b"secret", "encrypted")):
         key = hashlib.md5((password + pdf.PADDING)[:32] + owner + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()[:5]
         user = pdf.rc4(key, pdf.PADDING)
-        told = body + b"10 0 obj << /Filter /Standard /V 1 /R 2 /P -4 /O <%s> /U <%s> >> endobj trailer << /Root 1 0 R /Encrypt 10 0 R /ID [<%s> <00>] >>" % (owner.hex().encode(), user.hex().encode(), ident.hex().encode())
+        told = body + b"10 0 obj << /Filter /Standard /V 1 /R 2 /P -4 /O <%s> /U <%s> >> endobj trailer << /Root 1 0 R /Encrypt 10 0 R /ID [<%s> <00>] >>" % (owner.hex().encode(),
+            user.hex().encode(), ident.hex().encode())
         assert {r.status for r in pdf.page_table(one_file(spark, told)).collect()} == {status}
     assert pdf.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
 
@@ -163,7 +166,8 @@ def test_forms_within_forms_are_read(spark):
     deeper = b"".join(form(30 + k, b"/F Do", b"/Resources << /XObject << /F %d 0 R >> >>" % (31 + k)) for k in range(5)) + form(35, b"BT (deeper) Tj ET")
     body = (b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R 5 0 R] >> endobj "
             b"3 0 obj << /Type /Page /Contents 10 0 R /Resources << /XObject << /F 21 0 R >> >> >> endobj 4 0 obj << /Type /Page /Contents 10 0 R /Resources << /XObject << /F 31 0 R >> >> >> endobj "
-            b"5 0 obj << /Type /Page /Contents 11 0 R /Resources << /XObject << /F 24 0 R /I 40 0 R >> >> >> endobj 40 0 obj << /Subtype /Image /Width 9 /Height 9 >>\nstream\nx\nendstream endobj ") + form(10, b"/F Do") + form(11, b"/F Do /I Do") + deep + deeper
+            b"5 0 obj << /Type /Page /Contents 11 0 R /Resources << /XObject << /F 24 0 R /I 40 0 R >> >> >> endobj 40 0 obj << /Subtype /Image /Width 9 /Height 9 >>\nstream\nx\nendstream endobj ") + form(10,
+                b"/F Do") + form(11, b"/F Do /I Do") + deep + deeper
     d = one_file(spark, body)
     pages, ops, objects = pdf.page_table(d), pdf.content_operators(d), pdf.object_table(d)
     assert [r.visible for r in pagefacts.visible_pages(pages, ops, objects).orderBy("page_no").collect()] == [True, False, False]
@@ -174,6 +178,9 @@ def test_size_gates(spark):
     d = spark.range(1)
     told = lambda *a, **k: d.select(gates.decision(*a, **k)[1].alias("r")).first().r
     lit = F.lit
-    assert told(lit(1048575), lit(1), lit(1), lit(False), lit(False), lit(0.0), 1.0) == "small size" and told(lit(1048576), lit(1), lit(1), lit(False), lit(False), lit(0.0), 1.0) == "compressible"
-    assert told(lit(1000), lit(900), lit(1), lit(False), lit(False), lit(0.0), 0.0) == "already compressed" and told(lit(1000), lit(899), lit(100), lit(False), lit(False), lit(0.75), 0.0) == "already compressed"
-    assert told(lit(1000), lit(970), lit(1), lit(True), lit(False), lit(0.0), 0.0) == "born digital" and told(lit(1000), lit(970), lit(1), lit(True), lit(True), lit(0.0), 0.0) == "lossless rewrite"
+    assert told(lit(1048575), lit(1), lit(1), lit(False), lit(False), lit(0.0), 1.0) == "small size" and told(lit(1048576), lit(1), lit(1),
+        lit(False), lit(False), lit(0.0), 1.0) == "compressible"
+    assert told(lit(1000), lit(900), lit(1), lit(False), lit(False), lit(0.0), 0.0) == "already compressed" and told(lit(1000), lit(899), lit(100),
+        lit(False), lit(False), lit(0.75), 0.0) == "already compressed"
+    assert told(lit(1000), lit(970), lit(1), lit(True), lit(False), lit(0.0), 0.0) == "born digital" and told(lit(1000), lit(970), lit(1), lit(True),
+        lit(True), lit(0.0), 0.0) == "lossless rewrite"
