@@ -11,7 +11,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,13 +119,19 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, cost:
                 for text, feature, n in indicator_parts(buf, offsets):
                     cut = np.searchsorted(text, np.arange(n + 1))
                     packed += [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(packed)), pa.array(good[row : row + len(packed)], pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "good", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(packed)), pa.array(good[row : row + len(packed)], pa.int32()),
+                    pa.array(packed, pa.binary())], ["doc_id", "good", "features"])
 
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     one = sample.groupBy("doc_id", "good").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = materialize(one.select("doc_id", "text", "good").mapInArrow(run, "doc_id long, good int, features binary"), "indicators")
-    upto = F.sum(F.length("features") / 4).over(W.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    got = sorted((r[0], r[1], bytes(r[2])) for r in found.withColumn("upto", upto).where(F.col("upto") <= MOST_INDICATORS).select("doc_id", "good", "features").collect())
+    fits, upto = [], {0: 0, 1: 0}  # at most 2 * per_class rows of four numbers
+    for _, doc_id, kind, n in sorted(found.select(F.xxhash64("doc_id"), "doc_id", "good", F.length("features") / 4).collect()):
+        upto[kind] += n
+        if upto[kind] <= MOST_INDICATORS:
+            fits.append((doc_id,))
+    taken = found.join(F.broadcast(spark.createDataFrame(fits, "doc_id long")), "doc_id")
+    got = sorted((r[0], r[1], bytes(r[2])) for r in taken.select("doc_id", "good", "features").collect())
     discard(found)
     rows = [np.frombuffer(f, np.int32) for _, _, f in got]
     good = np.array([g for _, g, _ in got], np.int64)

@@ -82,7 +82,8 @@ def source_targets(parts: DataFrame, block: int, limit: int = 3) -> DataFrame:
     level = (F.lit(left) * F.col("weight")).cast("double") / F.lit(weights)
     s = s.withColumn("target", F.when(full, F.col("cap").cast("double")).otherwise(level))
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    slots = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long"), F.col("blocks") * limit)).otherwise(F.lit(0).cast("long"))
+    slots = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long"),
+        F.col("blocks") * limit)).otherwise(F.lit(0).cast("long"))
     return materialize(s.select("s_null", "s_key", "rank", "source_size", "target", "blocks", slots.alias("slots")), "targets")
 
 
@@ -120,7 +121,8 @@ def shard_counts(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
     """
     total = targets.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-total // shard_slots))
-    chunks = targets.where("slots > 0").select("rank", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long"))).alias("chunk"))
+    chunks = targets.where("slots > 0").select("rank", "slots", F.explode(F.sequence(F.lit(0).cast("long"),
+        F.floor((F.col("slots") - 1) / CHUNK).cast("long"))).alias("chunk"))
     chunks = chunks.repartition(partitions(targets), "rank", "chunk")
     slots = chunks.select("rank", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("ball"))
     return slots.groupBy("rank", (scrambled(F.lit(seed), F.col("rank"), F.col("ball")) % shards).alias("shard")).agg(F.count("*").alias("count"))
@@ -218,7 +220,8 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     part = F.filter("segments", lambda s: s.times >= F.col("copy"))
     whole = F.aggregate(part, F.lit(0).cast("long"), lambda n, s: n + s.words) == F.col("size")
     words = F.array_remove(F.split(named["text"], r"[\x20\x09-\x0D]+"), "")
-    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(part, lambda s: F.slice(w, (s["first"] + 1).cast("int"), s.words.cast("int")))), " "))[0]
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(part,
+        lambda s: F.slice(w, (s["first"] + 1).cast("int"), s.words.cast("int")))), " "))[0]
     rows = rows.withColumn("mix_text", F.when(whole, named["text"]).otherwise(cut))
     named["text"] = F.col("mix_text")
     if "n_chars" in carry:

@@ -49,7 +49,8 @@ def byte_letters() -> dict[int, str]:
 
 #: Texts on which a vocabulary must give, by pre-tokens, what its whole tokenizer gives; else that is asked for every word.
 PROBES = (
-    "The QUICK brown fox's tail, they'll say; we've 12345 (and 6.7e-8)!", "don't I'D you're  it'S\t\ttabs\r\nand  lines\x0b\x0c", "Über café naïve Ætna ØRE ÿ ß ÞORN", "a_b-c/d\\e==f!!?? ...--- 'tis '' ' s",
+    "The QUICK brown fox's tail, they'll say; we've 12345 (and 6.7e-8)!", "don't I'D you're  it'S\t\ttabs\r\nand  lines\x0b\x0c",
+        "Über café naïve Ætna ØRE ÿ ß ÞORN", "a_b-c/d\\e==f!!?? ...--- 'tis '' ' s",
     "x" * 300, "0 00 1234567890", " lead and trail ", "mixedÉÈcase1Ñ2ö3", "$#@%^&*()[]{}<>|~`", "")
 
 

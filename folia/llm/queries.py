@@ -69,7 +69,8 @@ def op9_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows, told = sharded(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", "lang", "source", "n_chars", *[F.lit(v).cast("long").alias(k) for k, v in told.items()], F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+        "doc_id", "lang", "source", "n_chars", *[F.lit(v).cast("long").alias(k) for k, v in told.items()],
+            F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_llr_quality_rules, op2_cross_polytope_dedup, op3_target_mixing, op4_minhash_dedup, op5_warc_round_trip, op6_html_main_text, op7_sum_of_squares_packing, op8_nb_svm_quality, op9_tiered_sharding, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_llr_quality_rules, op2_cross_polytope_dedup, op3_target_mixing, op4_minhash_dedup, op5_warc_round_trip,
+    op6_html_main_text, op7_sum_of_squares_packing, op8_nb_svm_quality, op9_tiered_sharding, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_cross_polytope_dedup": oracles.EMBEDDINGS,

@@ -97,7 +97,8 @@ class ShardedTable:
 
     def _run(self, path: str, level: int, rows: int) -> dict:
         files = self._files(path, ".parquet")
-        return {"id": path.rsplit("/", 1)[1], "level": level, "rows": rows, "bytes": sum(n for _, n in files), "files": [f for f, _ in files], "sizes": [n for _, n in files]}
+        return {"id": path.rsplit("/", 1)[1], "level": level, "rows": rows, "bytes": sum(n for _, n in files), "files": [f for f, _ in files],
+            "sizes": [n for _, n in files]}
 
     def append(self, arrivals: DataFrame) -> dict:
         """Add the rows as one run."""

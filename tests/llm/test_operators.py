@@ -64,7 +64,8 @@ def nothing(spark):
 def odd(spark):
     """Rows that repeat, a null id, and a column whose name clashes with the operators'."""
     rows = [(5, "the same text " * 20, 1), (5, "the same text " * 20, 2), (5, "another text", 3), (None, "the same text " * 20, 4), (None, None, 5), (7, "", 6)]
-    return spark.createDataFrame(rows, "doc_id long, text string, score long").withColumn("source", F.lit(None).cast("string")).withColumn("key", F.lit(1)).withColumn("copies", F.lit(2))
+    return spark.createDataFrame(rows, "doc_id long, text string, score long").withColumn("source", F.lit(None).cast("string")).withColumn("key",
+        F.lit(1)).withColumn("copies", F.lit(2))
 
 
 # 1 ---------------------------------------------------------------------------
@@ -170,7 +171,8 @@ def test_embeddings_edges(spark):
     from folia.llm.embed_dedup import linked_vectors, turned
 
     assert linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    out = linked_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>").withColumn("links", F.lit(1))).collect()
+    out = linked_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])],
+        "vec_id long, embedding array<float>").withColumn("links", F.lit(1))).collect()
     assert sorted((r.vec_id is None, r.n_links) for r in out) == [(False, 1), (False, 1), (True, 0)]
     x = turned(np.eye(8, dtype=np.float32), 3) / 8**1.5
     assert np.allclose(x @ x.T, np.eye(8), atol=1e-5)
@@ -187,7 +189,8 @@ def test_embeddings_hot_bucket_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal(64)
     v = np.array([centre + 0.16 * rng.standard_normal(64) for _ in range(300)], np.float32)
-    got = {r.vec_id: r for r in embed_dedup.linked_vectors(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()}
+    got = {r.vec_id: r for r in embed_dedup.linked_vectors(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)],
+        "vec_id long, embedding array<float>")).collect()}
     w = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     links = (w @ w.T >= 0.95).sum(1) - 1
     assert sum(got[k].n_links for k in range(300)) >= 0.9999 * links.sum() and all(got[k].n_links <= links[k] for k in range(300))
@@ -290,7 +293,8 @@ def test_mixing_edges(spark, nothing):
     assert taken_per_document(nothing).count() == 0
     out = taken_per_document(odd(spark), 8).collect()
     assert len(out) == 6 and all(r.taken <= 3 * r["size"] for r in out)
-    names = ["size", "rank", "segments", "start", "at", "spread", "before", "base", "target", "blocks", "slots", "shard", "worded", "copy", "mix_text", "part", "_0", "first_shard", "s_null", "s.key"]
+    names = ["size", "rank", "segments", "start", "at", "spread", "before", "base", "target", "blocks", "slots", "shard", "worded", "copy",
+        "mix_text", "part", "_0", "first_shard", "s_null", "s.key"]
     wide = spark.createDataFrame([(1, "a b c " * 30, "s"), (2, "d e f " * 30, None)], "doc_id int, text string, source string")
     wide = wide.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
     back = mixed_documents(wide, 8)
@@ -386,7 +390,8 @@ def test_warc_round_trip_over_small_splits(spark):
     from folia.llm.warc import archive_round_trip, read_archives, with_record_types, write_archives
 
     big = "<p>" + "same payload " * 20 + "é</p>"
-    rows = [(k, f"http://h/{k} x\n", big if k % 3 == 0 else f"<p>{k} {'z' * k}</p>") for k in range(4, 120)] + [(500, None, None), (501, "u", ""), (None, "n", big), (502, "r", "\x1f" + big)]
+    rows = [(k, f"http://h/{k} x\n", big if k % 3 == 0 else f"<p>{k} {'z' * k}</p>") for k in range(4, 120)] + [(500, None, None), (501, "u", ""),
+        (None, "n", big), (502, "r", "\x1f" + big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     got = {r.page_id: r for r in archive_round_trip(pages).collect()}
     assert len(got) == len(rows)
@@ -442,7 +447,8 @@ a line break. <a href="x">link</a></p><!-- no --><ul><li>item one<li>item two</u
 def test_main_text():
     from folia.llm.html_extract import main_text
 
-    assert main_text(PAGE).split("\n\n") == ["Head & shoulders", "First, para graph with é and <tags>.", "Second one, a bit longer, with a line break. link", "item one", "item two"]
+    assert main_text(PAGE).split("\n\n") == ["Head & shoulders", "First, para graph with é and <tags>.",
+        "Second one, a bit longer, with a line break. link", "item one", "item two"]
     plain = "<body><div id=menu><a href=1>One</a> <a href=2>Two</a></div><div><p>" + "Words, and words. " * 20 + "</p><p>End.</p></div></body>"
     assert main_text(plain).split("\n\n")[1:] == ["End."]
     named = '<div class="layout has-sidebar"><div class="post-header"><h1>Own head</h1></div><div class="content"><p>' + "Words, and words. " * 9 + '</p></div><div class="widget">No</div></div>'
@@ -477,7 +483,8 @@ def test_main_text_of_papers_and_menus():
     assert main_text('<nav><a href="/">Home</a></nav><div class="menu"><a>One</a></div>') == ""
 
 
-@pytest.mark.parametrize("page", ["<a " * 350_000, '<a b="<x>"' * 100_000, "<div><p>x y z" * 100_000, "<svg>" * 100_000, "<" * 1_000_000, "<ul><li>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000])
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a b="<x>"' * 100_000, "<div><p>x y z" * 100_000, "<svg>" * 100_000, "<" * 1_000_000,
+    "<ul><li>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000])
 def test_main_text_of_hostile_pages_is_fast(page):
     import time
 
@@ -495,7 +502,8 @@ def test_tree_scoring_against_brute_force():
     rng = random.Random(5)
 
     def tree(depth):
-        kids = [tree(depth + 1) if depth < 5 and rng.random() < 0.5 else ("p", [" ".join(rng.choice(["one,", "two", "three"]) for _ in range(rng.randint(1, 40)))]) for _ in range(rng.randint(1, 4))]
+        kids = [tree(depth + 1) if depth < 5 and rng.random() < 0.5 else ("p", [" ".join(rng.choice(["one,", "two",
+            "three"]) for _ in range(rng.randint(1, 40)))]) for _ in range(rng.randint(1, 4))]
         return rng.choice(["div", "section", "blockquote", "ul"]), kids
 
     def written(node):
@@ -535,7 +543,8 @@ def test_tree_scoring_against_brute_force():
 def test_extract_pages(spark):
     from folia.llm.html_extract import extract_pages
 
-    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, ""), (None, "x", "<p>é")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, ""), (None, "x", "<p>é")],
+        "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = sorted(extract_pages(pages).collect(), key=lambda r: r.n_chars)
     assert [r.n_chars for r in out] == [0, 0, 1, len(out[3].text)]
     assert extract_pages(pages.limit(0)).count() == 0
@@ -864,14 +873,17 @@ def test_columns_of_any_name_are_carried_or_ignored(spark):
     """Every operator and stage over a table whose other columns have the operators' own names."""
     from folia.llm import classifier, minhash, mixing, packing, quality_rules, sharding, suffix_dedup
 
-    rows = [(k, f"plain words of text number {k} " * 12, f"s{k % 2}") for k in range(12)] + [(3, "another text of number three " * 9, None), (None, None, None), (20, "", "s1")]
+    rows = [(k, f"plain words of text number {k} " * 12, f"s{k % 2}") for k in range(12)] + [(3, "another text of number three " * 9, None),
+        (None, None, None), (20, "", "s1")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(k).alias(c) for k, c in enumerate(NAMES)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
-    for stage in (lambda x: classifier.good_documents(x, labels), minhash.one_of_each_group, suffix_dedup.documents_without_repeats, lambda x: mixing.mixed_documents(x, 8), sharding.through_shards):
+    for stage in (lambda x: classifier.good_documents(x, labels), minhash.one_of_each_group, suffix_dedup.documents_without_repeats,
+        lambda x: mixing.mixed_documents(x, 8), sharding.through_shards):
         out = stage(d)
         assert out.columns == d.columns
         assert all(r[c] == k for r in out.collect() for k, c in enumerate(NAMES))
-    for operator in (lambda x: quality_rules.quality_rules(x, labels), lambda x: classifier.quality_scores(x, labels), minhash.near_duplicates, suffix_dedup.without_repeats, mixing.taken_per_document):
+    for operator in (lambda x: quality_rules.quality_rules(x, labels), lambda x: classifier.quality_scores(x, labels), minhash.near_duplicates,
+        suffix_dedup.without_repeats, mixing.taken_per_document):
         assert operator(d).count() == len(rows)
     assert {r.doc_id for r in packing.pack_documents(d).select("doc_id").collect()} == {r[0] for r in rows}
 

@@ -8,7 +8,8 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
 
 
-@pytest.mark.parametrize("name", ["op2_cross_polytope_dedup", "op3_target_mixing", "op4_minhash_dedup", "op5_warc_round_trip", "op9_tiered_sharding", "op10_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op2_cross_polytope_dedup", "op3_target_mixing", "op4_minhash_dedup", "op5_warc_round_trip", "op9_tiered_sharding",
+    "op10_suffix_dedup"])
 def test_against_oracle(spark, name):
     import duckdb
 
