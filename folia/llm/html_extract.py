@@ -168,7 +168,8 @@ def is_cut(tag: str, attributes: str, node: Node, level: int, paper: bool) -> bo
                 continue
             if name == "role" and value.lower() in CUT_ROLES or name == "hidden" and value.lower() != "until-found":
                 return True
-            if level == ALL and (name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            if level == ALL and (name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden",
+                value, re.I)):
                 return True
     return False
 
