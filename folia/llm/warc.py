@@ -21,6 +21,8 @@ from .runtime import new_path
 
 LEAST_PAYLOAD = 100
 SPLIT_BYTES = 16 << 20
+#: Parts over which the rows of one digest are spread; rows that are too small for a revisit don't meet at all.
+SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 RECORDS = ("path string, at long, record_type string, record_id string, target_uri string, refers_to string, "
@@ -32,10 +34,14 @@ def with_record_types(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("payload_bytes") >= LEAST_PAYLOAD).groupBy("payload_digest").agg(
-        F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first_id")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    large = F.col("payload_bytes") >= LEAST_PAYLOAD
+    first = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    first = first.select("payload_digest", "first_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    small = rows.where(~large).withColumn("first_id", F.lit(None).cast("long"))
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "payload_digest", "left").select(
+    both = rows.where(large).join(first, ["payload_digest", "salt"], "left").select(*small.columns).union(small)
+    return both.select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes",
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
@@ -172,7 +178,8 @@ def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     text, whole = pa.string(), pa.int64()
-    schema = pa.schema([("path", text), ("at", whole), ("record_type", text), ("record_id", text), ("target_uri", text), ("refers_to", text), ("payload_digest", text), ("payload_bytes", whole), ("payload", pa.binary())])
+    schema = pa.schema([("path", text), ("at", whole), ("record_type", text), ("record_id", text), ("target_uri", text), ("refers_to", text),
+        ("payload_digest", text), ("payload_bytes", whole), ("payload", pa.binary())])
     return plan.mapInArrow(run, RECORDS)
 
 
