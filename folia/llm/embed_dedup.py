@@ -44,18 +44,30 @@ def tables(dimensions: int) -> int:
     return 11 if dimensions <= 64 else 19
 
 
+def hadamard(n: int) -> np.ndarray:
+    """The Walsh-Hadamard matrix of a power of two, in single precision."""
+    h = np.ones((1, 1), np.float32)
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
 def turned(vectors: np.ndarray, number: int) -> np.ndarray:
-    """Each row under rotation ``number``: three rounds of signs and a Walsh-Hadamard transform, not normalised."""
+    """Each row under rotation ``number``: three rounds of signs and a Walsh-Hadamard transform, not normalised.
+
+    The transform is fast: a row is a grid of about sqrt(n) by sqrt(n), and the
+    small transform goes over its rows, then over its columns.  Axes come out
+    in the grid's other order, which is the same for every row.
+    """
     v, n = vectors, vectors.shape[1]
+    across = 1 << ((n.bit_length() - 1) // 2)
+    down = n // across
+    rows, columns = hadamard(across), hadamard(down)
     for turn in range(3):
         salt = U64((number * 3 + turn) * n + 99)
         v = v * np.where(mix64(np.arange(n, dtype=U64) + salt) >> U64(63), np.float32(1), np.float32(-1))
-        h = 1
-        while h < n:
-            y = v.reshape(len(v), -1, 2, h)
-            low, high = y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]
-            y[:, :, 0], y[:, :, 1] = low, high
-            h *= 2
+        v = (v.reshape(-1, across) @ rows).reshape(-1, down, across).transpose(0, 2, 1).reshape(-1, down)
+        v = (v @ columns).reshape(-1, n)
     return v
 
 
