@@ -15,7 +15,7 @@ from ..functions.text import is_pdf_head, looks_like_pdf, raw_pages
 from ..operators import gates, pagefacts, relations, triage
 from ..session import kept, shared_folder
 from ..sources import files, pdf
-from .base import load, query
+from .base import load, query, spread
 
 STAMP = b"PROPERTY OF THE WORKSHOP 0001"
 BODY = b"The valve is set to the mark, then the cover is closed and the bolts are drawn in turn. "
@@ -268,7 +268,7 @@ def _damaged(spark, sf_dir):
     second = F.when(k % 4 == 0, F.concat(bad, good)).when(k % 4 == 1, F.concat(good, open_)).when(k % 4 == 2,
         F.concat(bad, open_)).otherwise(F.concat(good, text("2 0 obj << /Other 1 >> endobj\n")))
     third = text("3 0 obj << /A 1 >> endobj 3 1 obj << /B 1 >> endobj 3 0 obj << /C 1 >> endobj\n")
-    return load(spark, sf_dir, "customer").select(k.cast("string").alias("path"), F.unhex(F.concat(text("%PDF-1.4\n"), first, second, third)).alias("content"))
+    return spread(load(spark, sf_dir, "customer").select("c_custkey"), 4096).select(k.cast("string").alias("path"), F.unhex(F.concat(text("%PDF-1.4\n"), first, second, third)).alias("content"))
 
 
 @query("""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS path, c_custkey AS k FROM customer),
@@ -286,9 +286,8 @@ def pdf_object_soundness(spark, sf_dir):
  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 2, 0, 2, 2, c_custkey % 4 <> 0 FROM customer WHERE c_custkey % 4 <> 2""")
 def pdf_best_copies(spark, sf_dir):
     """The copy to keep of objects that are defined in several ways: the only best one, if it is whole."""
-    t = pdf.object_table(_damaged(spark, sf_dir))
-    first = t.groupBy("path", "num", "gen").agg(F.min("start").alias("first"))
-    return pdf.best_copies(t).join(first, ["path", "num", "gen"]).select("path", "num", "gen", "copies", "score", (F.col("start") == F.col("first")).alias("earlier"))
+    best = pdf.best_copies(pdf.object_table(_damaged(spark, sf_dir)))
+    return best.select("path", "num", "gen", "copies", "score", (F.col("start") == F.col("first")).alias("earlier"))
 
 
 @query("""SELECT c_custkey AS key, unnest([0, 1, 2]) AS ord, unnest([c_name || ' (' || c_nationkey || ')', 'He', 'x)A' || chr(10)]) AS value FROM customer""")

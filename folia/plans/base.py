@@ -27,6 +27,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, task_rows: int) -> DataFrame:
+    """Rows dealt over a task for every ``task_rows`` of them, where much is made of a row that takes few bytes of its table."""
+    return rows.repartition(max(1, -(-rows.count() // task_rows)))
+
+
 def numbered(rows: DataFrame, task_rows: int = 1 << 16) -> DataFrame:
     """(file, doc_id, page_no): rows of (file, doc_id) numbered by doc_id from 0 in each file, without any text.
 

@@ -124,6 +124,45 @@ def test_pdf_soundness_of_copies(spark):
         assert set(best) == {1, 2, 4} and best[1].start == (9 if order[0] is whole else 9 + len(cut)) and best[2].copies == 3 and best[4].gen == 0
 
 
+def test_pdf_copies_of_many_files_in_few_batches_and_one_reading(spark, tmp_path):
+    """Small files share batches and tasks are dealt by rows; files are parsed once, with the results of files one by one."""
+    from folia.plans import archive
+
+    root = str(tmp_path)
+    spark.range(1, 9001).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{root}/customer.parquet")
+    damaged = archive._damaged(spark, root)
+    assert damaged.rdd.getNumPartitions() == 3
+    best = archive.pdf_best_copies(spark, root)
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert best.count() == 6000 + 6750 and best.where("earlier").count() == 3000 + 4500
+    one = damaged.where("path IN ('6', '7')").orderBy("path")
+    seen = []
+    kept, pdf.typed = pdf.typed, lambda rows, columns: seen.append(len(rows)) or kept(rows, columns)
+    try:
+        class Rows:
+            def select(self, *names):
+                return self
+
+            def mapInArrow(self, run, schema):
+                import pyarrow as pa
+
+                files = [pa.record_batch([pa.array([r.path for r in one.collect()] + [None, "x"]), pa.array([bytes(r.content) for r in one.collect()] + [b"", None])], ["path", "content"])] * 700
+                return pa.Table.from_batches(run(files)).to_pylist()
+
+        rows = pdf.object_table(Rows())
+    finally:
+        pdf.typed = kept
+    assert len(rows) == 9800 and len(seen) == 3 and rows[:14] == rows[-14:]
+
+
+def test_pdf_best_copy_of_equal_paths(spark):
+    """Two rows with one path count as one file: its best copies are then two, and none is kept."""
+    sound, other = b"1 0 obj << /FirstChar 1 /LastChar 1 /Widths [1] >> endobj ", b"1 0 obj << /A 1 >> endobj "
+    rows = [("a", bytearray(sound + other)), ("b", bytearray(other + sound)), ("b", bytearray(other + sound)), (None, bytearray(sound + other)), ("c", None)]
+    best = pdf.best_copies(pdf.object_table(spark.createDataFrame(rows, "path string, content binary"))).collect()
+    assert [(r.path, r.num, r.copies, r.score, r.start, r["first"]) for r in best] == [("a", 1, 2, 2, 0, 0)]
+
+
 def test_pdf_pages_inherit_and_open(spark):
     body = (b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [4 0 R 3 0 R 2 0 R] /Rotate 90 /MediaBox [0 0 100 200] >> endobj "
             b"3 0 obj << /Type /Page /Annots [7 0 R 8 0 R] >> endobj 4 0 obj << /Type /Pages /Kids [5 0 R] /Rotate 0 >> endobj 5 0 obj << /Type /Page /MediaBox [0 0 50 60] /Contents [6 0 R 9 0 R] >> endobj ")
