@@ -277,7 +277,7 @@ def _damaged(spark, sf_dir):
   UNION ALL SELECT path, 3, unnest([0, 1, 0]), 1 FROM c) SELECT path, CAST(num AS BIGINT) AS num, gen, score, count(*) AS n FROM s GROUP BY ALL""")
 def pdf_object_soundness(spark, sf_dir):
     """How many definitions of each object look how whole."""
-    t = pdf.object_table(_damaged(spark, sf_dir))
+    t = pdf.copy_table(_damaged(spark, sf_dir))
     return t.groupBy("path", "num", "gen", pdf.soundness().alias("score")).agg(F.count("*").alias("n"))
 
 
@@ -286,7 +286,7 @@ def pdf_object_soundness(spark, sf_dir):
  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 2, 0, 2, 2, c_custkey % 4 <> 0 FROM customer WHERE c_custkey % 4 <> 2""")
 def pdf_best_copies(spark, sf_dir):
     """The copy to keep of objects that are defined in several ways: the only best one, if it is whole."""
-    best = pdf.best_copies(pdf.object_table(_damaged(spark, sf_dir)))
+    best = pdf.best_copies(pdf.copy_table(_damaged(spark, sf_dir)))
     return best.select("path", "num", "gen", "copies", "score", (F.col("start") == F.col("first")).alias("earlier"))
 
 

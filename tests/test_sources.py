@@ -155,6 +155,13 @@ def test_pdf_copies_of_many_files_in_few_batches_and_one_reading(spark, tmp_path
     assert len(rows) == 9800 and len(seen) == 3 and rows[:14] == rows[-14:]
 
 
+def test_pdf_copy_table_is_the_object_table(spark):
+    from folia.plans import archive
+
+    files = spark.createDataFrame([(str(k), bytearray(archive.document(k)[: 900 * (k + 1)])) for k in range(12)], "path string, content binary")
+    assert sorted(pdf.copy_table(files).collect()) == sorted(pdf.object_table(files).select(pdf.COPY).collect())
+
+
 def test_pdf_best_copy_of_equal_paths(spark):
     """Two rows with one path count as one file: its best copies are then two, and none is kept."""
     sound, other = b"1 0 obj << /FirstChar 1 /LastChar 1 /Widths [1] >> endobj ", b"1 0 obj << /A 1 >> endobj "
